@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, packing
+from . import decontam, jaccard, packing, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +30,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op3_best_fit_packing": op3_best_fit_packing, "op8_ngram_jaccard": op8_ngram_jaccard, "op10_decontamination": op10_decontamination}
+QUERIES = {"op2_token_ids": op2_token_ids, "op3_best_fit_packing": op3_best_fit_packing, "op8_ngram_jaccard": op8_ngram_jaccard, "op10_decontamination": op10_decontamination}
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 
