@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, packing, tokenfile, topk
+from . import decontam, jaccard, licenses, packing, tokenfile, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -42,7 +46,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_token_ids": op2_token_ids, "op3_best_fit_packing": op3_best_fit_packing, "op8_ngram_jaccard": op8_ngram_jaccard, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_topk": op1_topk, "op2_token_ids": op2_token_ids, "op3_best_fit_packing": op3_best_fit_packing, "op4_license_scan": op4_license_scan, "op8_ngram_jaccard": op8_ngram_jaccard, "op10_decontamination": op10_decontamination}
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 
@@ -79,4 +83,23 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
   FROM f q JOIN f c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op4_license_scan": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS.format('text')}, []) AS w FROM documents),
+p AS (SELECT * FROM (VALUES {", ".join(f"({p.split()!r}, {x!r})" for p, x in licenses.PHRASES.items())}) v(ph, label)),
+b AS (SELECT r, label, i FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d) JOIN p ON w[i:i + len(ph) - 1] = ph),
+bb AS (SELECT r, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word FROM b GROUP BY r),
+t AS (SELECT * FROM (VALUES {", ".join(f"({k}, {x!r}, {t.split()!r})" for k, (x, t) in enumerate(licenses.TEMPLATES))}) v(tid, label, tw)),
+tg AS (SELECT tid, label, tw, j, tw[j:j + {licenses.K - 1}] AS g FROM (SELECT *, unnest(range(1, len(tw) - {licenses.K} + 2)) AS j FROM t)),
+h AS (SELECT r, tid, label, len(tw) AS n, i - j AS diag, i FROM (SELECT r, w, unnest(range(1, len(w) - {licenses.K} + 2)) AS i FROM d WHERE len(w) >= {licenses.K}) JOIN tg ON w[i:i + {licenses.K - 1}] = g),
+v AS (SELECT r, tid, label, n, diag, count(*) AS votes FROM h GROUP BY ALL),
+s AS (SELECT *, CASE WHEN diag - lag(diag) OVER x <= {licenses.GAP} THEN 0 ELSE 1 END AS new FROM v WINDOW x AS (PARTITION BY r, tid ORDER BY diag)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY r, tid ORDER BY diag) AS island FROM s),
+c AS (SELECT r, label, least(1.0, CAST(sum(votes) + {licenses.K - 1} AS DOUBLE) / n) AS cover FROM i GROUP BY r, tid, label, n, island),
+l AS (SELECT r, label, cover FROM c WHERE cover >= {licenses.COVER}),
+al AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM l UNION ALL SELECT r, label FROM b) GROUP BY r),
+bl AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY r),
+sc AS (SELECT r, max(cover) AS cover FROM l GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(cover, 0.0) END AS score
+FROM d LEFT JOIN bb USING (r) LEFT JOIN al USING (r) LEFT JOIN bl USING (r) LEFT JOIN sc USING (r)""",
 }
