@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, licenses, packing, secrets, tokenfile, topk
+from . import decontam, jaccard, licenses, packing, quality, secrets, tokenfile, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(_table(spark, sf_dir, "documents"))).drop("n_live")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.scored(docs.select("doc_id", "text"), model).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -50,7 +56,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_token_ids": op2_token_ids, "op3_best_fit_packing": op3_best_fit_packing, "op4_license_scan": op4_license_scan, "op6_secret_scan": op6_secret_scan, "op8_ngram_jaccard": op8_ngram_jaccard, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_topk": op1_topk, "op2_token_ids": op2_token_ids, "op3_best_fit_packing": op3_best_fit_packing, "op4_license_scan": op4_license_scan, "op6_secret_scan": op6_secret_scan, "op7_quality": op7_quality, "op8_ngram_jaccard": op8_ngram_jaccard, "op10_decontamination": op10_decontamination}
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 
