@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, licenses, packing, quality, secrets, tokenfile, topk
+from . import decontam, jaccard, licenses, packing, quality, secrets, tokenfile, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(spark, _table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(_table(spark, sf_dir, "documents"))).drop("n_live")
 
@@ -56,7 +61,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_token_ids": op2_token_ids, "op3_best_fit_packing": op3_best_fit_packing, "op4_license_scan": op4_license_scan, "op6_secret_scan": op6_secret_scan, "op7_quality": op7_quality, "op8_ngram_jaccard": op8_ngram_jaccard, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_topk": op1_topk, "op2_token_ids": op2_token_ids, "op3_best_fit_packing": op3_best_fit_packing, "op4_license_scan": op4_license_scan, "op5_warc": op5_warc, "op6_secret_scan": op6_secret_scan, "op7_quality": op7_quality, "op8_ngram_jaccard": op8_ngram_jaccard, "op10_decontamination": op10_decontamination}
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 
@@ -112,4 +117,10 @@ sc AS (SELECT r, max(cover) AS cover FROM l GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
   coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(cover, 0.0) END AS score
 FROM d LEFT JOIN bb USING (r) LEFT JOIN al USING (r) LEFT JOIN bl USING (r) LEFT JOIN sc USING (r)""",
+    "op5_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+k AS (SELECT h, max(page_id) AS keeper FROM p WHERE strlen(h) >= 1000 GROUP BY h HAVING count(*) > 1)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN keeper IS NULL OR keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM p LEFT JOIN k USING (h)""",
 }
