@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, licenses, packing, quality, secrets, tokenfile, topk, warc
+from . import decontam, jaccard, langid, licenses, packing, quality, secrets, tokenfile, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -61,7 +65,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_token_ids": op2_token_ids, "op3_best_fit_packing": op3_best_fit_packing, "op4_license_scan": op4_license_scan, "op5_warc": op5_warc, "op6_secret_scan": op6_secret_scan, "op7_quality": op7_quality, "op8_ngram_jaccard": op8_ngram_jaccard, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_topk": op1_topk, "op2_token_ids": op2_token_ids, "op3_best_fit_packing": op3_best_fit_packing, "op4_license_scan": op4_license_scan, "op5_warc": op5_warc, "op6_secret_scan": op6_secret_scan, "op7_quality": op7_quality, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_language_id": op9_language_id, "op10_decontamination": op10_decontamination}
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 
