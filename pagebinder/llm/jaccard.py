@@ -215,20 +215,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = int(min(60_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET + 1)))
     sets = stored(_shared_tokens(docs, text, words, percent, buckets), "sets")
-    post = sets.select("class", F.explode(F.slice("toks", 1, F.col("r"))).alias("t"))
-    pivots = post.groupBy("t").agg(F.min("class").alias("p"), F.max("class").alias("q")).where("p <> q")
-    met = post.join(pivots, "t")
+    own = F.col("n") - F.size("toks")
+    post = sets.select("class", "n", own.alias("own"), F.posexplode(F.slice("toks", 1, F.col("r"))).alias("at", "t")).withColumn("at", F.col("own") + F.col("at"))
+    # pivots: the class with the least of its own, which is nearest to the others, and the smallest
+    pivots = post.groupBy("t").agg(F.min_by("class", F.struct(F.col("own") / F.col("n"), "class")).alias("p"), F.min("class").alias("q"), F.max("class").alias("last")).where("q <> last")
+    met = post.join(pivots.drop("last"), "t")
     star = [met.where(f"class <> {x}").select(F.least("class", x).alias("a"), F.greatest("class", x).alias("b"), F.col("class")) for x in ("p", "q")]
     star = [s.groupBy("class", "a", "b").count().groupBy("class").agg(F.max_by(F.struct("a", "b"), F.struct("count", "a", "b")).alias("x")).select("x.a", "x.b") for s in star]
     edges = stored(_verified(star[0].unionByName(star[1]).distinct(), sets, percent), "links")
     comps = components(edges)
     # all candidate pairs across components
-    post = post.join(comps.withColumnRenamed("node", "class"), "class", "left").select("t", "class", F.coalesce("comp", "class").alias("comp"))
+    post = post.join(comps.withColumnRenamed("node", "class"), "class", "left").select("t", "class", "n", "at", F.coalesce("comp", "class").alias("comp"))
     of = post.groupBy("t", "comp").count().groupBy("t").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1").select("t", "major")
     post = stored(post.join(of, "t"), "postings")
-    left = post.where("comp <> major").select("t", F.col("class").alias("x"), F.col("comp").alias("cx"), "major")
-    right = post.select("t", F.col("class").alias("y"), F.col("comp").alias("cy"))
-    cross = left.join(right, "t").where("cx <> cy and (cy = major or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    left = post.where("comp <> major").select("t", F.col("class").alias("x"), F.col("comp").alias("cx"), "major", F.col("n").alias("nx"), F.col("at").alias("ax"))
+    right = post.select("t", F.col("class").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("at").alias("ay"))
+    # at the first shingle that two prefixes share, all that they can share stands from there on; pairs may fail that at later ones
+    enough = F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+    cross = left.join(right, "t").where("cx <> cy and (cy = major or x < y)").where(enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = stored(_verified(cross, sets, percent), "links")
     if not more.isEmpty():
         comps = components(edges.unionByName(more))
