@@ -188,3 +188,8 @@ def scored(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     """docs, all columns, with score and predicted."""
     rows = with_statistics(docs, text).withColumn("score", model.score())
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(*["_s_" + k for k in NAMES])
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, that score the threshold or more."""
+    return with_statistics(docs, text).where(model.score() >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
