@@ -1,10 +1,6 @@
 """The registered queries (spark, sf_dir) -> DataFrame of the library's operators, and their SQL for DuckDB."""
 
-from __future__ import annotations
+from .plans import links, pages  # noqa: F401
+from .plans.base import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
