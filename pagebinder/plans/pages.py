@@ -14,8 +14,8 @@ _TOKENS = rf"""t0 AS (SELECT page_id, unnest(k) AS token, generate_subscripts(k,
 t AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, CASE WHEN token LIKE '</%' THEN 'close' WHEN regexp_matches(token, '^<[a-zA-Z]') THEN 'open' WHEN token LIKE '<%' THEN 'other' ELSE 'text' END AS kind,
 lower(regexp_extract(token, '^</?([a-zA-Z][a-zA-Z0-9:-]*)', 1)) AS tag, token FROM t0)"""
 _RANGES = """lv AS (SELECT *, sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id, tag ORDER BY pos) AS level FROM t),
-r AS (SELECT o.page_id, o.tag, o.pos AS open_pos, min(c.pos) AS close_pos, o.level FROM lv o JOIN lv c ON c.page_id = o.page_id AND c.tag = o.tag AND o.kind = 'open' AND c.kind = 'close' AND c.level = o.level - 1 AND c.pos > o.pos GROUP BY ALL
-  HAVING min(c.pos) < coalesce((SELECT min(n.pos) FROM lv n WHERE n.page_id = o.page_id AND n.tag = o.tag AND n.kind = 'open' AND n.level = o.level AND n.pos > o.pos), 1000000000))"""
+n AS (SELECT *, lead(kind) OVER w AS next_kind, lead(pos) OVER w AS next_pos FROM lv WINDOW w AS (PARTITION BY page_id, tag, CASE kind WHEN 'close' THEN level + 1 ELSE level END ORDER BY pos)),
+r AS (SELECT page_id, tag, pos AS open_pos, next_pos AS close_pos, level FROM n WHERE kind = 'open' AND next_kind = 'close')"""
 
 
 @query("read_pages", "SELECT page_id, url, html FROM pages")
@@ -100,8 +100,9 @@ def _(t):
     return t.pages.select("page_id", m.without_namespaced_tags(marked).alias("html"))
 
 
+_BARE = r"regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '^\s+|\s+$', '', 'g')"
 _BLOCKS = rf"""bk AS (SELECT page_id, unnest(regexp_extract_all(a, '<p>[^<]*</p>|<h1>[^<]*</h1>')) AS x, generate_subscripts(regexp_extract_all(a, '<p>[^<]*</p>|<h1>[^<]*</h1>'), 1) AS n FROM (SELECT page_id, regexp_extract({_CLEAN}, '(?s)<article>.*</article>') AS a FROM pages)),
-bs AS (SELECT page_id, n, x LIKE '<h1>%' AS h, {_DECODE.format("regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '^\s+|\s+$', '', 'g')")} AS content FROM bk)"""
+bs AS (SELECT page_id, n, x LIKE '<h1>%' AS h, {_DECODE.format(_BARE)} AS content FROM bk)"""
 
 
 @query("extract_blocks", f"WITH {_BLOCKS} SELECT page_id, CASE WHEN h THEN 'heading' ELSE 'text' END AS type, CASE WHEN h THEN 1 END AS level, content FROM bs WHERE content <> ''")

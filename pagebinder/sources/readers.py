@@ -17,3 +17,14 @@ def read_link_lists(df: DataFrame, list_id: str, text: str, trim: bool = True) -
     lines = F.transform(lines, lambda x: F.trim(x)) if trim else lines
     kept = F.filter(lines, lambda x: F.trim(x) != "")
     return df.select(list_id, F.posexplode(kept).alias("pos", "line")).withColumn("pos", F.col("pos") + 1)
+
+
+LOG = "event string, level string, timestamp string, filename string, func_name string, lineno int"
+
+
+def read_json_logs(df: DataFrame, line: str) -> DataFrame:
+    """JSON log lines: the fixed columns, and what else they hold as a map of text (`rest`)."""
+    fixed = [c.split()[0] for c in LOG.split(", ")]
+    parsed = df.withColumn("_f", F.from_json(line, LOG)).withColumn("_m", F.from_json(line, "map<string,string>"))
+    rest = F.map_filter("_m", lambda k, v: ~k.isin(fixed))
+    return parsed.select(*[c for c in df.columns if c != line], *[F.col(f"_f.{c}").alias(c) for c in fixed], rest.alias("rest"))
