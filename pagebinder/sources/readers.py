@@ -28,3 +28,44 @@ def read_json_logs(df: DataFrame, line: str) -> DataFrame:
     parsed = df.withColumn("_f", F.from_json(line, LOG)).withColumn("_m", F.from_json(line, "map<string,string>"))
     rest = F.map_filter("_m", lambda k, v: ~k.isin(fixed))
     return parsed.select(*[c for c in df.columns if c != line], *[F.col(f"_f.{c}").alias(c) for c in fixed], rest.alias("rest"))
+
+
+def read_artifact_inventory(spark: SparkSession, folder: str, extension: str) -> DataFrame:
+    """name, mtime, size of the files of a folder; their contents are not read."""
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", f"*{extension}").load(folder).select("path", "modificationTime", "length")
+    return inventory_rows(listing, extension)
+
+
+def inventory_rows(listing: DataFrame, extension: str) -> DataFrame:
+    name = F.substring_index("path", "/", -1)
+    return listing.where(F.col("path").endswith(extension)).select(name.alias("name"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+
+
+LIKED = "items array<struct<id:string,snippet:struct<title:string,channelTitle:string>>>, nextPageToken string"
+
+
+def read_liked_pages(pages: DataFrame, feed: str = "feed") -> DataFrame:
+    """Item rows of API pages (feed, page, body) in page order."""
+    return pages.select(feed, "page", F.posexplode(F.from_json("body", LIKED)["items"]).alias("pos", "i")).select(feed, "page", "pos", "i.id", F.col("i.snippet.title").alias("title"), F.col("i.snippet.channelTitle").alias("channel"))
+
+
+def read_playlist_meta(df: DataFrame, body: str) -> DataFrame:
+    """Probe bodies with title, playlist_count, n_entries and the number of entries (null without a list)."""
+    meta = F.from_json(body, "title string, playlist_count int, n_entries int")
+    return df.withColumn("_m", meta).select(*df.columns, "_m.*", F.json_array_length(F.get_json_object(body, "$.entries")).alias("entries"))
+
+
+ARTICLE = "title string, author string, content string, published_at string, source_url string, source_type string, url string"
+
+
+def read_article_store(spark: SparkSession, folder: str) -> DataFrame:
+    """Saved articles, a JSON file each; times that don't parse are null. Files that begin with _ are not read."""
+    return spark.read.schema(ARTICLE).option("multiLine", True).json(folder).withColumn("published_at", F.col("published_at").try_cast("timestamp"))
+
+
+META = "urls array<string>, total int, status string, created_at string, updated_at string"
+
+
+def read_session_meta(df: DataFrame, session: str, body: str) -> DataFrame:
+    """Session documents (session, body); malformed ones are rows of nulls."""
+    return df.select(F.col(session).alias("session_id"), F.from_json(body, META).alias("m")).select("session_id", "m.*")
