@@ -28,43 +28,49 @@ PENALTY = 0.002
 THRESHOLD = 0.7
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Of a text that is not null. Lengths are in code points."""
-    n = F.greatest(F.char_length(text), F.lit(1))
-    words = F.col("_words")
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once however often use() names it: the optimizer copies expressions into filters, but not
+    what a lambda has bound."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def statistics(text: Column, words: Column) -> dict[str, Column]:
+    """Of a text that is not null and its words. Lengths are in code points."""
+    length = F.char_length(text)
+    n = F.greatest(length, F.lit(1))
     count = F.greatest(F.size(words), F.lit(1))
 
     def share(pattern: str) -> Column:
-        """Part of the text's characters left when those of the pattern are dropped, taken from 1."""
+        """Part of the text's characters that the pattern takes."""
         return 1 - F.char_length(F.regexp_replace(text, pattern, "")) / n
 
-    upper = share(r"[A-Z]+")
     distinct = F.size(F.array_distinct(words))
     return {
-        "log_chars": F.log1p(F.char_length(text).cast("double")),
-        "upper": upper,
+        "log_chars": F.log1p(length.cast("double")),
+        "upper": share(r"[A-Z]+"),
         "digits": share(r"[0-9]+"),
         "symbols": share(r"[#$%&*=<>@^_|~+\\]+"),
         "marks": share(r"[!?]+"),
         "stops": share(r"[.,;:]+"),
-        "bars": share(r"[|]+"),
         "distinct_words": distinct / count,
         "distinct_few": distinct / F.sqrt(count.cast("double")),
-        "word_length": F.char_length(text) / count,
-        "lines": F.size(F.split(text, "\n")) / count,
-        # a gzip-like measure: distinct pairs of neighbours, by the hashes of both
-        "distinct_pairs": F.size(F.array_distinct(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b)))) / count,
-        "odd_words": F.size(F.filter(words, lambda w: w.rlike(r"[#$%&*|!]{2,}|[|]"))) / count,
+        "word_length": length / count,
+        "lines": F.regexp_count(text, F.lit("\n")) / count,
     }
 
 
-NAMES = ["log_chars", "upper", "digits", "symbols", "marks", "stops", "bars", "distinct_words", "distinct_few", "word_length", "lines", "distinct_pairs", "odd_words"]
+NAMES = ["log_chars", "upper", "digits", "symbols", "marks", "stops", "distinct_words", "distinct_few", "word_length", "lines"]
+
 
+def with_words(text: Column, use) -> Column:
+    """use(a struct of the text's statistics); all are 0 for null and empty texts."""
+    t = F.coalesce(text, F.lit(""))
 
-def with_statistics(docs: DataFrame, text: str = "text", prefix: str = "_s_") -> DataFrame:
-    t = F.coalesce(F.col(text), F.lit(""))
-    words = docs.withColumn("_words", F.array_remove(F.split(t, r"\s+"), ""))
-    return words.withColumns({prefix + k: F.when(F.char_length(t) > 0, c.cast("double")).otherwise(0.0) for k, c in statistics(t).items()}).drop("_words")
+    def bound(words: Column) -> Column:
+        of = {k: F.when(F.char_length(t) > 0, c.cast("double")).otherwise(0.0) for k, c in statistics(t, words).items()}
+        return _let(F.struct(*[c.alias(k) for k, c in of.items()]), use)
+
+    return _let(F.split(t, r"\s+"), bound)
 
 
 @dataclass
@@ -76,15 +82,16 @@ class Model:
     rules: list[tuple[list[tuple[str, bool, float]], float]] = field(default_factory=list)
     linear: list[tuple[str, float, float, float]] = field(default_factory=list)
 
-    def score(self, prefix: str = "_s_") -> Column:
+    def score(self, s: Column) -> Column:
+        """Of a struct of statistics."""
         total = F.lit(float(self.bias))
         for terms, w in self.rules:
             holds = F.lit(True)
             for name, above, value in terms:
-                holds = holds & (F.col(prefix + name) > value if above else F.col(prefix + name) <= value)
+                holds = holds & (s[name] > value if above else s[name] <= value)
             total = total + F.when(holds, float(w)).otherwise(0.0)
         for name, low, high, w in self.linear:
-            total = total + (F.least(F.greatest(F.col(prefix + name), F.lit(low)), F.lit(high)) - low) / (high - low) * float(w)
+            total = total + (F.least(F.greatest(s[name], F.lit(low)), F.lit(high)) - low) / (high - low) * float(w)
         return 1 / (1 + F.exp(-total))
 
 
@@ -179,17 +186,21 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).alias("_y"))
     known = stored(known.orderBy(F.xxhash64("_id"), "_id").limit(sample), "labels")  # of bounded size
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(known), "_id")
-    got = with_statistics(rows, "_t").select("_id", "_y", *["_s_" + k for k in NAMES]).dropDuplicates(["_id"]).orderBy("_id").collect()
+    got = rows.select("_id", "_y", with_words(F.col("_t"), lambda s: s).alias("s")).dropDuplicates(["_id"]).orderBy("_id").select("_id", "_y", "s.*").collect()
     data = np.array([[*r[1:]] for r in got], float).reshape(len(got), 1 + len(NAMES))
     return fit_arrays(data[:, 1:], data[:, 0], **kw)
 
 
+def score(text: Column, model: Model) -> Column:
+    return with_words(text, model.score)
+
+
 def scored(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs, all columns, with score and predicted."""
-    rows = with_statistics(docs, text).withColumn("score", model.score())
-    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(*["_s_" + k for k in NAMES])
+    both = _let(score(F.col(text), model), lambda x: F.struct(x.alias("score"), (x >= threshold).cast("int").alias("predicted")))
+    return docs.withColumn("_score", both).select(*[F.col(f"`{c}`") for c in docs.columns], "_score.score", "_score.predicted")
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that score the threshold or more."""
-    return with_statistics(docs, text).where(model.score() >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.where(score(F.col(text), model) >= threshold)
