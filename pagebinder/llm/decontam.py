@@ -57,7 +57,7 @@ class SuffixArray:
         order, key = np.argsort(ranks, kind="stable") if depth == 1 else places.astype(np.int64), ranks
         while span < depth and total:
             second = np.zeros_like(key)
-            second[: total - span] = key[span:]
+            second[: max(0, total - span)] = key[span:]
             second[self._ends_within(span)] = 0
             if 3 * bits <= 64:
                 both = np.sort((key.astype(np.uint64) << np.uint64(2 * bits)) | (second.astype(np.uint64) << np.uint64(bits)) | places)
