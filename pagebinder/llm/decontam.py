@@ -77,7 +77,7 @@ class SuffixArray:
         return c[upto] > c[:-1]
 
     def bounds(self, wanted: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each row of `wanted` (ranks of words, 0 where unknown), the range of the array that begins with its first
+        """For each row of `wanted` (ranks of words, -1 where unknown), the range of the array that begins with its first
         `lengths` words. All rows are bisected at once."""
         found = []
         for right in (False, True):
@@ -104,11 +104,11 @@ class SuffixArray:
         return out
 
     def ranks_of(self, words: np.ndarray) -> np.ndarray:
-        """0 for words that the shard doesn't have."""
+        """-1 for words that the shard doesn't have; 0 is that of end marks."""
         if not len(self.vocabulary):
-            return np.zeros(words.shape, np.int64)
+            return np.full(words.shape, -1, np.int64)
         at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == words, at + 1, 0)
+        return np.where(self.vocabulary[at] == words, at + 1, -1)
 
 
 class Items:

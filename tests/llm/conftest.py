@@ -1,17 +1,8 @@
 import pytest
-from pyspark.sql import SparkSession
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-@pytest.fixture(scope="session")
-def spark():
-    return (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
-    )
-
-
 @pytest.fixture
 def docs(spark):
     """documents of (doc_id, text) or (doc_id, text, source)."""
