@@ -32,7 +32,7 @@ K = 5
 SLICES = 2
 SCALE = 256
 #: Rows of a packed block.
-BLOCK = 2048
+BLOCK = 1024
 
 
 def scaled(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
@@ -42,47 +42,47 @@ def scaled(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataF
     return vectors.where(fine & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
 
 
-def _blocks(rows: DataFrame, id_: str, count: int) -> DataFrame:
-    """block, ids, vs: rows of at most about BLOCK ids."""
-    n = max(1, -(-count // BLOCK))
-    return rows.withColumn("block", F.pmod(F.xxhash64(id_), F.lit(n))).groupBy("block").agg(F.collect_list(F.struct(F.col(id_).alias("id"), "v")).alias("rows"))
+def _blocks(rows: DataFrame, count: int, width: int) -> DataFrame:
+    """block, ids, cuts, m: rows (id, v, cut) packed as 64-bit integers, about BLOCK of them in a block; m row by row, `width` each."""
 
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros((len(pdf), width), np.int64)
+        for k, v in enumerate(pdf["v"]):
+            m[k, : len(v)] = v
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "cuts": [pdf["cut"].to_numpy(np.int64).tobytes()], "m": [m.tobytes()]})
 
-def _matrix(rows, width: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.array([r["id"] for r in rows], np.int64)
-    m = np.zeros((len(rows), width), np.int64)
-    for k, r in enumerate(rows):
-        m[k, : len(r["v"])] = r["v"]
-    return ids, m
+    n = max(1, -(-count // BLOCK))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n).cast("long")))
+    return dealt.groupBy("block").applyInPandas(pack, "block long, ids binary, cuts binary, m binary")
 
 
 def _nodes(queries: DataFrame, rows: DataFrame, width: int, slices: int, k: int | None) -> DataFrame:
-    """q, c: of every node and query the k highest partial scores (ties too), or, for k=None, all of at least cut[q]."""
+    """q, c: of every node (a slice of a block of rows) and query k entries with the highest partial scores, or, for k=None, all of at
+    least cut / slices."""
     cols = [(width * s // slices, width * (s + 1) // slices) for s in range(slices)]
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for qs, vs, s in zip(pdf["qs"], pdf["vs"], pdf["slice"], strict=True):
-                (q, qm), (c, cm) = _matrix(qs, width), _matrix(vs, width)
-                a, b = cols[s]
+            for x in pdf.itertuples():
+                q, cut, c = (np.frombuffer(y, np.int64) for y in (x.q_ids, x.q_cuts, x.ids))
+                qm, cm = (np.frombuffer(y, np.int64).reshape(-1, width) for y in (x.q_m, x.m))
                 # products of floats are exact up to 2**53 and quicker; integers beyond
-                small = float(np.abs(qm).max(initial=0)) * float(np.abs(cm).max(initial=0)) * max(1, b - a) < 2**53
-                kind = np.float64 if small else np.int64
-                part = qm[:, a:b].astype(kind) @ cm[:, a:b].astype(kind).T
-                if k is None:
-                    least = np.array([r["cut"] for r in qs], np.int64)[:, None]
-                    hit = part * slices >= least
-                elif part.shape[1] > k:
-                    hit = part >= np.partition(part, part.shape[1] - k, axis=1)[:, [part.shape[1] - k]]
-                    hit &= np.cumsum(hit, axis=1) <= 4 * k  # in the first phase any entries will do
-                else:
-                    hit = np.ones(part.shape, bool)
-                i, j = np.nonzero(hit)
-                yield pd.DataFrame({"q": q[i], "c": c[j]})
-
-    grid = queries.join(rows, "row_block")
-    pairs = grid.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select("qs", "vs", "slice")
-    return pairs.repartition(F.xxhash64("slice", F.col("qs")[0]["id"], F.col("vs")[0]["id"])).mapInPandas(search, "q long, c long")
+                small = float(np.abs(qm).max(initial=0)) * float(np.abs(cm).max(initial=0)) * width < 2**53
+                qm, cm = (y.astype(np.float64 if small else np.int64) for y in (qm, cm))
+                for a, b in cols:
+                    part = qm[:, a:b] @ cm[:, a:b].T
+                    if k is None:
+                        i, j = np.nonzero(part * slices >= cut[:, None])
+                    elif part.shape[1] > k:
+                        j = np.argpartition(part, part.shape[1] - k, axis=1)[:, -k:].ravel()
+                        i = np.repeat(np.arange(len(q)), k)
+                    else:
+                        i, j = np.nonzero(np.ones(part.shape, bool))
+                    yield pd.DataFrame({"q": q[i], "c": c[j]})
+
+    names = {"block": "q_block", "ids": "q_ids", "cuts": "q_cuts", "m": "q_m"}
+    pairs = queries.withColumnsRenamed(names).join(rows.withColumnRenamed("block", "row_block"), "row_block")
+    return pairs.select("q_ids", "q_cuts", "q_m", "ids", "m").mapInPandas(search, "q long, c long")
 
 
 def top_k(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, slices: int = SLICES, scale: int = SCALE) -> DataFrame:
@@ -96,12 +96,16 @@ def top_k(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str =
     queries = stored(classes.select("q", "v"), "query-vectors")
     sizes = cands.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).first()
     n, width, nq = sizes["n"], max(sizes["w"] or 0, 1), queries.count()
-    rows = stored(_blocks(cands, "vec_id", n).select(F.col("block").alias("row_block"), F.col("rows").alias("vs")), "rows")
+    spark = vectors.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    rows = stored(_blocks(cands.select(F.col("vec_id").alias("id"), "v", F.lit(0).cast("long").alias("cut")), n, width), "rows")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # from here on a row is a pair of blocks
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # rows are blocks from here on
     n_blocks = max(1, -(-n // BLOCK))
 
     def packed(df: DataFrame) -> DataFrame:
         """Query blocks, one for each block of rows."""
-        blocks = _blocks_with(df, nq)
+        blocks = _blocks(df.withColumnRenamed("q", "id"), nq, width)
         return blocks.withColumn("row_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
 
     def exact(pairs: DataFrame) -> DataFrame:
@@ -125,8 +129,3 @@ def top_k(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str =
     ranked = mine.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("c").alias("vec_id"), "score")
 
-
-def _blocks_with(df: DataFrame, count: int) -> DataFrame:
-    n = max(1, -(-count // BLOCK))
-    packed = df.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(n))).groupBy("block")
-    return packed.agg(F.collect_list(F.struct(F.col("q").alias("id"), "v", "cut")).alias("qs"))
