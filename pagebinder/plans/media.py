@@ -86,13 +86,13 @@ def _(t):
     return media.classify_tool_errors(runs(t)).select("run", "skippable")
 
 
-@query("accept_partial_runs", f"""WITH {_RUNS}, v AS (SELECT *, u % 3 = 0 OR (u % 2 = 0 AND u % 5 > 0 AND skippable) AS ok FROM r) SELECT run, CASE WHEN ok THEN 'accepted' ELSE 'failed' END AS verdict, CASE WHEN NOT ok THEN CASE WHEN run % 10 = 0 THEN 'unknown error' ELSE stderr END END AS message FROM v""")
+@query("accept_partial_runs", f"""WITH {_RUNS}, v AS (SELECT *, u % 3 = 0 OR (u % 2 = 0 AND u % 5 > 0 AND skippable AND run % 10 <> 0) AS ok FROM r) SELECT run, CASE WHEN ok THEN 'accepted' ELSE 'failed' END AS verdict, CASE WHEN NOT ok THEN CASE WHEN run % 10 = 0 THEN 'unknown error' ELSE stderr END END AS message FROM v""")
 def _(t):
     u = F.col("u")
-    rows = runs(t).withColumns({"exit_code": F.when(u % 3 == 0, 0).otherwise(1), "playlist": u % 2 == 0, "outputs": u % 5, "stdout": F.lit(" ")})
-    judged = media.accept_partial_runs(rows)
-    blank = media.accept_partial_runs(rows.where("run % 10 = 0").withColumn("stderr", F.lit(" "))).select("run", F.col("message").alias("m"))
-    return judged.join(blank, "run", "left").select("run", "verdict", F.when((F.col("run") % 10 == 0) & (F.col("verdict") == "failed"), F.col("m")).otherwise(F.col("message")).alias("message"))
+    blank = F.col("run") % 10 == 0
+    rows = media.classify_tool_errors(runs(t)).withColumns({"exit_code": F.when(u % 3 == 0, 0).otherwise(1), "playlist": u % 2 == 0, "outputs": u % 5, "stdout": F.lit(" ")})
+    rows = rows.withColumn("stderr", F.when(blank, " ").otherwise(F.col("stderr")))
+    return media.accept_partial_runs(rows).select("run", "verdict", "message")
 
 
 @query("read_tool_stderr", f"WITH {_RUNS} SELECT run, CAST(row_number() OVER (PARTITION BY run ORDER BY event_id) AS INTEGER) AS pos, line FROM l")
@@ -197,20 +197,20 @@ def _(t):
     return audit.normalize_exports(audit.read_delimited_exports(files(t)))
 
 
-_KV = """CASE event_id % 5 WHEN 0 THEN concat('auth_token=', repeat('a', event_id % 40), '; ct0=', repeat('b', 30), '; auth_token=', repeat('c', event_id % 40)) WHEN 1 THEN concat('ct0', chr(9), repeat('b', 25), chr(9), '.x.com', chr(10), 'other', chr(9), 'x', chr(10), 'auth_token', chr(9), repeat('a', 25))
-WHEN 2 THEN concat('auth_token    ', repeat('a', event_id % 40 + 1), '    .x.com') WHEN 3 THEN '  ' ELSE 'nothing here' END"""
+_KV = """CASE event_id % 5 WHEN 0 THEN concat('auth_token=', repeat('a', CAST(event_id % 40 AS INTEGER)), '; ct0=', repeat('b', 30), '; auth_token=', repeat('c', CAST(event_id % 40 AS INTEGER))) WHEN 1 THEN concat('ct0', chr(9), repeat('b', 25), chr(9), '.x.com', chr(10), 'other', chr(9), 'x', chr(10), 'auth_token', chr(9), repeat('a', 25))
+WHEN 2 THEN concat('auth_token    ', repeat('a', CAST(event_id % 40 + 1 AS INTEGER)), '    .x.com') WHEN 3 THEN '  ' ELSE 'nothing here' END"""
 
 
 @query("parse_key_value_exports", """SELECT event_id, 'auth_token' AS name, CASE event_id % 5 WHEN 0 THEN repeat('c', event_id % 40) WHEN 1 THEN repeat('a', 25) ELSE repeat('a', event_id % 40 + 1) END AS value FROM events WHERE event_id % 5 < 3
 UNION ALL SELECT event_id, 'ct0', CASE event_id % 5 WHEN 0 THEN repeat('b', 30) ELSE repeat('b', 25) END FROM events WHERE event_id % 5 < 2""")
 def _(t):
-    return audit.parse_key_value_exports(t.events.select("event_id", F.expr(_KV.replace("event_id % 40 + 1", "int(event_id % 40 + 1)").replace("'a', event_id % 40)", "'a', int(event_id % 40))").replace("'c', event_id % 40)", "'c', int(event_id % 40))")).alias("text")), "event_id", "text")
+    return audit.parse_key_value_exports(t.events.select("event_id", F.expr(_KV).alias("text")), "event_id", "text")
 
 
 @query("required_key_verdict", """SELECT event_id, CASE WHEN event_id % 5 = 3 THEN 'not_configured' WHEN event_id % 5 = 1 OR (event_id % 5 = 0 AND event_id % 40 > 20) THEN 'valid' ELSE 'invalid' END AS status,
 CASE event_id % 5 WHEN 0 THEN CASE WHEN event_id % 40 > 20 THEN '' ELSE 'auth_token' END WHEN 1 THEN '' WHEN 2 THEN CASE WHEN event_id % 40 + 1 > 20 THEN 'ct0' ELSE 'auth_token, ct0' END ELSE 'auth_token, ct0' END AS missing FROM events""")
 def _(t):
-    return audit.required_key_verdict(t.events.select("event_id", F.expr(_KV.replace("event_id % 40 + 1", "int(event_id % 40 + 1)").replace("'a', event_id % 40)", "'a', int(event_id % 40))").replace("'c', event_id % 40)", "'c', int(event_id % 40))")).alias("text")), "event_id", "text")
+    return audit.required_key_verdict(t.events.select("event_id", F.expr(_KV).alias("text")), "event_id", "text")
 
 
 @query("safe_projection", "SELECT true AS configured, false AS encrypted, CAST(event_id AS INTEGER) AS cookie_count, 0 AS youtube_cookie_count, 0 AS expired_count, 0 AS soon_expiring_count, 0 AS session_cookie_count, CAST(NULL AS VARCHAR) AS updated_at, CAST(NULL AS VARCHAR) AS last_verified_at, false AS last_verify_ok, event_type AS last_verify_message FROM events")

@@ -82,9 +82,6 @@ def _(t):
     return extract.extract_articles(t.pages)
 
 
-_DATE_KIND = """CASE o_orderkey % 7 WHEN 0 THEN {iso} WHEN 1 THEN {utc} WHEN 2 THEN {day} WHEN 3 THEN {long} WHEN 4 THEN {short} WHEN 5 THEN {british} ELSE 'soon' END"""
-
-
 @query("parse_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 6 THEN NULL ELSE o_orderdate END AS parsed FROM orders")
 def _(t):
     d = F.col("o_orderdate").cast("timestamp")
