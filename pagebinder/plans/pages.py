@@ -44,7 +44,15 @@ def _(t):
 _DECODE = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
 _H1 = _DECODE.format(r"regexp_replace(regexp_extract(html, '(?s)<article><h1>([^<]*)</h1>', 1), '^\s+|\s+$', '', 'g')")
 _HOST = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)"
-_CONTENT = rf"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract({_CLEAN}, '(?s)<article>.*</article>'), '<p>\s*</p>', '', 'g'), '\s+', ' ', 'g'), '>\s+<', '><', 'g'))"""
+def _cleaned(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace({x}, '<p>\s*</p>', '', 'g'), '\s+', ' ', 'g'), '>\s+<', '><', 'g'))"
+
+
+_ARTICLE = _cleaned(f"regexp_extract({_CLEAN}, '(?s)<article>.*</article>')")
+# a short article gives way to the body, which runs to the end where it isn't closed
+_OPEN = f"regexp_replace(regexp_extract({_CLEAN}, '(?s)<body>.*'), '(?s)(</body>).*', '</body>')"
+_BODY = _cleaned(f"""regexp_replace(regexp_replace(regexp_replace({_OPEN}, '(?s)<nav>.*?</nav>', '', 'g'), '(?s)<footer>.*?</footer>', '', 'g'), '(?s)<div class="ad">.*?</div>', '', 'g')""")
+_CONTENT = f"CASE WHEN length({_ARTICLE}) > 100 THEN {_ARTICLE} ELSE {_BODY} END"
 
 
 @query("extract_title", f"SELECT page_id, {_H1} AS title FROM pages")
