@@ -141,8 +141,8 @@ _tokenizers: dict = {}
 
 class Encoder:
     """Ids by the tokenizers library. A byte-level BPE parts texts before single spaces, so the ids of a text are those
-    of its pieces; ids of pieces are kept for the task (for `KEEP` pieces at most), as bytes of unsigned 32-bit
-    little-endian integers. Texts with double spaces or with what could be a special token are encoded whole."""
+    of its pieces; ids of pieces are kept by the worker, as bytes of unsigned 32-bit little-endian integers: of `KEEP` pieces, and of
+    as many that were kept before them and may come back. Texts with double spaces or with what could be a special token are encoded whole."""
 
     KEEP = 1_000_000
     NEWLINE = 198  # the id of "\n", which stands alone before a space
@@ -153,6 +153,7 @@ class Encoder:
 
         self.of = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.of.encode_batch_fast(texts, add_special_tokens=False)]
@@ -174,19 +175,31 @@ class Encoder:
                 a = b + 4
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if "  " in t or "<|" in t else (" " + t if t[:1] != " " else None) for t in texts]
-        pieces = [t.split(" ")[1:] if t is not None else None for t in split]
-        if len(self.kept) > self.KEEP:
-            self.kept = {}
-        new = list({w for p in pieces if p for w in p[1:]} - self.kept.keys())
+    def _learn(self, words: set[str]) -> None:
+        """Keeps the ids of words: those that were kept before the last turn move, others are encoded."""
+        if len(self.kept) + len(words) > self.KEEP:
+            self.kept, self.old = {}, self.kept
+        back = words & self.old.keys()
+        self.kept.update((w, self.old[w]) for w in back)
+        new = list(words - back)
         for k in range(0, len(new), 20_000):
             self.kept.update(self._pieces(new[k : k + 20_000]))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        pieces = [None if "  " in t or "<|" in t or t[:1] == " " else t.split(" ") for t in texts]
+        get = self.kept.get
+        ids = [p and list(map(get, p[1:])) for p in pieces]
+        lacking = [k for k, x in enumerate(ids) if x and None in x]
+        if lacking:
+            self._learn({w for k in lacking for w, x in zip(pieces[k][1:], ids[k], strict=True) if x is None})
+            get = self.kept.__getitem__
+            for k in lacking:
+                ids[k] = [get(w) if x is None else x for w, x in zip(pieces[k][1:], ids[k], strict=True)]
         whole = [k for k, p in enumerate(pieces) if p is None]
         alone = dict(zip(whole, self._ids([texts[k] for k in whole]), strict=True))
-        heads = dict(zip(heads := list({p[0] for p in pieces if p}), self._ids(heads), strict=True))
-        get = self.kept.__getitem__
-        return [alone[k] if p is None else b"".join([heads[p[0]], *map(get, p[1:])]) for k, p in enumerate(pieces)]
+        heads = list({p[0] for p in pieces if p})
+        head = dict(zip(heads, self._ids(heads), strict=True))
+        return [alone[k] if p is None else b"".join([head[p[0]], *x]) for k, (p, x) in enumerate(zip(pieces, ids, strict=True))]
 
 
 def encoder(path: str) -> Encoder:
