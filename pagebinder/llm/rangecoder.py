@@ -19,8 +19,8 @@ WEIGHT_BITS, ID_BITS = 10, 18
 _BITS = np.uint64(WEIGHT_BITS + ID_BITS)
 #: Ids must be below this.
 VOCABULARY = 1 << 17
-_TOP, _BOT = np.uint64(1 << 56), np.uint64(1 << 48)
-_8, _56, _ID, _1 = np.uint64(8), np.uint64(56), np.uint64(ID_BITS), np.uint64(1)
+_TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
+_16, _48, _ID, _1 = np.uint64(16), np.uint64(48), np.uint64(ID_BITS), np.uint64(1)
 _HASH_BITS = 18
 _HEAD = struct.Struct("<IIII")  # ids, lanes, size of the vocabulary, crc32 of the ids as unsigned 32-bit integers
 
@@ -84,7 +84,7 @@ def _shape(n: int) -> tuple[int, int]:
 
 
 def _ready(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
-    """Which lanes have a byte to move; a range that is too short but spans a border is cut off there."""
+    """Which lanes have two bytes to move; a range that is too short but spans a border is cut off there."""
     same = (low ^ (low + rng)) < _TOP
     short = rng < _BOT
     if (cut := short & ~same).any():
@@ -106,8 +106,8 @@ def encode(ids: np.ndarray) -> bytes:
     grid[:n] = ids
     model = _Model(vocabulary, lanes, False)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    width = 5 * steps + 24
-    out, at = np.zeros(lanes * width, np.uint8), np.arange(lanes) * width
+    width = 3 * steps + 16
+    out, at = np.zeros(lanes * width, np.uint16), np.arange(lanes) * width
     for x in np.ascontiguousarray(grid.reshape(lanes, steps).T):
         model.predict()
         choice = model.context * 3 + np.where(model.p2 == x, 0, 2 - (model.p1 == x))
@@ -122,20 +122,20 @@ def encode(ids: np.ndarray) -> bytes:
         go = _ready(low, rng)
         while len(go):
             l = low[go]  # noqa: E741
-            out[at[go]] = l >> _56
+            out[at[go]] = l >> _48
             at[go] += 1
-            l <<= _8
-            r = rng[go] << _8
+            l <<= _16
+            r = rng[go] << _16
             more = _ready(l, r)
             low[go], rng[go] = l, r
             go = go[more]
         model.learn(x, choice)
-    for _ in range(8):
-        out[at] = low >> _56
+    for _ in range(4):
+        out[at] = low >> _48
         at += 1
-        low <<= _8
+        low <<= _16
     lengths = at - np.arange(lanes) * width
-    body = b"".join(out[k * width : k * width + m].tobytes() for k, m in enumerate(lengths.tolist()))
+    body = b"".join(out[k * width : k * width + m].astype("<u2").tobytes() for k, m in enumerate(lengths.tolist()))
     return _HEAD.pack(n, lanes, vocabulary, zlib.crc32(ids.astype("<u4").tobytes())) + lengths.astype("<u4").tobytes() + body
 
 
@@ -146,12 +146,12 @@ def decode(block: bytes) -> np.ndarray:
         return np.zeros(0, np.int32)
     steps = -(-n // lanes)
     lengths = np.frombuffer(block, "<u4", lanes, _HEAD.size).astype(np.int64)
-    data = np.concatenate([np.frombuffer(block, np.uint8, -1, _HEAD.size + 4 * lanes), np.zeros(16, np.uint8)])
+    data = np.concatenate([np.frombuffer(block, "<u2", -1, _HEAD.size + 4 * lanes), np.zeros(16, np.uint16)]).astype(np.uint16)
     at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     model = _Model(vocabulary, lanes, True)
     low, rng, code = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64), np.zeros(lanes, np.uint64)
-    for _ in range(8):
-        code = (code << _8) | data[at]
+    for _ in range(4):
+        code = (code << _16) | data[at]
         at += 1
     grid = np.zeros((steps, lanes), np.int32)
     top = len(data) - 1
@@ -176,8 +176,8 @@ def decode(block: bytes) -> np.ndarray:
         rng *= freq
         go = _ready(low, rng)
         while len(go):
-            l, r = low[go] << _8, rng[go] << _8  # noqa: E741
-            code[go] = (code[go] << _8) | data[np.minimum(at[go], top)]
+            l, r = low[go] << _16, rng[go] << _16  # noqa: E741
+            code[go] = (code[go] << _16) | data[np.minimum(at[go], top)]
             at[go] += 1
             more = _ready(l, r)
             low[go], rng[go] = l, r
