@@ -106,6 +106,25 @@ def _(t):
     return bundles.archive_manifest(files, "video")
 
 
+@query("read_session_meta", """SELECT user_id AS session_id, CASE WHEN user_id % 7 <> 0 THEN count(*) END AS total, CASE WHEN user_id % 7 <> 0 THEN max(event_type) END AS status FROM events GROUP BY user_id""")
+def _(t):
+    from ..sources.readers import read_session_meta
+
+    g = t.events.groupBy("user_id").agg(F.to_json(F.struct(F.count("*").alias("total"), F.max("event_type").alias("status"))).alias("body"))
+    broken = F.when(F.col("user_id") % 7 == 0, "{oops").otherwise(F.col("body"))
+    return read_session_meta(g.withColumn("body", broken), "user_id", "body").select("session_id", F.col("total").cast("long").alias("total"), "status")
+
+
+@query("read_article_store", "SELECT url, html AS content, CASE WHEN page_id % 3 <> 0 THEN TIMESTAMP '2024-01-02 03:04:05' END AS published_at FROM pages")
+def _(t):
+    from ..sources.readers import read_article_store
+    from ..sources.sinks import scratch
+
+    at = F.when(F.col("page_id") % 3 == 0, "some day").otherwise("2024-01-02T03:04:05")
+    t.pages.select("url", F.col("html").alias("content"), at.alias("published_at")).write.json(folder := scratch(t.spark, "store"))
+    return read_article_store(t.spark, folder, lines=True).select("url", "content", "published_at")
+
+
 # --- attempts ---
 
 _I = """i AS (SELECT user_id AS batch, event_id AS pos, CASE WHEN event_id % 3 = 0 THEN 'thread' ELSE 'web' END AS kind, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'unsupported' ELSE 'ok' END AS outcome,

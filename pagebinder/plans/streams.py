@@ -41,7 +41,7 @@ def _(t):
     return out.join(last, ["job", "trigger"]).drop("trigger")
 
 
-@query("stream_idle_sessions")
+@query("stream_idle_sessions", SQL["idle_timeouts"] + " HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def _(t):
     return _run(t, st.stream_idle_sessions(job_events(_Stream(t)), "6 hours"))
 

@@ -58,9 +58,9 @@ def read_playlist_meta(df: DataFrame, body: str) -> DataFrame:
 ARTICLE = "title string, author string, content string, published_at string, source_url string, source_type string, url string"
 
 
-def read_article_store(spark: SparkSession, folder: str) -> DataFrame:
-    """Saved articles, a JSON file each; times that don't parse are null. Files that begin with _ are not read."""
-    return spark.read.schema(ARTICLE).option("multiLine", True).json(folder).withColumn("published_at", F.col("published_at").try_cast("timestamp"))
+def read_article_store(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """Saved articles, a JSON file each, or a line each; times that don't parse are null. Files that begin with _ are not read."""
+    return spark.read.schema(ARTICLE).option("multiLine", not lines).json(folder).withColumn("published_at", F.col("published_at").try_cast("timestamp"))
 
 
 META = "urls array<string>, total int, status string, created_at string, updated_at string"
