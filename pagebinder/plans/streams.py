@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources.sinks import scratch
 from ..streaming import jobs as st
+from . import pages  # noqa: F401
 from .base import SQL, query
 from .sessions import items, job_events
 
@@ -63,7 +64,8 @@ def _(t):
     return out.groupBy("job").agg(F.bool_or("done").alias("done"), F.max("n").alias("n"))
 
 
-@query("stream_extract_articles")
+@query("stream_extract_articles", f"""WITH x AS ({SQL["extract_articles"]}) SELECT page_id, title, author, content, published_at, source_url AS url, source_type, status, error, 0 AS session_id FROM x
+QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY page_id DESC) = 1""")
 def _(t):
     store = scratch(t.spark, "articles")
     st.stream_extract_articles(_Stream(t).pages, store, f"{store}-state").awaitTermination()
