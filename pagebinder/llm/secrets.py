@@ -4,13 +4,13 @@ Patterns find candidates in every text: the fixed kinds `assign`, `access` and `
 bearer headers, credentials in addresses, long mixed strings). Hashes of the candidates' values are counted over the whole
 corpus, by distinct repositories and distinct owners. A value that several owners have is an example that was copied around;
 a value of one owner, however often it repeats there, looks live. Fixed kinds are reported either way, with their class;
-wide ones only where they look live.
+wide ones only where they look live. redacted() masks them all: a value that was copied may still be in use.
 
 Places of matches come from the parts between them (split) and the matches (regexp_extract_all), which use the same engine, in
 code points. Texts are not shuffled: a text has one stored row with its matches, then a row for each.
 
 Defined results: null texts count as empty; repeated rows get repeated results; a row whose owner is null has an owner of its own
-kind, null. Of wide matches, those that overlap a fixed one are dropped.
+kind, null. Wide matches stand beside fixed ones that they overlap.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ WIDE = {
     "bearer": (r"(?i:bearer)\x20+([A-Za-z0-9._~+/-]{20,})", 1, 20),
     "provider": (r"\b((?:ghp|gho|glpat|sk|xox[abp])[-_][A-Za-z0-9_-]{16,})", 1, 20),
     "address": (r"://[^\s:/@]+:([^\s:/@]{6,})@", 1, 6),
-    "mixed": (r"(?<![A-Za-z0-9_-])((?=[A-Za-z0-9_-]{0,99}[0-9])(?=[A-Za-z0-9_-]{0,99}[a-z])(?=[A-Za-z0-9_-]{0,99}[A-Z])[A-Za-z0-9_-]{32,})", 1, 32),
+    "mixed": (r"(?<![A-Za-z0-9_-])((?=[A-Za-z0-9_-]*[0-9])(?=[A-Za-z0-9_-]*[a-z])(?=[A-Za-z0-9_-]*[A-Z])[A-Za-z0-9_-]{32,})", 1, 32),
 }
 ORDER = [*KINDS, *WIDE]
 #: Values of this many owners are copied examples.
@@ -68,15 +68,14 @@ def _spans(rows: Column) -> Column:
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: list[str] | None = None, copied_from: int = COPIED_FROM, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of docs: the columns `keep` (as a struct `kept`), doc_id, base (matches of the fixed kinds), found (all reported
-    matches, with `live`, owners and repositories of the value). repository: what tells repositories apart; by default each document is one."""
+    """Per row of docs: the columns `keep` (as a struct `kept`), doc_id, base (matches of the fixed kinds), found (all matches,
+    with `live`). repository: what tells repositories apart; by default each document is one."""
     t = F.coalesce(F.col(text), F.lit(""))
     repo = F.xxhash64(*(repository or [doc_id]))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.struct(F.lit(0).alias("_"), *keep).alias("kept"), F.col(owner).alias("owner"), repo.alias("repo"), *[matches(t, k).alias(f"m_{k}") for k in ORDER])
     base = F.array_sort(F.concat(*[f"m_{k}" for k in KINDS]))
     rows = rows.select("doc_id", "kept", "owner", "repo", base.alias("base"), F.concat(*[f"m_{k}" for k in WIDE]).alias("wide"))
-    apart = F.filter("wide", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    rows = stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "kept", "owner", "repo", "base", F.concat("base", apart).alias("all")), "candidates")
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "kept", "owner", "repo", "base", F.concat("base", "wide").alias("all")), "candidates")
     each = rows.select("row", "owner", "repo", F.explode("all").alias("m")).withColumn("h", F.xxhash64("m.value"))
     # distinct repositories first by owner, so that a value that all have is counted in parts
     by_owner = each.select("h", "owner", "repo").distinct().groupBy("h", "owner").agg(F.count("*").alias("repos"))
@@ -84,8 +83,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     # the few values that owners share; what isn't there looks live
     shared = stored(of.where(F.col("owners") >= copied_from), "shared")
     judged = each.join(F.broadcast(shared) if shared.count() <= BROADCAST_VALUES else shared, "h", "left").withColumn("live", F.col("owners").isNull())
-    reported = judged.where(F.col("live") | (F.col("m.rank") < len(KINDS)))
-    marked = reported.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("m.start", "m.rank", "m.end", "live", "m.value"))).alias("found"))
+    marked = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("m.start", "m.rank", "m.end", "live", "m.value"))).alias("found"))
     return rows.join(marked, "row", "left").select("kept", "doc_id", "base", F.coalesce("found", F.array().cast(marked.schema["found"].dataType)).alias("found"))
 
 
@@ -94,14 +92,16 @@ BROADCAST_VALUES = 1_000_000
 
 
 def report(scanned: DataFrame) -> DataFrame:
-    """Per row of a scan: doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end), n_live."""
+    """Per row of a scan: doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end; of wide kinds those that look
+    live), n_live."""
+    spans = F.filter("found", lambda m: m["live"] | (m["rank"] < len(KINDS)))
     count = [F.size(F.filter(F.transform("base", lambda m: m["rank"]), _is(r))).cast("long").alias(f"n_{k}") for r, k in enumerate(KINDS)]
     live = F.size(F.filter("found", lambda m: m["live"])).cast("long").alias("n_live")
-    return scanned.select("doc_id", *count, F.sha2(_spans(F.col("base")), 256).alias("base_sha256"), _spans(F.col("found")).alias("spans"), live)
+    return scanned.select("doc_id", *count, F.sha2(_spans(F.col("base")), 256).alias("base_sha256"), _spans(spans).alias("spans"), live)
 
 
 def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", mark: str = "[secret]", **kw) -> DataFrame:
-    """docs with the values of all reported matches in the text replaced by `mark`, all columns kept. Texts without matches
+    """docs with all matches in the text, live or copied, replaced by `mark`, all columns kept. Texts without matches
     stay as they are."""
     found = scan(docs, doc_id, text, owner, keep=tuple(docs.columns), **kw)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

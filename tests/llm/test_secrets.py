@@ -48,5 +48,17 @@ def test_redacted(docs):
     assert secrets.redacted(docs(rows)).columns == docs(rows).columns
 
 
+def test_redacted_copied(docs):
+    rows = [(k, f"use ghp_9999999999abcdefABCDEF{k // 3} now", owner) for k, owner in enumerate("abcab")]
+    assert {r.text for r in secrets.redacted(docs(rows)).collect()} == {"use [secret] now"}
+
+
+def test_wide_beside_base(docs):
+    rows = [(1, "Bearer abcd.0123456789abcdef01234567.EFGH"), (2, "x" * 150 + "A" * 150 + "7")]
+    got = {r.doc_id: r for r in secrets.report(secrets.scan(docs(rows))).collect()}
+    assert got[1].spans == "bearer:0:41,hex:12:36" and got[2].spans == "mixed:0:301"
+    assert sorted(r.text for r in secrets.redacted(docs(rows)).collect()) == ["[secret]", "[secret]"]
+
+
 def test_empty(docs):
     assert secrets.report(secrets.scan(docs([]))).count() == 0
