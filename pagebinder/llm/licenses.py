@@ -2,14 +2,15 @@
 
 Every text's rolling k-gram hashes are joined with the places of the same k-grams in license templates. A text that quotes a
 template has many hits on one diagonal (its place less the template's place), so hits are counted by diagonal;
-neighbouring diagonals, which inserted or missing words part, are merged, and a span counts if its hits cover enough of the
-template's words. Beside that stand plain phrases (`PHRASES`), found wherever their words stand one after the other.
+neighbouring diagonals, which inserted or missing words part, are merged. Spans are verified: words are compared, not hashes
+only, and a span counts if the distinct template words that stand in it are enough of the template. Beside that stand plain phrases (`PHRASES`), found wherever their words stand one after the other.
 
 The templates are a fixed list, far below a broadcast's bound (`BROADCAST_GRAMS`); a longer list is joined by a shuffle. Texts are not
 shuffled: after the join a text has one row and one for each hit.
 
-Defined results: null texts count as empty, with no words and labels; repeated rows get repeated results. score: the largest
-part of a template that a span covers, 1 with a phrase, 0 with neither.
+Defined results: null texts count as empty, with no words and labels; repeated rows get repeated results. score: 1 with a
+phrase; otherwise of the spans that count the largest part of a template that stands there unbroken (its distinct k-grams and k - 1,
+by its words, so breaks lower it, though not the covered part); 0 with neither.
 """
 
 from __future__ import annotations
@@ -45,20 +46,20 @@ TEMPLATES = [
 
 
 def template_grams(spark: SparkSession, templates: list[tuple[str, str]], k: int = K) -> DataFrame:
-    """h, tid, tpos, label, t_words."""
+    """h, tid, tpos, label, t_words, t_gram (the words)."""
     rows = [(t, label, text) for t, (label, text) in enumerate(templates)]
     words = spark.createDataFrame(rows, "tid int, label string, text string").withColumn("w", F.split("text", " "))
-    return words.select("tid", "label", F.size("w").alias("t_words"), F.posexplode(_grams(F.col("w"), k)).alias("tpos", "h"))
+    return words.select("tid", "label", F.size("w").alias("t_words"), F.posexplode(_grams(F.col("w"), k)).alias("tpos", "t_gram")).withColumn("h", F.xxhash64("t_gram"))
 
 
 def _grams(words: Column, k: int) -> Column:
     n = F.size(words) - k + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.slice(words, i, k))).otherwise(F.array().cast("array<array<string>>"))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, k: int = K, gap: int = GAP, cover: float = COVER) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_base (places of phrases), first_word, last_word, base_labels, labels, score, spans (of
-    templates: label, first word and end in the text, covered part)."""
+    templates: label, first word and end in the text, covered part, score)."""
     spark = docs.sparkSession
     low = docs.select(F.col(doc_id).alias("doc_id"), ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))
     words = low.select("doc_id", F.monotonically_increasing_id().alias("row"), F.array_remove(F.split("low", ALNUM_GAP), "").alias("w"), *[F.contains("low", F.lit(p.split()[-1])).alias(f"may{i}") for i, p in enumerate(phrases)])
@@ -73,22 +74,25 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     all_ = F.flatten(F.array(*[F.col(f"at{i}") for i in range(len(phrases))]))
     labels = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.size(f"at{i}") > 0, F.lit(x)) for i, x in enumerate(phrases.values())]), lambda x: x.isNotNull())))
     keys = ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base"]
-    base = found.select("row", "doc_id", "n_words", F.size(all_).cast("long").alias("n_base"), F.array_min(all_).cast("long").alias("first_word"), F.array_max(all_).cast("long").alias("last_word"), F.array_join(labels, ",").alias("base"), F.posexplode_outer("grams").alias("pos", "h"))
+    base = found.select("row", "doc_id", "n_words", F.size(all_).cast("long").alias("n_base"), F.array_min(all_).cast("long").alias("first_word"), F.array_max(all_).cast("long").alias("last_word"), F.array_join(labels, ",").alias("base"), F.posexplode_outer("grams").alias("pos", "gram")).withColumn("h", F.xxhash64("gram"))
     of = template_grams(spark, templates, k)
     if sum(len(t.split()) for _, t in templates) <= BROADCAST_GRAMS:
         of = F.broadcast(of)
-    hits = base.join(of, "h", "left").where("tid is not null or pos is null or pos = 0")
+    hits = base.join(of, (base["h"] == of["h"]) & (F.col("gram") == F.col("t_gram")), "left").where("tid is not null or pos is null or pos = 0")
     # votes of diagonals
-    votes = hits.groupBy(*keys, "tid", "label", "t_words", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.count("tid").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    votes = hits.groupBy(*keys, "tid", "label", "t_words", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     order = Window.partitionBy("row", "tid").orderBy("diagonal")
     islands = votes.withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > gap).cast("int"), F.lit(1)))
     islands = islands.withColumn("island", F.sum("new").over(order))
-    spans = islands.groupBy(*keys, "tid", "label", "t_words", "island").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
-    covered = F.least(F.lit(1.0), (F.col("votes") + k - 1) / F.col("t_words"))
-    spans = spans.withColumn("span", F.when(F.col("tid").isNotNull() & (covered >= cover), F.struct("label", "first", (F.col("last") + k).alias("end"), covered.alias("covered"))))
+    spans = islands.groupBy(*keys, "tid", "label", "t_words", "island").agg(F.array_distinct(F.flatten(F.collect_list("votes"))).alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
+    # a gram covers k words of the template from its place on
+    places_ = F.array_distinct(F.flatten(F.transform("votes", lambda p: F.sequence(p, p + (k - 1)))))
+    covered = F.size(places_) / F.col("t_words")
+    unbroken = (F.size("votes") + k - 1) / F.col("t_words")
+    spans = spans.withColumn("span", F.when(F.col("tid").isNotNull() & (covered >= cover), F.struct("label", "first", (F.col("last") + k).alias("end"), covered.alias("covered"), unbroken.alias("score"))))
     out = spans.groupBy(*keys).agg(F.array_sort(F.collect_list("span")).alias("spans"))
     all_labels = F.array_sort(F.array_distinct(F.concat(F.filter(F.split("base", ","), lambda x: x != ""), F.transform("spans", lambda s: s["label"]))))
-    score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("spans", lambda s: s["covered"])), F.lit(0.0)))
+    score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.col("base").alias("base_labels"), F.array_join(all_labels, ",").alias("labels"), score.alias("score"), "spans")
 
 

@@ -122,3 +122,11 @@ def test_licenses(docs):
     assert got[6].labels == "mit" and got[6].score < 1
     assert got[7].labels == "cc" and got[8].n_base == 3
     assert licenses.scan(docs([])).count() == 0
+
+
+def test_license_spans_are_verified(docs):
+    rows = [(1, "cc by 4 cc by 4 cc by 4"), (2, "licensed under cc x by 4 0"), (3, "licensed under cc by 4 0")]
+    got = {r.doc_id: r for r in licenses.scan(docs(rows), templates=[("cc", "licensed under cc by 4 0")]).collect()}
+    assert [got[k].labels for k in (1, 2, 3)] == ["", "cc", "cc"]
+    assert [got[k].score for k in (1, 2, 3)] == [0.0, 4 / 6, 1.0]
+    assert [(s["first"], s["end"], s["covered"]) for s in got[2].spans] == [(0, 7, 1.0)]
