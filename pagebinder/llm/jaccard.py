@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import grams, mixed, small_batches, stored, words_of
 
@@ -208,7 +209,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, class, component_id (the smallest doc_id that links reach, its own included)."""
+    """Per row of docs: doc_id, n_shingles, class, component_id (the smallest doc_id that links reach, its own included),
+    component (the same for rows that links join and no others; where a doc_id is repeated, component_id may not tell)."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = stored(signatures(docs, doc_id, text, words), "signatures")
@@ -240,24 +242,49 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     named = named.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     smallest = named.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("rows").alias("size")).where("size > 1").select("comp", "component_id")
-    named = stored(named.join(smallest, "comp").select("class", "component_id"), "components")
+    named = stored(named.join(smallest, "comp").select("class", "component_id", "comp"), "components")
     out = rows.join(named, (rows["class"] == named["class"]) & (rows["n_shingles"] > 0), "left")
-    return out.select("doc_id", "n_shingles", rows["class"], F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", rows["class"], F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("comp", rows["class"]).alias("component"))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """The rows of docs, all columns, without those that link (directly or not) to a document of a smaller doc_id. Rows that
-    repeat a doc_id: one stays of equal sets, chosen by Spark."""
-    found = near_duplicates(docs, doc_id, text, **kw)
-    gone = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias(doc_id)).distinct(), "gone")
-    return without(docs, gone, doc_id)
+    """The rows of docs, all columns, without those that link (directly or not) to a document of a smaller doc_id. Of rows that
+    repeat a doc_id, each is judged by its own text, and one stays of those that link or are equal."""
+    found = stored(near_duplicates(docs, doc_id, text, **kw).withColumnRenamed("doc_id", doc_id), "found")
+    repeated = stored(found.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").select(doc_id), "repeated")
+    gone = stored(found.where(F.col("component_id") != F.col(doc_id)).select(doc_id).unionByName(repeated).distinct(), "gone")
+    once = without(docs, gone, doc_id)
+    if repeated.isEmpty():
+        return once
+    signed = _signed(_by_id(docs, repeated, doc_id, "left_semi"), doc_id, text, kw.get("words", WORDS))
+    stay = _by_id(found, repeated, doc_id, "left_semi").where(F.col("component_id") == F.col(doc_id)).select(F.col(doc_id).alias("id"), "class", "component").distinct()
+    # partial picks come before the shuffle, so a doc_id that many rows have is one row a task there
+    picked = signed.groupBy("id", "class").agg(F.min_by("kept", "t").alias("kept"), F.min("t").alias("t"))
+    picked = picked.join(stay, ["id", "class"]).groupBy("id", "component").agg(F.min_by("kept", F.struct("class", "t")).alias("kept"))
+    return once.unionByName(picked.select(*[F.col("kept")[c].alias(c) for c in docs.columns]))
+
+
+def _signed(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+    """Per row of docs: kept (its columns), id, t (its text, null as empty), class."""
 
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_classes(_sets(batch.column(2), words)))], names=["kept", "id", "t", "class"])
+
+    rows = docs.select(F.struct(*docs.columns).alias("kept"), F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    return rows.mapInArrow(sign, T.StructType([*rows.schema.fields, T.StructField("class", T.LongType())]))
 
-#: Ids to drop are broadcast up to this many (8 bytes each); beyond, both sides are shuffled.
+
+#: Ids are broadcast up to this many (8 bytes each); beyond, both sides are shuffled.
 BROADCAST_IDS = 4_000_000
 
 
 def without(docs: DataFrame, gone: DataFrame, doc_id: str) -> DataFrame:
     """gone must be stored, so that counting it is cheap."""
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge")
-    return docs.join(gone, doc_id, "left_anti")
+    return _by_id(docs, gone, doc_id, "left_anti")
+
+
+def _by_id(docs: DataFrame, ids: DataFrame, doc_id: str, how: str) -> DataFrame:
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    return docs.join(ids, doc_id, how)

@@ -63,6 +63,13 @@ def test_deduplicated(docs):
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, _, c in brute(rows) if i == c)
 
 
+def test_deduplicated_repeated_ids(docs):
+    a, b, c, near = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (7, c.upper()), (8, None), (8, ""), (9, near), (9, near + " more")]
+    got = sorted((r.doc_id, r.text or "") for r in jaccard.deduplicated(docs(rows)).collect())
+    assert [(i, t.lower()[:2]) for i, t in got] == [(1, "a0"), (5, "b0"), (7, "c0"), (8, ""), (9, "d0")]
+
+
 def test_long_path(docs):
     words = [f"w{k}" for k in range(400)]
     rows = [(k, " ".join(words[k * 3 : k * 3 + 60])) for k in range(100)]  # each is near its neighbours only
