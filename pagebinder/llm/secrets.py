@@ -2,14 +2,15 @@
 
 Patterns find candidates in every text: the fixed kinds `assign`, `access` and `hex`, and wider ones (`WIDE`: provider tokens,
 bearer headers, credentials in addresses, long mixed strings). Hashes of the candidates' values are counted over the whole
-corpus, by distinct repositories and distinct owners. A value that several owners have is an example that was copied around;
-a value of one owner, however often it repeats there, looks live. Fixed kinds are reported either way, with their class;
-wide ones only where they look live. redacted() masks them all: a value that was copied may still be in use.
+corpus, by distinct repositories and distinct owners. A value that `COPIED_FROM` owners and repositories have, or more, is an
+example that was copied widely; one of fewer, however often it repeats there, looks live. So a key that one other source mirrors
+stays live. Fixed kinds are reported either way, with their class; wide ones only where they look live. redacted() masks them all, each by its class.
 
 Places of matches come from the parts between them (split) and the matches (regexp_extract_all), which use the same engine, in
-code points. Texts are not shuffled: a text has one stored row with its matches, then a row for each.
+code points. A text has one stored row with its matches, then a row for each match. scan() shuffles matches, never texts; the
+columns `keep` are shuffled for rows with matches only.
 
-Defined results: null texts count as empty; repeated rows get repeated results; a row whose owner is null has an owner of its own
+Defined results: null texts count as empty (and redacted() keeps them null); repeated rows get repeated results; a row whose owner is null has an owner of its own
 kind, null. Wide matches stand beside fixed ones that they overlap.
 """
 
@@ -34,8 +35,39 @@ WIDE = {
     "mixed": (r"(?<![A-Za-z0-9_-])((?=[A-Za-z0-9_-]*[0-9])(?=[A-Za-z0-9_-]*[a-z])(?=[A-Za-z0-9_-]*[A-Z])[A-Za-z0-9_-]{32,})", 1, 32),
 }
 ORDER = [*KINDS, *WIDE]
-#: Values of this many owners are copied examples.
-COPIED_FROM = 2
+#: Values of this many owners, in as many repositories, are copied examples.
+COPIED_FROM = 3
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once: a lambda's body is computed for each element, with all that it names."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Elements that _before folds into one growing list.
+_FOLD = 64
+
+
+def _before(x: Column, zero: Column, op) -> Column:
+    """Of each element of an array (not empty) op over zero and all before it, op being associative and zero neutral. A fold copies
+    its list at every step, so lists of `_FOLD` elements are folded, then their results."""
+
+    def grown(xs: Column) -> Column:
+        return F.aggregate(xs, F.array(zero), lambda acc, v: F.concat(acc, F.array(op(F.element_at(acc, -1), v))))
+
+    def joined(parts: Column) -> Column:
+        ends = grown(F.transform(parts, lambda part: F.element_at(part, -1)))
+        shifted = F.zip_with(parts, F.slice(ends, 1, F.size(parts)), lambda part, base: F.transform(F.slice(part, 1, F.size(part) - 1), lambda v: op(base, v)))
+        return F.flatten(shifted)
+
+    def parts_of(xs: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _FOLD).cast("int"))
+        return F.transform(starts, lambda b: grown(F.slice(xs, b * _FOLD + 1, F.lit(_FOLD))))
+
+    return _let(x, lambda xs: _let(parts_of(xs), joined))
+
+
+_MATCHES = "array<struct<start:int,rank:int,end:int,value:string>>"
 
 
 def matches(text: Column, kind: str) -> Column:
@@ -43,19 +75,17 @@ def matches(text: Column, kind: str) -> Column:
     too short are dropped."""
     pattern, group, least = {**KINDS, **WIDE}[kind]
     pattern = _HEX if kind == "hex" else pattern
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    between = F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>").alias("out"))
+    found = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m, v: F.struct(F.length(m).alias("length"), v.alias("value")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["between"])
-        end = start + F.length(x["found"])
-        row = F.struct(start.alias("start"), F.lit(ORDER.index(kind)).alias("rank"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
+    def placed(parts: Column) -> Column:
+        """parts: of each match the length of what is between it and the one before, its own length, its value."""
+        at = _before(F.transform(parts, lambda x: x["gap"] + x["length"]), F.lit(0), lambda a, b: a + b)
+        rows = F.zip_with(parts, at, lambda x, a: F.struct((a + x["gap"]).alias("start"), F.lit(ORDER.index(kind)).alias("rank"), (a + x["gap"] + x["length"]).alias("end"), x["value"].alias("value")))
+        return F.filter(rows, lambda r: F.length(r["value"]) >= least)
 
-    parts = F.transform(found, lambda m, i: F.struct(F.get(between, i).alias("between"), m.alias("found"), F.get(values, i).alias("value")))
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(parts, empty, step, lambda acc: acc["out"])).otherwise(empty["out"])
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    parts = _let(found, lambda m: F.zip_with(m, F.slice(gaps, 1, F.size(m)), lambda x, g: F.struct(g.alias("gap"), x["length"].alias("length"), x["value"].alias("value"))))
+    return F.when(F.regexp_like(text, F.lit(pattern)), _let(parts, placed)).otherwise(F.array().cast(_MATCHES))
 
 
 def _is(value: int):
@@ -68,23 +98,29 @@ def _spans(rows: Column) -> Column:
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: list[str] | None = None, copied_from: int = COPIED_FROM, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of docs: the columns `keep` (as a struct `kept`), doc_id, base (matches of the fixed kinds), found (all matches,
-    with `live`). repository: what tells repositories apart; by default each document is one."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    repo = F.xxhash64(*(repository or [doc_id]))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.struct(F.lit(0).alias("_"), *keep).alias("kept"), F.col(owner).alias("owner"), repo.alias("repo"), *[matches(t, k).alias(f"m_{k}") for k in ORDER])
+    """Per row of docs: doc_id, base (matches of the fixed kinds), found (all matches, with `live`), then the columns `keep` as k0,
+    k1 and so on. repository: what tells repositories apart; by default each document is one."""
+    of = lambda c: F.col(f"`{c}`")
+    t = F.coalesce(of(text), F.lit(""))
+    repo = F.xxhash64(*[of(c) for c in repository or [doc_id]])
+    kept = [of(c).alias(f"k{k}") for k, c in enumerate(keep)]
+    rows = docs.select(of(doc_id).alias("doc_id"), of(owner).alias("owner"), repo.alias("repo"), *kept, *[matches(t, k).alias(f"m_{k}") for k in ORDER])
+    kept = [f"k{k}" for k in range(len(keep))]
     base = F.array_sort(F.concat(*[f"m_{k}" for k in KINDS]))
-    rows = rows.select("doc_id", "kept", "owner", "repo", base.alias("base"), F.concat(*[f"m_{k}" for k in WIDE]).alias("wide"))
-    rows = stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "kept", "owner", "repo", "base", F.concat("base", "wide").alias("all")), "candidates")
+    rows = rows.select("doc_id", "owner", "repo", *kept, base.alias("base"), F.concat(*[f"m_{k}" for k in WIDE]).alias("wide"))
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repo", *kept, "base", F.concat("base", "wide").alias("all")), "candidates")
     each = rows.select("row", "owner", "repo", F.explode("all").alias("m")).withColumn("h", F.xxhash64("m.value"))
     # distinct repositories first by owner, so that a value that all have is counted in parts
     by_owner = each.select("h", "owner", "repo").distinct().groupBy("h", "owner").agg(F.count("*").alias("repos"))
-    of = by_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    # the few values that owners share; what isn't there looks live
-    shared = stored(of.where(F.col("owners") >= copied_from), "shared")
+    counted = by_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    # the few values that are copied widely; what isn't there looks live
+    shared = stored(counted.where((F.col("owners") >= copied_from) & (F.col("repos") >= copied_from)), "shared")
     judged = each.join(F.broadcast(shared) if shared.count() <= BROADCAST_VALUES else shared, "h", "left").withColumn("live", F.col("owners").isNull())
     marked = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("m.start", "m.rank", "m.end", "live", "m.value"))).alias("found"))
-    return rows.join(marked, "row", "left").select("kept", "doc_id", "base", F.coalesce("found", F.array().cast(marked.schema["found"].dataType)).alias("found"))
+    # only rows with matches meet their marks; the others, most of them, stay where they are
+    out = rows.where(F.size("all") > 0).join(marked, "row").select("doc_id", "base", "found", *kept)
+    none = F.array().cast(marked.schema["found"].dataType).alias("found")
+    return out.unionByName(rows.where(F.size("all") == 0).select("doc_id", "base", none, *kept))
 
 
 #: Hashes with their counts that are broadcast; beyond, both sides are shuffled.
@@ -100,18 +136,36 @@ def report(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *count, F.sha2(_spans(F.col("base")), 256).alias("base_sha256"), _spans(spans).alias("spans"), live)
 
 
-def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", mark: str = "[secret]", **kw) -> DataFrame:
-    """docs with all matches in the text, live or copied, replaced by `mark`, all columns kept. Texts without matches
-    stay as they are."""
-    found = scan(docs, doc_id, text, owner, keep=tuple(docs.columns), **kw)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.col(f"kept.{text}")
+#: Code points of the parts that a text is cut into for _cut.
+_PART = 4096
+
+
+def _cut(parts: Column, begin: Column, end: Column) -> Column:
+    """The code points begin to end (exclusive) of the text that parts of `_PART` code points make. substring() counts from its
+    text's start, so it is given no more than it needs."""
+    first = F.floor(begin / _PART).cast("int")
+    some = F.array_join(F.slice(parts, first + 1, F.floor(end / _PART).cast("int") - first + 1), "")
+    return F.substring(some, begin - first * _PART + 1, end - begin)
+
+
+def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", mark: str = "[secret]", copied: str = "[example secret]", **kw) -> DataFrame:
+    """docs, all columns, with every match in the text replaced as a whole: by `mark` where it looks live, by `copied` where its value
+    is copied widely. Of matches that overlap the later one replaces what the earlier ones left. Texts without matches stay as they are."""
+    codes = [f"c{k}" for k in range(len(docs.columns))]
+    place = {c: codes[k] for k, c in reversed(list(enumerate(docs.columns)))}
+    found = scan(docs.toDF(*codes), place[doc_id], place[text], place[owner], keep=tuple(codes), **kw)
+    whole = F.col(f"k{codes.index(place[text])}")
+
+    def masked(parts: Column) -> Column:
+        done = _before(F.transform("found", lambda m: m["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
+
+        def piece(m: Column, at: Column) -> Column:
+            begin = F.greatest(at, m["start"])
+            return F.when(m["end"] > at, F.concat(F.when(begin > at, _cut(parts, at, begin)).otherwise(""), F.when(m["live"], F.lit(mark)).otherwise(F.lit(copied)))).otherwise("")
 
-    def step(acc: Column, m: Column) -> Column:
-        begin = F.greatest(acc["at"], m["start"])
-        piece = F.substring(whole, acc["at"] + 1, F.greatest(begin - acc["at"], F.lit(0)))
-        new = F.struct(m["end"].alias("at"), F.concat(acc["out"], piece, F.lit(mark)).alias("out"))
-        return F.when(m["end"] <= acc["at"], acc).otherwise(new)
+        last = F.array_max(F.transform("found", lambda m: m["end"]))
+        return F.concat(F.array_join(F.zip_with("found", done, piece), ""), _cut(parts, last, F.length(whole)))
 
-    clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
-    return found.select(*[F.when(F.size("found") > 0, clean).otherwise(whole).alias(c) if c == text else F.col(f"kept.`{c}`").alias(c) for c in docs.columns])
+    clean = _let(F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{_PART}}}"), F.lit(0)), masked)
+    new = F.when(F.size("found") > 0, clean).otherwise(whole)
+    return found.select(*[new.alias(c) if c == place[text] else F.col(f"k{k}").alias(c) for k, c in enumerate(codes)]).toDF(*docs.columns)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pagebinder.llm import secrets
@@ -35,9 +36,10 @@ def test_base_spans(docs):
 
 def test_ownership(docs):
     rows = [(k, "password=copied123", f"owner{k}") for k in range(5)] + [(10, "password=mine99999", "a"), (11, "password=mine99999", "a")]
-    rows += [(20, "use ghp_0123456789abcdefABCDEF", "a"), (21, "use ghp_9999999999abcdefABCDEF", "a"), (22, "see ghp_9999999999abcdefABCDEF", "b")]
+    rows += [(20, "use ghp_0123456789abcdefABCDEF", "a"), (21, "use ghp_9999999999abcdefABCDEF", "a"), (22, "see ghp_9999999999abcdefABCDEF", "b"), (23, "see ghp_9999999999abcdefABCDEF", "c")]
+    rows += [(30, "mirrored ghp_5555555555abcdefABCDEF", "a"), (31, "mirrored ghp_5555555555abcdefABCDEF", "b")]
     got = {r.doc_id: r for r in secrets.report(secrets.scan(docs(rows))).collect()}
-    assert [got[k].n_live for k in (0, 10, 11, 20, 21)] == [0, 1, 1, 1, 0]
+    assert [got[k].n_live for k in (0, 10, 11, 20, 21, 30)] == [0, 1, 1, 1, 0, 1]
     assert got[20].spans == "provider:4:30" and got[21].spans == ""
 
 
@@ -50,7 +52,69 @@ def test_redacted(docs):
 
 def test_redacted_copied(docs):
     rows = [(k, f"use ghp_9999999999abcdefABCDEF{k // 3} now", owner) for k, owner in enumerate("abcab")]
-    assert {r.text for r in secrets.redacted(docs(rows)).collect()} == {"use [secret] now"}
+    got = {r.doc_id: r.text for r in secrets.redacted(docs(rows)).collect()}
+    assert got == {0: "use [example secret] now", 1: "use [example secret] now", 2: "use [example secret] now", 3: "use [secret] now", 4: "use [secret] now"}
+
+
+def wide(text):
+    """Spans of the wide kinds, by Python's engine: (start, kind, end, value)."""
+    patterns = {
+        "bearer": r"[bB][eE][aA][rR][eE][rR] +([A-Za-z0-9._~+/-]{20,})", "provider": r"(?a:\b)((?:ghp|gho|glpat|sk|xox[abp])[-_][A-Za-z0-9_-]{16,})", "address": r"://[^\s:/@]+:([^\s:/@]{6,})@",
+        "mixed": r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{32,})",
+    }
+    found = [(m.start(), k, m.end(), m[1]) for k, p in patterns.items() for m in re.finditer(p, text)]
+    return [f for f in found if f[1] != "mixed" or all(re.search(c, f[3]) for c in ("[0-9]", "[a-z]", "[A-Z]"))]
+
+
+def base(text):
+    found = [(m.start(), "assign", m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), "access", m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]{16,}", text)]
+    return found + [(m.start(), "hex", m.end(), m[0]) for m in re.finditer("[0-9a-f]{24,}", text)]
+
+
+def test_spans_against_brute_force(docs):
+    rng = random.Random(8)
+    values = ["".join(rng.choice("abcdefABCDEF0123456789") for _ in range(rng.choice([8, 20, 24, 40]))) for _ in range(25)] + ["deadbeef" * 4]
+    forms = ["password={}", "Bearer {}", "ghp_{}", "https://me:{}@host/x", "AKIA{}", " {} ", "api_key: '{}'", "é{}𝄞", "token={}:{}", "sk-{}-{}"]
+    rows = []
+    for k in range(200):
+        parts = [rng.choice(forms).replace("{}", rng.choice(values)) if rng.random() < 0.5 else rng.choice(["plain", "words", "é𝄞", "\n"]) for _ in range(rng.randrange(0, 150))]
+        rows.append((k, rng.choice([" ", "", "\n"]).join(parts), f"s{rng.randrange(5)}"))
+    rows += [(500, None, "s0"), rows[3]]
+    owners, repos = {}, {}
+    for k, text, source in rows:
+        for *_, v in base(text or "") + wide(text or ""):
+            owners.setdefault(v, set()).add(source)
+            repos.setdefault(v, set()).add(k)
+    live = {v for v in owners if len(owners[v]) < 3 or len(repos[v]) < 3}
+    got = sorted((r.doc_id, r.spans) for r in secrets.report(secrets.scan(docs(rows))).collect())
+    want = []
+    for k, text, _ in rows:
+        spans = base(text or "") + [f for f in wide(text or "") if f[3] in live]
+        want.append((k, ",".join(f"{kind}:{a}:{b}" for a, kind, b, _ in sorted(spans, key=lambda f: (f[0], secrets.ORDER.index(f[1]))))))
+    assert live and len(live) < len(owners) and got == sorted(want)
+
+
+def test_many_matches_in_a_text(docs):
+    n = 100_000
+    text = "é " + " ".join(f"token=abc{k:06d}" for k in range(n))
+    got = {r.doc_id: r for r in secrets.report(secrets.scan(docs([(1, text), (2, "x")]))).collect()}
+    assert got[1].n_assign == n and got[1].spans.split(",")[-1] == f"assign:{len(text) - 15}:{len(text)}"
+    assert sorted(r.text for r in secrets.redacted(docs([(1, text), (2, "x" * 10_000 + " token=abcdefg" + "y" * 10_000)])).collect())[1].count("[secret]") == n
+
+
+def test_long_texts_are_cut_right(docs):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["é", "𝄞", "z", "zzzz" * 500, " ghp_" + "Ab1" * 7 + " "]) for _ in range(200)) for _ in range(5)]
+    want = [re.sub(r"ghp_(Ab1)+", "[secret]", t) for t in texts]
+    rows = [(k, t, "a") for k, t in enumerate(texts)]
+    assert [r.text for r in secrets.redacted(docs(rows)).orderBy("doc_id").collect()] == want
+
+
+def test_names_that_clash(docs):
+    d = docs([(1, "password=abcdef"), (2, None)]).selectExpr("*", "1 as `_`", "2 as `a.b`", "3 as found", "4 as k0", "5 as c1")
+    got = secrets.redacted(d)
+    assert got.columns == d.columns and sorted((r.doc_id, r.text, r["a.b"], r["_"]) for r in got.collect()) == [(1, "[secret]", 2, 1), (2, None, 2, 1)]
 
 
 def test_wide_beside_base(docs):
