@@ -42,6 +42,16 @@ TEMPLATES = [
     ("cc", "licensed under cc by sa 4 0"),
     ("cc", "licensed under cc by 4 0"),
     ("cc", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("cc", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
 ]
 
 
@@ -79,12 +89,13 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     if sum(len(t.split()) for _, t in templates) <= BROADCAST_GRAMS:
         of = F.broadcast(of)
     hits = base.join(of, (base["h"] == of["h"]) & (F.col("gram") == F.col("t_gram")), "left").where("tid is not null or pos is null or pos = 0")
-    # votes of diagonals
-    votes = hits.groupBy(*keys, "tid", "label", "t_words", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    # votes of diagonals, each template place once
+    votes = hits.groupBy(*keys, "tid", "label", "t_words", (F.col("pos") - F.col("tpos")).alias("diagonal"), "tpos").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
     order = Window.partitionBy("row", "tid").orderBy("diagonal")
     islands = votes.withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > gap).cast("int"), F.lit(1)))
-    islands = islands.withColumn("island", F.sum("new").over(order))
-    spans = islands.groupBy(*keys, "tid", "label", "t_words", "island").agg(F.array_distinct(F.flatten(F.collect_list("votes"))).alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
+    islands = islands.withColumn("island", F.sum("new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    # of an island the template's places, as many as the template has at most, however often they occur
+    spans = islands.groupBy(*keys, "tid", "label", "t_words", "island").agg(F.array_sort(F.collect_set("tpos")).alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
     # a gram covers k words of the template from its place on
     places_ = F.array_distinct(F.flatten(F.transform("votes", lambda p: F.sequence(p, p + (k - 1)))))
     covered = F.size(places_) / F.col("t_words")

@@ -109,17 +109,18 @@ b AS (SELECT r, label, i FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FR
 bb AS (SELECT r, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word FROM b GROUP BY r),
 t AS (SELECT * FROM (VALUES {", ".join(f"({k}, {x!r}, {t.split()!r})" for k, (x, t) in enumerate(licenses.TEMPLATES))}) v(tid, label, tw)),
 tg AS (SELECT tid, label, tw, j, tw[j:j + {licenses.K - 1}] AS g FROM (SELECT *, unnest(range(1, len(tw) - {licenses.K} + 2)) AS j FROM t)),
-h AS (SELECT r, tid, label, len(tw) AS n, i - j AS diag, i FROM (SELECT r, w, unnest(range(1, len(w) - {licenses.K} + 2)) AS i FROM d WHERE len(w) >= {licenses.K}) JOIN tg ON w[i:i + {licenses.K - 1}] = g),
-v AS (SELECT r, tid, label, n, diag, count(*) AS votes FROM h GROUP BY ALL),
+h AS (SELECT r, tid, label, len(tw) AS n, i - j AS diag, j FROM (SELECT r, w, unnest(range(1, len(w) - {licenses.K} + 2)) AS i FROM d WHERE len(w) >= {licenses.K}) JOIN tg ON w[i:i + {licenses.K - 1}] = g),
+v AS (SELECT DISTINCT r, tid, diag FROM h),
 s AS (SELECT *, CASE WHEN diag - lag(diag) OVER x <= {licenses.GAP} THEN 0 ELSE 1 END AS new FROM v WINDOW x AS (PARTITION BY r, tid ORDER BY diag)),
 i AS (SELECT *, sum(new) OVER (PARTITION BY r, tid ORDER BY diag) AS island FROM s),
-c AS (SELECT r, label, least(1.0, CAST(sum(votes) + {licenses.K - 1} AS DOUBLE) / n) AS cover FROM i GROUP BY r, tid, label, n, island),
-l AS (SELECT r, label, cover FROM c WHERE cover >= {licenses.COVER}),
+tp AS (SELECT r, tid, label, n, island, j, unnest(range(j, j + {licenses.K})) AS place FROM h JOIN i USING (r, tid, diag)),
+c AS (SELECT r, label, count(DISTINCT place) / CAST(n AS DOUBLE) AS cover, (count(DISTINCT j) + {licenses.K - 1}) / CAST(n AS DOUBLE) AS score FROM tp GROUP BY r, tid, label, n, island),
+l AS (SELECT r, label, score FROM c WHERE cover >= {licenses.COVER}),
 al AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM l UNION ALL SELECT r, label FROM b) GROUP BY r),
 bl AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY r),
-sc AS (SELECT r, max(cover) AS cover FROM l GROUP BY r)
+sc AS (SELECT r, max(score) AS score FROM l GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
-  coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(cover, 0.0) END AS score
+  coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(sc.score, 0.0) END AS score
 FROM d LEFT JOIN bb USING (r) LEFT JOIN al USING (r) LEFT JOIN bl USING (r) LEFT JOIN sc USING (r)""",
     "op5_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),

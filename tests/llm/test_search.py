@@ -130,3 +130,39 @@ def test_license_spans_are_verified(docs):
     assert [got[k].labels for k in (1, 2, 3)] == ["", "cc", "cc"]
     assert [got[k].score for k in (1, 2, 3)] == [0.0, 4 / 6, 1.0]
     assert [(s["first"], s["end"], s["covered"]) for s in got[2].spans] == [(0, 7, 1.0)]
+
+
+def brute_spans(text, templates, k=licenses.K, gap=licenses.GAP, cover=licenses.COVER):
+    """(label, covered words of the template) of islands of diagonals, word by word."""
+    w, out = words(text), []
+    for label, template in templates:
+        t = template.split()
+        hits = [(p - q, q) for p in range(len(w) - k + 1) for q in range(len(t) - k + 1) if w[p : p + k] == t[q : q + k]]
+        diagonals, islands = sorted({d for d, _ in hits}), []
+        for d in diagonals:
+            if islands and d - islands[-1][-1] <= gap:
+                islands[-1].append(d)
+            else:
+                islands.append([d])
+        for island in islands:
+            at = {q for d, q in hits if d in island}
+            there = {q + j for q in at for j in range(k)}
+            if len(there) >= cover * len(t):
+                out.append((label, len(there) / len(t), (len(at) + k - 1) / len(t)))
+    return sorted(out)
+
+
+def test_licenses_against_brute_force(docs):
+    rng = random.Random(12)
+    templates = [("a", "one two three four five six"), ("b", "two three one two four five one two"), ("c", "six five four")]
+    texts = [" ".join(rng.choice(["one two three", "four five", "six", "one", "two", "x", "three four five six"]) for _ in range(rng.randrange(0, 40))) for _ in range(150)]
+    got = {r.doc_id: sorted((s["label"], s["covered"], s["score"]) for s in r.spans) for r in licenses.scan(docs(list(enumerate(texts))), templates=templates).collect()}
+    want = {k: brute_spans(t, templates) for k, t in enumerate(texts)}
+    assert sum(map(len, want.values())) > 20 and got == want
+
+
+def test_licenses_in_long_texts(docs):
+    unit = "under the mit "
+    got = {r.doc_id: r for r in licenses.scan(docs([(1, unit * 60_000), (2, "x " * 400_000 + "released under the MIT license"), (3, "under the mit under the mit")])).collect()}
+    assert (got[1].labels, got[1].n_words, got[3].labels, got[3].score) == ("", 180_000, "", 0.0)
+    assert got[2].labels == "mit" and got[2].first_word == 400_003
