@@ -5,10 +5,12 @@ t share a shingle among the first n - ceil(t*n) + 1 of each. Every order here pu
 shared), then goes by rising frequency, but with other bands of frequency and other ties. Candidates come from the first order;
 pairs that share no prefix shingle under the second and the third are dropped before sets are compared.
 
-1. One pass hashes each text's shingles: size and class (a 64-bit digest of the set) of each row.
+1. One pass hashes each text's shingles: size and class (a 64-bit digest of the set) of each row. It also adds up how often
+   shingles come together, so the most frequent ones of the corpus are known (`HEAVY`; `HEAVY_MOST` of them at most).
 2. Shingles (48 bits of hash) go to buckets by hash, packed, each class once per task; a bucket counts the classes of each
-   shingle and sends those of two or more classes back by class. A class with n shingles, u of them its own, has candidates only
-   if u is less than its prefix; most texts end here.
+   shingle and sends those of two or more classes back by class. Frequent shingles, whose count needs no adding up, are
+   dealt to all buckets. A class with n shingles, u of them its own, has candidates only if u is less than its prefix; most
+   texts end here.
 3. In each posting of the first order the other classes are compared with one pivot, so a group of n near copies costs about n
    comparisons. What that links becomes components. Then every candidate pair of two components is compared, so no link that
    joins components is missed; pairs within a component need none.
@@ -20,6 +22,7 @@ a chance of about n*n / 2**48.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +36,12 @@ from .common import grams, mixed, small_batches, stored, words_of
 WORDS = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Shingles that a bucket holds, about.
+#: Shingles that a bucket holds, about; of very large inputs it holds more, as `_buckets` says.
 BUCKET = 1_500_000
 FLUSH = 2_000_000
+#: Shingles of so many classes are dealt to all buckets: those of the largest counts, up to HEAVY_MOST (8 bytes each are broadcast). The
+#: others have less than total / HEAVY_MOST, and what fewer than TOGETHER classes among FLUSH shingles add.
+HEAVY, HEAVY_MOST, TOGETHER = 10_000, 1_000_000, 4
 _MASK = np.uint64((1 << 48) - 1)
 _EMPTY = np.zeros(0, np.uint64)
 
@@ -60,16 +66,54 @@ def _classes(sets: list[np.ndarray]) -> np.ndarray:
     return mixed(total[ends] - total[ends - sizes] + sizes.astype(np.uint64)).astype(np.int64)
 
 
-def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, class."""
+def _signed_rows(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, class; and with `hot` set shingles (as class) that `TOGETHER` classes or more share
+    in a task's part, with their number (as n_shingles)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        waiting: list[np.ndarray] = []
+        size = 0
+        kind = None
+
+        def made(ids: pa.Array, n, cls, hot: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(np.full(len(ids), hot))], names=["doc_id", "n_shingles", "class", "hot"])
+
+        def together() -> pa.RecordBatch:
+            tok, n = np.unique(np.concatenate([_EMPTY, *waiting]) & _MASK, return_counts=True)
+            often = n >= TOGETHER
+            return made(pa.nulls(int(often.sum()), kind), n[often], tok[often].astype(np.int64), True)
+
         for batch in batches:
             if batch.num_rows:
+                kind = batch.column(0).type
                 sets = _sets(batch.column(1), words)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(_classes(sets))], names=["doc_id", "n_shingles", "class"])
+                classes = _classes(sets)
+                yield made(batch.column(0), [len(s) for s in sets], classes, False)
+                for c, s in zip(classes.tolist(), sets, strict=True):
+                    if len(s) and c not in seen:
+                        seen.add(c)
+                        waiting.append(s)
+                        size += len(s)
+                if size > FLUSH:
+                    yield together()
+                    waiting, size = [], 0
+        if waiting:
+            yield together()
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t"))
+    return rows.mapInArrow(sign, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_shingles long, class long, hot boolean")
+
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(sign, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_shingles long, class long")
+def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, class."""
+    return _signed_rows(docs, doc_id, text, words).where("not hot").drop("hot")
+
+
+def _buckets(total: int, least: int) -> int:
+    """Buckets for so many shingles. Past 60,000 of them they grow with the square root, and so does what each holds, since a task's
+    part is packed into a row for each bucket."""
+    return max(least, min(total // BUCKET + 1, max(60_000, math.isqrt(total) // 8)))
 
 
 # Packed rows: a bucket, then classes, their sizes, how many shingles each has here, the shingles, their frequencies.
@@ -79,7 +123,7 @@ _PACKED_ARROW = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in
 
 def _packed(bucket: np.ndarray, buckets: int, owner: np.ndarray, tok: np.ndarray, df: np.ndarray | None, cls: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     """owner: of each shingle, as a place in cls and n; rising."""
-    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
     cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
     tok6 = tok[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
     owner = owner[order]
@@ -105,10 +149,18 @@ def _unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
     return joined("cls", "<i8"), joined("n", "<u4"), joined("cnt", "<u4").astype(np.int64), tok.view("<u8").ravel(), joined("df", np.uint8)
 
 
-def _shared_tokens(docs: DataFrame, text: str, words: int, percent: int, buckets: int) -> DataFrame:
-    """class, n, toks (its shingles that other classes have, the first order), r (how many of them are in the prefix), p2 and p3
+def _shared_tokens(docs: DataFrame, text: str, words: int, percent: int, buckets: int, heavy: np.ndarray) -> DataFrame:
+    """heavy: frequent shingles, sorted. Returns class, n, toks (its shingles that other classes have, the first order), r (how many of them are in the prefix), p2 and p3
     (the prefixes under the other orders, as 32 bits): of classes with r > 0."""
 
+    frequent = docs.sparkSession.sparkContext.broadcast(heavy)
+
+    def is_heavy(tok: np.ndarray) -> np.ndarray:
+        known = frequent.value
+        return known[np.minimum(np.searchsorted(known, tok), len(known) - 1)] == tok if len(known) else np.zeros(len(tok), bool)
+
+    flush_at = max(FLUSH, 32 * buckets)
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         sets: list[np.ndarray] = []
@@ -117,7 +169,8 @@ def _shared_tokens(docs: DataFrame, text: str, words: int, percent: int, buckets
         def flush() -> Iterator[pa.RecordBatch]:
             tok = np.concatenate([_EMPTY, *sets]) & _MASK
             owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            yield from _packed(tok % np.uint64(buckets), buckets, owner, tok, None, np.array(cls, np.int64), np.array([len(s) for s in sets]))
+            salt = np.where(is_heavy(tok), np.array(cls, np.int64).astype(np.uint64)[owner], np.uint64(0))
+            yield from _packed(mixed(tok + salt) % np.uint64(buckets), buckets, owner, tok, None, np.array(cls, np.int64), np.array([len(s) for s in sets]))
             sets.clear()
             cls.clear()
 
@@ -130,7 +183,7 @@ def _shared_tokens(docs: DataFrame, text: str, words: int, percent: int, buckets
                     sets.append(s)
                     cls.append(c)
                     size += len(s)
-                    if size > FLUSH:
+                    if size > flush_at:
                         yield from flush()
                         size = 0
         if sets:
@@ -145,6 +198,7 @@ def _shared_tokens(docs: DataFrame, text: str, words: int, percent: int, buckets
         keep = np.repeat(use, cnt)
         cls, n, cnt, tok = cls[use], n[use], cnt[use], tok[keep]
         values, which, df = np.unique(tok, return_inverse=True, return_counts=True)
+        df[is_heavy(values)] = 255
         df = np.minimum(df, 255)[which].astype(np.uint8)
         owner, shared = np.repeat(np.arange(len(cls)), cnt), df > 1
         owner, tok, df = owner[shared], tok[shared], df[shared]
@@ -192,6 +246,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.where(sizes & filters).where(both * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b")
 
 
+#: Rows of (label, label) that are broadcast; beyond, keys are salted.
+BROADCAST_LABELS = 1_000_000
+SALTS = 16
+
+
+def _with_hot_key(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
+    """rows left joined with `of` (stored, a row for each key), where one key may have a large part of rows."""
+    if of.count() <= BROADCAST_LABELS:
+        return rows.join(F.broadcast(of), key, "left")
+    salted = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    return rows.join(salted.hint("merge"), [key, "salt"], "left").drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the smallest node of its component), of the nodes of edges (a, b); labels go to neighbours and jump until
     none changes."""
@@ -201,8 +269,10 @@ def components(edges: DataFrame) -> DataFrame:
         of_b = labels.select(F.col("node").alias("b"), F.col("comp").alias("near"))
         spread = both.join(of_b, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
         new = labels.join(spread, "node").select("node", F.least("comp", "near").alias("now"), F.col("comp").alias("was"))
-        jump = labels.select(F.col("node").alias("now"), F.col("comp").alias("far"))
-        step = stored(new.join(jump, "now", "left").select("node", F.least("now", F.coalesce("far", "now")).alias("comp"), "was"), "labels")
+        new = stored(new, "labels")
+        # labels are nodes; those in use are few, and many nodes of a large component have the same
+        jump = new.select("now").distinct().join(labels.select(F.col("node").alias("now"), F.col("comp").alias("far")), "now")
+        step = stored(_with_hot_key(new, stored(jump, "jumps"), "now").select("node", F.least("now", F.coalesce("far", "now")).alias("comp"), "was"), "labels")
         labels = step.select("node", "comp")
         if step.where("comp <> was").isEmpty():
             return labels
@@ -213,10 +283,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component (the same for rows that links join and no others; where a doc_id is repeated, component_id may not tell)."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = stored(signatures(docs, doc_id, text, words), "signatures")
+    signed = stored(_signed_rows(docs, doc_id, text, words), "signatures")
+    rows = signed.where("not hot").drop("hot")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = int(min(60_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET + 1)))
-    sets = stored(_shared_tokens(docs, text, words, percent, buckets), "sets")
+    often = signed.where("hot").groupBy("class").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= HEAVY)
+    heavy = np.array([r[0] for r in often.orderBy(F.desc("n"), "class").limit(HEAVY_MOST).select("class").collect()], np.int64)
+    buckets = _buckets(total, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sets = stored(_shared_tokens(docs, text, words, percent, buckets, np.sort(heavy.astype(np.uint64))), "sets")
     own = F.col("n") - F.size("toks")
     post = sets.select("class", "n", own.alias("own"), F.posexplode(F.slice("toks", 1, F.col("r"))).alias("at", "t")).withColumn("at", F.col("own") + F.col("at"))
     # pivots: the class with the least of its own, which is nearest to the others, and the smallest
@@ -240,9 +313,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         comps = components(edges.unionByName(more))
     # from classes back to rows
     named = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    named = named.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    smallest = named.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("rows").alias("size")).where("size > 1").select("comp", "component_id")
-    named = stored(named.join(smallest, "comp").select("class", "component_id", "comp"), "components")
+    named = stored(named.join(comps.withColumnRenamed("node", "class"), "class", "left"), "named")
+    linked = stored(named.where("comp is not null").groupBy("comp").agg(F.min("least").alias("component_id")), "least-ids")
+    linked = _with_hot_key(named.where("comp is not null").select("class", "comp"), linked, "comp").select("class", "component_id", "comp")
+    copies = named.where("comp is null and rows > 1").select("class", F.col("least").alias("component_id"), F.col("class").alias("comp"))
+    named = stored(linked.unionByName(copies), "components")
     out = rows.join(named, (rows["class"] == named["class"]) & (rows["n_shingles"] > 0), "left")
     return out.select("doc_id", "n_shingles", rows["class"], F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("comp", rows["class"]).alias("component"))
 

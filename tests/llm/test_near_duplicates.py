@@ -55,6 +55,31 @@ def test_components(docs):
         assert got == brute(rows)
 
 
+def test_frequent_shingles(docs, monkeypatch):
+    """Frequent shingles dealt to all buckets, and salted labels, change nothing."""
+    monkeypatch.setattr(jaccard, "HEAVY", 5)
+    monkeypatch.setattr(jaccard, "TOGETHER", 2)
+    monkeypatch.setattr(jaccard, "BROADCAST_LABELS", 0)
+    rows = made(4)
+    d = docs(rows)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(d).collect()) == brute(rows)
+    hot = jaccard._signed_rows(d, "doc_id", "text", 5).where("hot").groupBy("class").sum("n_shingles").collect()
+    assert any(r[1] >= 5 for r in hot)
+
+
+def test_many_buckets():
+    assert jaccard._buckets(0, 8) == 8 and jaccard._buckets(3_000_000_000, 8) == 2001
+    assert 60_000 < jaccard._buckets(10**13, 8) < 10**6
+
+
+def test_null_ids_and_long_texts(docs):
+    long = " ".join(f"w{k}" for k in range(250_000))
+    rows = [(None, "a b c d e f"), (None, None), (3, long), (9, long + " tail"), (12, "a b c d e f")]
+    got = jaccard.near_duplicates(docs(rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(3, 3), (9, 3), (12, 12)]
+    assert sorted((r.n_shingles, r.component_id) for r in got if r.doc_id is None) == [(0, None), (2, 12)]
+
+
 def test_deduplicated(docs):
     rows = made(9, 80)[:-1]
     d = docs(rows).selectExpr("*", "doc_id as gone", "'x' as class")
