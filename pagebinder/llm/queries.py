@@ -21,6 +21,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.coalesce("longest.length", F.lit(0).cast("long")).alias("longest"), F.col("longest.word").alias("longest_word"), F.col("longest.item_id").alias("longest_item"), F.col("longest.item_word").alias("longest_item_word"),
     )
 
 
@@ -72,18 +73,22 @@ _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcde
 ORACLE_SQL = {
     "op10_decontamination": f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce({_WORDS.format('text')}, []) AS w FROM documents),
-b AS (SELECT DISTINCT item_id, {_WORDS.format('text')} AS w FROM benchmark WHERE text IS NOT NULL),
-win AS (SELECT DISTINCT item_id, CASE WHEN len(w) < 10 THEN len(w) ELSE 10 END AS k, array_to_string(w[i:i + 9], ' ') AS g
-  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+b AS (SELECT row_number() OVER () AS bid, item_id, w FROM (SELECT DISTINCT item_id, {_WORDS.format('text')} AS w FROM benchmark WHERE text IS NOT NULL)),
+pw AS (SELECT bid, item_id, q, CASE WHEN len(w) < 10 THEN len(w) ELSE 10 END AS k, array_to_string(w[q:q + 9], ' ') AS g
+  FROM (SELECT bid, item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS q FROM b WHERE len(w) > 0)),
+win AS (SELECT DISTINCT item_id, k, g FROM pw),
 ks AS (SELECT DISTINCT k FROM win),
 p AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
   FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)),
 h AS (SELECT DISTINCT p.r, p.i, p.k, win.item_id FROM p JOIN win USING (k, g)),
 hw AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS j FROM h) GROUP BY r),
-it AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM h GROUP BY r)
+it AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM h GROUP BY r),
+al AS (SELECT p.r, p.i, p.k, pw.bid, CAST(pw.item_id AS VARCHAR) AS item, pw.q, p.i - row_number() OVER (PARTITION BY p.r, pw.bid, p.i - pw.q ORDER BY p.i) AS run FROM p JOIN pw USING (k, g)),
+rn AS (SELECT r, item, min(i) AS i, min(q) AS q, max(k) + count(*) - 1 AS n FROM al GROUP BY r, bid, item, i - q, run),
+lo AS (SELECT r, n AS longest, i - 1 AS longest_word, item AS longest_item, q - 1 AS longest_item_word FROM rn QUALIFY row_number() OVER (PARTITION BY r ORDER BY n DESC, i, item, q) = 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hw USING (r) LEFT JOIN it USING (r)""",
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0) AS longest, longest_word, longest_item, longest_item_word
+FROM d LEFT JOIN hw USING (r) LEFT JOIN it USING (r) LEFT JOIN lo USING (r)""",
     "op8_ngram_jaccard": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g

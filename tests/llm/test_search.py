@@ -53,6 +53,22 @@ def brute_hits(text, items, window=10):
     return len(w), len(hit), sorted(found)
 
 
+def brute_longest(text, items, window=10):
+    """The first of the longest matches of a window or more, or of whole shorter items: -length, word, item, word there."""
+    w, best = words(text), None
+    for item, t in items:
+        iw = words(t)
+        need = min(window, len(iw))
+        for k in range(len(iw) - need + 1) if iw else ():
+            for p in range(len(w) - need + 1):
+                n = 0
+                while k + n < len(iw) and p + n < len(w) and iw[k + n] == w[p + n]:
+                    n += 1
+                if n >= need:
+                    best = min(best or (0,), (-n, p, str(item), k))
+    return best
+
+
 def contaminated_case():
     rng = random.Random(5)
     vocabulary = ["a", "b", "é", "x1", "zz"]
@@ -62,20 +78,33 @@ def contaminated_case():
     return list(enumerate(texts)), items
 
 
-@pytest.mark.parametrize("block", [1 << 20, 10])
+@pytest.mark.parametrize("block", [1 << 20, 4])
 def test_contamination(docs, monkeypatch, block):
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
     monkeypatch.setattr(decontam, "SHARD_WORDS", 300)
     rows, items = contaminated_case()
     b = docs([]).sparkSession.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontam.contamination(docs(rows), b).collect()}
-    assert got == {k: brute_hits(t, items) for k, t in rows}
+    found = decontam.contamination(docs(rows), b).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in found} == {k: brute_hits(t, items) for k, t in rows}
+    got = {r.doc_id: r.longest and (-r.longest.length, r.longest.word, r.longest.item_id, r.longest.item_word) for r in found}
+    assert got == {k: brute_longest(t, items) for k, t in rows} and any(got.values())
+    assert all(sum(s[1::2]) - sum(s[::2]) == n for s, n in ((r.hit_spans, r.n_hit) for r in found))
+
+
+def test_long_match(docs):
+    item = " ".join(f"w{k}" for k in range(30_000))
+    b = docs([]).sparkSession.createDataFrame([("q", item)], "item_id string, text string")
+    rows = [(1, f"x {item} y"), (2, f"x {item} y"), (None, "w7 w8"), (4, None), (5, "same " * 1000)]
+    got = {r.doc_id: r for r in decontam.contamination(docs(rows), b).collect()}
+    assert tuple(got[2].longest) == (30_000, 1, "q", 0) and got[1].n_hit == 30_000 and got[5].longest is None and got[None].n_words == 2
+    found = {r.word: (r.length, r.doc_id, r.doc_word) for r in decontam.longest_matches(docs(rows), b).where("word % 1000 = 0").collect()}
+    assert found == {k: (30_000 - k, 1, k + 1) for k in range(0, 30_000, 1000)}
 
 
 def test_decontaminated(docs):
     rows, items = contaminated_case()
     b = docs([]).sparkSession.createDataFrame([(1, "b é zz x1 a b b zz é a")], "item_id long, text string")
-    d = docs(rows).selectExpr("*", "1 as n_hit", "2 as item_ids")
+    d = docs(rows).selectExpr("*", "1 as n_hit", "2 as item_ids", "3 as `a.b`", "4 as _text")
     got = decontam.decontaminated(d, b)
     assert got.columns == d.columns
     assert sorted(r.doc_id for r in got.collect()) == [k for k, t in rows if not brute_hits(t, [(1, "b é zz x1 a b b zz é a")])[1]]
@@ -88,24 +117,48 @@ def test_longest_matches(docs):
     assert got == {0: (3, 5, 1), 1: (2, 5, 2), 2: (2, 6, 0), 3: (1, 6, 1)}
 
 
+def test_longest_matches_against_brute_force(docs, monkeypatch):
+    monkeypatch.setattr(decontam, "SHARD_WORDS", 200)
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 8)
+    monkeypatch.setattr(decontam, "HELD_MATCHES", 20)
+    rows, items = contaminated_case()
+    rows = [(-k, t) for k, t in rows] + [(5, "b " * 100)]
+    want = {}
+    for item, t in [*items, (77, "b " * 80)]:
+        iw = words(t)
+        for k in range(len(iw)):
+            for d, x in rows:
+                w = words(x)
+                for p in range(len(w)):
+                    n = 0
+                    while k + n < len(iw) and p + n < len(w) and iw[k + n] == w[p + n]:
+                        n += 1
+                    if n:
+                        want[str(item), k] = min(want.get((str(item), k), (0, 0, 0)), (-n, d, p))
+    b = docs([]).sparkSession.createDataFrame([*items, (77, "b " * 80)], "item_id long, text string")
+    got = {(r.item_id, r.word): (-r.length, r.doc_id, r.doc_word) for r in decontam.longest_matches(docs(rows), b).collect()}
+    assert got == want
+
+
 def test_suffix_array_order():
     import numpy as np
 
     rng = np.random.default_rng(2)
     w = rng.integers(1, 4, 500).astype(np.uint64)
     at = np.array([0, 100, 100, 350, 500])
-    s = decontam.SuffixArray(w, at, 8)
-
-    def key(p):
-        out = []
-        for k in range(p, p + 8):
-            out.append(0 if s.is_end[k] else int(s.words[k]))
-            if s.is_end[k]:
-                break
-        return out
-
-    keys = [key(p) for p in s.order.tolist()]
-    assert sorted(s.order.tolist()) == list(range(504)) and keys == sorted(keys)
+    for depth in (1, 8, 64):
+        s = decontam.SuffixArray(w, at, depth).sort()
+
+        def key(p, s=s, depth=depth):
+            out = []
+            for k in range(p, p + depth):
+                out.append(int(s.ranks[k]))
+                if s.is_end[k]:
+                    break
+            return out
+
+        keys = [key(p) for p in s.order.tolist()]
+        assert sorted(s.order.tolist()) == list(range(504)) and keys == sorted(keys)
 
 
 def test_licenses(docs):
