@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, small_batches, stored, words_of
+from .common import shared_dir, words_of
 from .sharedfs import Ranges, Written
 
 WINDOW = 10
@@ -304,7 +304,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     item), item_ids (of the items with windows there, sorted as strings), hit_spans (runs of hit words: first word and end
     of each, from 0, one after the other), longest (the longest verbatim match of a window or more, or of a whole shorter item: length,
     first word here, item_id, first word there; the first of equals in this order; else null). These names must not be among `keep`."""
-    small_batches(docs.sparkSession)
     blocks = blocks_of(benchmark, item_id, item_text)
     df = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
     results = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("hit_spans", pa.list_(pa.int64())), ("longest", _MATCH_ARROW)]
@@ -347,7 +346,6 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
     """For each suffix of each benchmark item (item_id, word: its first word's place) the longest verbatim match anywhere in docs:
     length, and doc_id and doc_word of one such match (the smallest doc_id, a null one last, then doc_word). Suffixes without any matching
     word have no row. Repeated items are matched once, of items that share an id the longest match counts."""
-    small_batches(docs.sparkSession)
     blocks = blocks_of(benchmark, item_id, item_text)
     schema = "item_id string, word long, length long, doc_id long, doc_word long"
 

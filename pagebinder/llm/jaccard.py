@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import grams, mixed, small_batches, stored, words_of
+from .common import arrow_rows, grams, mixed, stored, words_of
 
 WORDS = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -282,14 +282,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Per row of docs: doc_id, n_shingles, class, component_id (the smallest doc_id that links reach, its own included),
     component (the same for rows that links join and no others; where a doc_id is repeated, component_id may not tell)."""
     spark = docs.sparkSession
-    small_batches(spark)
-    signed = stored(_signed_rows(docs, doc_id, text, words), "signatures")
+    with arrow_rows(spark):
+        signed = stored(_signed_rows(docs, doc_id, text, words), "signatures")
     rows = signed.where("not hot").drop("hot")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     often = signed.where("hot").groupBy("class").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= HEAVY)
     heavy = np.array([r[0] for r in often.orderBy(F.desc("n"), "class").limit(HEAVY_MOST).select("class").collect()], np.int64)
     buckets = _buckets(total, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sets = stored(_shared_tokens(docs, text, words, percent, buckets, np.sort(heavy.astype(np.uint64))), "sets")
+    with arrow_rows(spark):
+        sets = stored(_shared_tokens(docs, text, words, percent, buckets, np.sort(heavy.astype(np.uint64))), "sets")
     own = F.col("n") - F.size("toks")
     post = sets.select("class", "n", own.alias("own"), F.posexplode(F.slice("toks", 1, F.col("r"))).alias("at", "t")).withColumn("at", F.col("own") + F.col("at"))
     # pivots: the class with the least of its own, which is nearest to the others, and the smallest

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, text_bytes
+from .common import arrow_rows, stored, text_bytes
 
 SLOTS = 1 << 13
 WEIGHT = 40.0
@@ -58,7 +58,6 @@ _FOLD[0x30:0x3A] = 0
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, their shares of documents, and the logs of each language's share of each slot, over all documents."""
-    small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -75,7 +74,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[s
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(k)), pa.array(k, pa.int32()), pa.array(n[k], pa.int64())], names=["lang", "slot", "n"])
 
     known = docs.where(F.col(lang).isNotNull() & (F.col(lang) != "")).select(F.col(lang).alias("lang"), F.col(text).cast("string").alias("t"))
-    counts = stored(known.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")), "trigrams")
+    with arrow_rows(docs.sparkSession):
+        counts = stored(known.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")), "trigrams")
     langs = [r.lang for r in counts.where(f"slot = {SLOTS}").orderBy("lang").limit(LANGUAGES + 1).collect()]
     if len(langs) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
@@ -136,7 +136,8 @@ def identify(pages: DataFrame, docs: DataFrame, page_id: str = "page_id", url: s
 
     kind = pages.schema[page_id].dataType.simpleString()
     judged = base.select("page_id", "host", "suffix", "declared", "t").mapInArrow(judge, f"page_id {kind}, host string, suffix string, declared string, by_text array<double>")
-    judged = stored(judged.withColumn("p", _softmax(plus("by_text", prior))), "by-text")
+    with arrow_rows(spark):
+        judged = stored(judged.withColumn("p", _softmax(plus("by_text", prior))), "by-text")
 
     def summed(df: DataFrame, *by: str) -> DataFrame:
         """The text's posteriors summed in groups."""

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoder, small_batches, stored
+from .common import arrow_rows, encoder, stored
 
 SIZE = 1024
 END_ID = 2
@@ -180,8 +180,9 @@ def packed(rows: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
 
 def packed_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    small_batches(docs.sparkSession)
-    return packed(stored(pieces(docs, tokenizer, doc_id, text, size, end_id), "pieces"), size)
+    with arrow_rows(docs.sparkSession):
+        cut = stored(pieces(docs, tokenizer, doc_id, text, size, end_id), "pieces")
+    return packed(cut, size)
 
 
 def sequences(docs: DataFrame, plan: DataFrame, tokenizer: str, **kw) -> DataFrame:

@@ -2,13 +2,13 @@
 
 A file holds the documents of a range of doc_id, in rising order: the mark, blocks of at most `BLOCK` ids (see
 `rangecoder.encode`; each has its checksum and can be read alone), the directory and the end. The directory has, compressed
-by zlib, the doc_id and the number of ids of each document and the place, size and number of ids of each block; the end has its
+by zlib, how many documents at its beginning have no doc_id, the doc_id and the number of ids of each document and the place, size and number of ids of each block; the end has its
 place, size and crc32 and the mark again. Blocks don't follow the borders of documents.
 
 Files are written in the shared folder, each under its name only when it is whole.
 
 Defined results: null texts count as empty; an empty document is the end id alone; rows that repeat a doc_id are kept, in the
-order of their texts' hashes. doc_id must be an integer and not null.
+order of their texts' hashes; rows without a doc_id come first and stay without. doc_id must be an integer.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rangecoder
-from .common import encoder, shared_dir, small_batches, stored
+from .common import arrow_rows, encoder, shared_dir, stored
 from .sharedfs import Ranges, Written
 
 MARK = b"PBTOKID1"
@@ -36,11 +36,12 @@ _END = struct.Struct("<QQI8s")
 class _Writer:
     def __init__(self, out: Written):
         self.out, self.docs, self.lengths, self.blocks = out, [], [], []
-        self.waiting, self.n = [], 0
+        self.waiting, self.n, self.nulls = [], 0, 0
         out.write(MARK)
 
-    def add(self, doc: int, ids: bytes) -> None:
-        self.docs.append(doc)
+    def add(self, doc: int | None, ids: bytes) -> None:
+        self.docs.append(0 if doc is None else doc)
+        self.nulls += doc is None
         self.lengths.append(len(ids) // 4)
         self.waiting.append(ids)
         self.n += len(ids) // 4
@@ -61,24 +62,24 @@ class _Writer:
     def close(self) -> None:
         self._flush(True)
         parts = [np.array(self.docs, "<i8").tobytes(), np.array(self.lengths, "<i8").tobytes(), np.array(self.blocks, "<u8").tobytes()]
-        directory = zlib.compress(struct.pack("<QQ", len(self.docs), len(self.blocks)) + b"".join(parts))
+        directory = zlib.compress(struct.pack("<QQQ", len(self.docs), len(self.blocks), self.nulls) + b"".join(parts))
         end = _END.pack(self.out.size, len(directory), zlib.crc32(directory), MARK)
         self.out.write(directory)
         self.out.write(end)
 
 
-def documents_of(read: Ranges) -> Iterator[tuple[int, np.ndarray]]:
+def documents_of(read: Ranges) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of a file, in order; a block at a time is held."""
     at, size, crc, mark = _END.unpack(read(read.size - _END.size, _END.size))
     directory = read(at, size)
     if mark != MARK or zlib.crc32(directory) != crc:
         raise ValueError("not a whole file of token ids")
     raw = zlib.decompress(directory)
-    docs, blocks = struct.unpack_from("<QQ", raw)
-    ids, lengths = np.frombuffer(raw, "<i8", docs, 16), np.frombuffer(raw, "<i8", docs, 16 + 8 * docs)
-    places = np.frombuffer(raw, "<u8", 3 * blocks, 16 + 16 * docs).reshape(-1, 3)
+    docs, blocks, nulls = struct.unpack_from("<QQQ", raw)
+    ids, lengths = np.frombuffer(raw, "<i8", docs, 24), np.frombuffer(raw, "<i8", docs, 24 + 8 * docs)
+    places = np.frombuffer(raw, "<u8", 3 * blocks, 24 + 16 * docs).reshape(-1, 3)
     have, k = np.zeros(0, np.uint32), 0
-    for doc, n in zip(ids.tolist(), lengths.tolist(), strict=True):
+    for doc, n in zip([None] * nulls + ids[nulls:].tolist(), lengths.tolist(), strict=True):
         parts, missing = [], n
         while missing > len(have):
             parts.append(have)
@@ -91,8 +92,7 @@ def documents_of(read: Ranges) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """Writes the files; returns, stored, a row for each: path, first_id, n_docs, n_ids, bytes."""
-    small_batches(docs.sparkSession)
+    """Writes the files; returns, stored, a row for each: path, part (of rising doc_id), first_id, n_docs, n_ids, bytes."""
     end = np.array([end_id], "<u4").tobytes()
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +100,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc_id",
         first = next(batches, None)
         if first is None:
             return
-        path = f"{folder}/ids-{first.column(0)[0].as_py():+020d}-{first.column(2)[0].as_py():05d}.pbt"
+        part, first_id = first.column(2)[0].as_py(), first.column(0)[0].as_py()
+        path = f"{folder}/ids-{part:06d}.pbt"
         with Written(path) as out:
             to = _Writer(out)
             while first is not None:
@@ -108,18 +109,20 @@ def write(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc_id",
                     to.add(doc, ids + end)
                 first = next(batches, None)
             to.close()
-        row = {"path": path, "first_id": to.docs[0], "n_docs": len(to.docs), "n_ids": sum(to.lengths), "bytes": out.size}
-        yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("first_id", "n_docs", "n_ids", "bytes"))]))
+        row = {"path": path, "part": part, "first_id": first_id, "n_docs": len(to.docs), "n_ids": sum(to.lengths), "bytes": out.size}
+        yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("part", "first_id", "n_docs", "n_ids", "bytes"))]))
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("t")).withColumn("p", F.spark_partition_id())
-    return stored(rows.mapInArrow(put, "path string, first_id long, n_docs long, n_ids long, bytes long"), "manifest")
+    # also by text, so that a doc_id that many rows have is not one partition
+    rows = rows.repartitionByRange("doc_id", F.xxhash64("t")).sortWithinPartitions("doc_id", F.xxhash64("t")).withColumn("p", F.spark_partition_id())
+    with arrow_rows(docs.sparkSession):
+        return stored(rows.mapInArrow(put, "path string, part long, first_id long, n_docs long, n_ids long, bytes long"), "manifest")
 
 
 def read(spark: SparkSession, manifest: DataFrame, ids: bool = False) -> DataFrame:
     """Per document: doc_id, start (the ids of all documents before it), n_tokens, ids_crc32; with ids=True the ids."""
     # a row per file, with a file for each partition of the corpus
-    files = manifest.withColumn("before", F.sum("n_ids").over(Window.orderBy("first_id", "path").rowsBetween(Window.unboundedPreceding, -1)))
+    files = manifest.withColumn("before", F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     files = files.select("path", F.coalesce("before", F.lit(0)).alias("before")).repartition(max(1, manifest.count()), "path")
     names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * ids]
 

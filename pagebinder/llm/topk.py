@@ -1,20 +1,23 @@
 """Exact top-k search by inner product with a three-phase uniform threshold.
 
-The score of a vector for a query is a sum over slices of the components. Vectors are packed into blocks of rows, and every
-block of the queries meets every block of rows, for each slice apart: those are the nodes, each with its own list of partial
-scores.
+The score of a vector for a query is a sum over slices of the components. Vectors are packed into blocks of rows; every block of
+the queries meets every block of rows, and each slice of the components there is a node with its own list of partial scores.
 
-1. Every node reports its k+1 highest partial scores for each query. Their vectors get their exact scores; the lowest of a
-   query's k+1 highest is a score that the result surely reaches: the cutoff c.
-2. The cutoff goes to all nodes, each of which reports all entries of at least c / slices. A vector that no slice reports
-   scores less than c in all.
-3. What a reported vector lacks in the other slices is resolved exactly, from the vectors themselves.
+1. Every node lists its k+1 highest partial scores for each query. What those entries lack in the other slices is added, and
+   of each block the k+1 highest scores remain. The lowest of a query's k+1 highest over all blocks is a score that its
+   result surely reaches: the cutoff c.
+2. The cutoff goes to all nodes, each of which collects all entries of at least c / slices. A vector that no slice lists scores
+   less than c in all.
+3. What a listed vector lacks in the other slices is added exactly, in the task that has both vectors, and entries that reach
+   the cutoff are passed on: k+1 for each query and ties. No vector is fetched again.
 
 Copies: equal vectors are one class, of which the k+1 smallest vec_id can be in a result (one may be the query's own), so a
-vector that many rows share costs no more than one.
+vector that many rows share costs no more than one; queries with equal vectors are one, too.
 
-Defined results: vectors that are null, or hold null or non-finite components, take no part; shorter ones count as ending in
-zeros; a repeated (vec_id, vector) counts once. Ties go to the smaller vec_id. Fewer candidates than k: all.
+Defined results: vectors that are null, or hold null or non-finite components, and rows without a vec_id take no part; shorter
+ones count as ending in zeros; a repeated (vec_id, vector) counts once. A vec_id that stands at several vectors is a
+candidate with each of them; as a query it has the k highest scores over all its vectors, and none of them is its own candidate. Ties
+go to the smaller vec_id. Fewer candidates than k: all.
 """
 
 from __future__ import annotations
@@ -22,17 +25,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import arrow_rows, stored
 
 K = 5
 SLICES = 2
 SCALE = 256
-#: Rows of a packed block.
-BLOCK = 1024
+#: Rows of a packed block of queries and of candidates.
+QUERY_BLOCK, BLOCK = 1024, 4096
+#: A cutoff that everything reaches; no vec_id, and another that nothing equals.
+_LOWEST, _NONE, _OTHER = -(2**62), -(2**63), -(2**63) + 1
 
 
 def scaled(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
@@ -42,90 +47,122 @@ def scaled(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataF
     return vectors.where(fine & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
 
 
-def _blocks(rows: DataFrame, count: int, width: int) -> DataFrame:
-    """block, ids, cuts, m: rows (id, v, cut) packed as 64-bit integers, about BLOCK of them in a block; m row by row, `width` each."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((len(pdf), width), np.int64)
-        for k, v in enumerate(pdf["v"]):
-            m[k, : len(v)] = v
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "cuts": [pdf["cut"].to_numpy(np.int64).tobytes()], "m": [m.tobytes()]})
-
-    n = max(1, -(-count // BLOCK))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n).cast("long")))
-    return dealt.groupBy("block").applyInPandas(pack, "block long, ids binary, cuts binary, m binary")
-
-
-def _nodes(queries: DataFrame, rows: DataFrame, width: int, slices: int, k: int | None) -> DataFrame:
-    """q, c: of every node (a slice of a block of rows) and query k entries with the highest partial scores, or, for k=None, all of at
-    least cut / slices."""
-    cols = [(width * s // slices, width * (s + 1) // slices) for s in range(slices)]
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for x in pdf.itertuples():
-                q, cut, c = (np.frombuffer(y, np.int64) for y in (x.q_ids, x.q_cuts, x.ids))
-                qm, cm = (np.frombuffer(y, np.int64).reshape(-1, width) for y in (x.q_m, x.m))
-                # products of floats are exact up to 2**53 and quicker; integers beyond
-                small = float(np.abs(qm).max(initial=0)) * float(np.abs(cm).max(initial=0)) * width < 2**53
-                qm, cm = (y.astype(np.float64 if small else np.int64) for y in (qm, cm))
-                for a, b in cols:
-                    part = qm[:, a:b] @ cm[:, a:b].T
-                    if k is None:
-                        i, j = np.nonzero(part * slices >= cut[:, None])
-                    elif part.shape[1] > k:
-                        j = np.argpartition(part, part.shape[1] - k, axis=1)[:, -k:].ravel()
-                        i = np.repeat(np.arange(len(q)), k)
-                    else:
-                        i, j = np.nonzero(np.ones(part.shape, bool))
-                    yield pd.DataFrame({"q": q[i], "c": c[j]})
-
-    names = {"block": "q_block", "ids": "q_ids", "cuts": "q_cuts", "m": "q_m"}
-    pairs = queries.withColumnsRenamed(names).join(rows.withColumnRenamed("block", "row_block"), "row_block")
-    return pairs.select("q_ids", "q_cuts", "q_m", "ids", "m").mapInPandas(search, "q long, c long")
+def _blocks(rows: DataFrame, by: str, count: int, size: int, width: int, extra: list[str]) -> DataFrame:
+    """block, m (vectors v as 64-bit integers, row by row, `width` each), and the columns `extra` (arrays of longs, as long in
+    every row) packed likewise: about `size` rows in a block."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        v = table.column("v").combine_chunks()
+        m = np.zeros((len(v), width), np.int64)
+        m[np.arange(width) < v.value_lengths().to_numpy()[:, None]] = v.flatten().to_numpy()
+        packed = {c: [table.column(c).combine_chunks().flatten().to_numpy().astype(np.int64).tobytes()] for c in extra}
+        return pa.table({"block": [table.column("block")[0].as_py()], "m": [m.tobytes()], **packed})
+
+    n = max(1, -(-count // size))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(by), F.lit(n).cast("long")))
+    return dealt.select("block", "v", *extra).groupBy("block").applyInArrow(pack, ", ".join(["block long", "m binary", *[f"{c} binary" for c in extra]]))
+
+
+class _Nodes:
+    """A block of queries and one of rows: partial scores of each slice."""
+
+    def __init__(self, x: dict, width: int, slices: int, k: int):
+        self.q, self.cut, own, ids = (np.frombuffer(x[c], np.int64) for c in ("q", "cut", "own", "ids"))
+        q, c = (np.frombuffer(x[y], np.int64).reshape(-1, width) for y in ("q_m", "m"))
+        # products of floats are exact up to 2**53 and quicker; integers beyond
+        small = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * width < 2**53
+        q, c = (y.astype(np.float64 if small else np.int64) for y in (q, c))
+        cols = [(width * s // slices, width * (s + 1) // slices) for s in range(slices)]
+        self.parts = [q[:, a:b] @ c[:, a:b].T for a, b in cols]
+        self.ids = ids.reshape(-1, k + 1)
+        # classes that hold nothing but the query's own vec_id
+        only = np.where(self.ids[:, 1] == _NONE, self.ids[:, 0], _OTHER) if k else np.full(len(self.ids), _OTHER)
+        self.free = own[:, None] != only if np.isin(own, only).any() else None
+
+    def score(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The sum of all slices."""
+        return sum(p[i, j] for p in self.parts).astype(np.int64)
+
+    def highest(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """q, score of the k highest scores of each query among what the slices list."""
+        listed = []
+        for part in self.parts:
+            part = part if self.free is None else np.where(self.free, part, _LOWEST)
+            if part.shape[1] > k:
+                listed.append(np.argpartition(part, part.shape[1] - k, axis=1)[:, -k:])
+            else:
+                listed.append(np.broadcast_to(np.arange(part.shape[1]), part.shape))
+        j = np.sort(np.concatenate(listed, axis=1), axis=1)
+        i = np.broadcast_to(np.arange(len(j))[:, None], j.shape)
+        ok = np.ones(j.shape, bool) if self.free is None else self.free[i, j]
+        ok[:, 1:] &= j[:, 1:] != j[:, :-1]
+        score = np.where(ok, self.score(i, j), _LOWEST)
+        score = -np.sort(-score, axis=1)[:, :k]
+        i, at = np.nonzero(score > _LOWEST)
+        return self.q[i], score[i, at]
+
+    def reaching(self, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """q, vec_id, score of all that reach the query's cutoff."""
+        listed = self.parts[0] * slices >= self.cut[:, None]
+        for part in self.parts[1:]:
+            listed |= part * slices >= self.cut[:, None]
+        i, j = np.nonzero(listed if self.free is None else listed & self.free)
+        score = self.score(i, j)
+        ok = score >= self.cut[i]
+        i, score, ids = i[ok], score[ok], self.ids[j[ok]]
+        at, k = np.nonzero(ids != _NONE)
+        return self.q[i[at]], ids[at, k], score[at]
 
 
 def top_k(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, slices: int = SLICES, scale: int = SCALE) -> DataFrame:
     """For each row of vectors for which the column is_query (of vec_id) holds its k highest scores against all other rows:
     query_id, rank, vec_id, score."""
+    spark = vectors.sparkSession
     v = scaled(vectors, vec_id, embedding, scale)
-    cands = stored(v.distinct().withColumn("rn", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("rn") <= k + 1).drop("rn"), "candidates")
-    asked = stored(v.where(is_query).distinct(), "queries")
-    classes = asked.groupBy("v").agg(F.min("vec_id").alias("q"))
-    named = stored(asked.join(classes, "v").select("q", F.col("vec_id").alias("query_id")), "query-classes")
-    queries = stored(classes.select("q", "v"), "query-vectors")
-    sizes = cands.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).first()
+    # classes: a vector and its k+1 smallest vec_id
+    least = v.distinct().withColumn("rn", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("rn") <= k + 1)
+    ids = F.array_sort(F.collect_list("vec_id"))
+    classes = stored(least.groupBy("v").agg(ids.alias("ids")), "classes")
+    # queries: a vector, and the vec_id whose own vectors are left out, if it has several
+    asked = v.where(is_query).distinct()
+    several = asked.groupBy("vec_id").agg(F.count("*").alias("vectors")).where("vectors > 1").select("vec_id", F.col("vec_id").alias("own"))
+    asked = stored(asked.join(several, "vec_id", "left").select(F.col("vec_id").alias("query_id"), "v", F.coalesce("own", F.lit(_NONE)).alias("own")), "queries")
+    queries = stored(asked.select("v", "own").distinct().select(F.monotonically_increasing_id().alias("q"), "v", "own"), "query-vectors")
+    named = stored(asked.join(queries, ["v", "own"]).select("q", "query_id"), "query-names")
+    sizes = classes.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).first()
     n, width, nq = sizes["n"], max(sizes["w"] or 0, 1), queries.count()
-    spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    rows = stored(_blocks(cands.select(F.col("vec_id").alias("id"), "v", F.lit(0).cast("long").alias("cut")), n, width), "rows")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # from here on a row is a pair of blocks
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # rows are blocks from here on
+    padded = F.array(*[F.coalesce(F.get("ids", F.lit(j)), F.lit(_NONE)) for j in range(k + 1)])
+    rows = stored(_blocks(classes.select("v", padded.alias("ids")), "v", n, BLOCK, width, ["ids"]), "rows")
     n_blocks = max(1, -(-n // BLOCK))
 
-    def packed(df: DataFrame) -> DataFrame:
-        """Query blocks, one for each block of rows."""
-        blocks = _blocks(df.withColumnRenamed("q", "id"), nq, width)
-        return blocks.withColumn("row_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-
-    def exact(pairs: DataFrame) -> DataFrame:
-        """q, c, score."""
-        a = queries.select("q", F.col("v").alias("va"))
-        b = cands.select(F.col("vec_id").alias("c"), F.col("v").alias("vb"))
-        products = F.zip_with("va", "vb", lambda x, y: F.coalesce(x * y, F.lit(0).cast("long")))
-        return pairs.join(a, "q").join(b, "c").select("q", "c", F.aggregate(products, F.lit(0).cast("long"), lambda s, x: s + x).alias("score"))
-
-    # 1
-    first = exact(_nodes(packed(queries.withColumn("cut", F.lit(0).cast("long"))), rows, width, slices, k + 1).distinct())
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    cut = first.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k + 1).groupBy("q").agg(F.min("score").alias("cut"), F.count("*").alias("have"))
-    # with fewer entries than k + 1 there are no more candidates, and all are wanted
-    cut = stored(cut.select("q", F.when(F.col("have") > k, F.col("cut")).otherwise(F.lit(-(2**62)).cast("long")).alias("cut")), "cutoffs")
-    # 2 and 3
-    second = exact(_nodes(packed(queries.join(cut, "q")), rows, width, slices, None).distinct())
-    top = second.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k + 1)
-    mine = named.join(top, "q").where("query_id <> c")
-    last = Window.partitionBy("query_id").orderBy(F.desc("score"), "c")
+    def pairs(of: DataFrame) -> DataFrame:
+        """Every block of queries with every block of rows."""
+        of = of.select("v", *[F.array(c).alias(c) for c in ("q", "cut", "own")])
+        blocks = _blocks(of, "q", nq, QUERY_BLOCK, width, ["q", "cut", "own"]).select("q", "cut", "own", F.col("m").alias("q_m"))
+        blocks = blocks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+        return blocks.join(rows, "block").select("q", "cut", "own", "q_m", "ids", "m")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _Nodes(x, width, slices, k).highest(k + 1)], names=["q", "score"])
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _Nodes(x, width, slices, k).reaching(slices)], names=["q", "vec_id", "score"])
+
+    with arrow_rows(spark, 8):  # a row is a pair of blocks
+        lists = pairs(queries.withColumn("cut", F.lit(0).cast("long"))).mapInArrow(first, "q long, score long")
+        best = Window.partitionBy("q").orderBy(F.desc("score"))
+        cut = lists.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k + 1).groupBy("q").agg(F.min("score").alias("cut"), F.count("*").alias("have"))
+        # with fewer entries than k + 1 there are no more candidates, and all are wanted
+        cut = stored(cut.select("q", F.when(F.col("have") > k, F.col("cut")).otherwise(F.lit(_LOWEST)).alias("cut")), "cutoffs")
+        found = stored(pairs(queries.join(cut, "q")).mapInArrow(second, "q long, vec_id long, score long"), "entries")
+    found = found.join(queries.select("q", "own"), "q").where("vec_id <> own").drop("own")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    top = found.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k + 1)
+    mine = named.join(top, "q").where("query_id <> vec_id")
+    last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = mine.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("c").alias("vec_id"), "score")
-
+    return ranked.select("query_id", "rank", "vec_id", "score")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, stored
+from .common import arrow_rows, shared_dir, stored
 from .sharedfs import Ranges, Written
 
 REVISIT_FROM = 1000
@@ -133,7 +133,6 @@ def members(read: Ranges) -> dict[str, tuple[int, int, int]]:
 
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_from: int = REVISIT_FROM) -> DataFrame:
     """Writes a package for each partition of pages; returns, stored, a row for each: path, n_records, bytes."""
-    small_batches(pages.sparkSession)
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload"))
     large = rows.where(F.col("bytes") >= revisit_from).groupBy("digest", "bytes").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies"))
@@ -160,7 +159,8 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
                 package.writestr(INDEX, "\n".join(index))
         yield pa.RecordBatch.from_pylist([{"path": path, "n_records": len(index), "bytes": out.size}], schema=pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("bytes", pa.int64())]))
 
-    return stored(rows.mapInArrow(put, "path string, n_records long, bytes long"), "manifest")
+    with arrow_rows(pages.sparkSession):
+        return stored(rows.mapInArrow(put, "path string, n_records long, bytes long"), "manifest")
 
 
 def index(packages: DataFrame) -> DataFrame:

@@ -33,6 +33,24 @@ def test_top_k(spark, slices):
         assert sorted(got[q]) == [(j + 1, k, -s) for j, (s, k) in enumerate(want)]
 
 
+@pytest.mark.parametrize("slices", [2, 3])
+def test_top_k_of_repeated_ids(spark, monkeypatch, slices):
+    """Ids at several vectors, vectors of several ids, small blocks."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    rng = random.Random(slices)
+    vectors = [[rng.randrange(-3, 4) / 256 for _ in range(6)] for _ in range(40)]
+    rows = [(rng.choice([0, 50, 100, *range(1, 30)]), rng.choice(vectors)) for _ in range(300)] + [(0, vectors[0])] * 3 + [(None, vectors[1]), (150, vectors[0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0, slices=slices).collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id, r.rank))
+    distinct = {(k, tuple(round(x * 256) for x in v)) for k, v in rows if k is not None}
+    for q in (0, 50, 100, 150):
+        scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), k) for i, v in distinct if i == q for k, w in distinct if k != q)
+        assert sorted(got[q]) == [(s, k, j + 1) for j, (s, k) in enumerate(scores[:5])]
+
+
 def test_top_k_of_few(spark):
     df = spark.createDataFrame([(0, [1.0]), (50, [2.0])], "vec_id long, embedding array<float>")
     got = sorted((r.query_id, r.vec_id) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect())

@@ -123,3 +123,31 @@ def test_search_exchanges():
     lengths = [5, 4, 4, 3, 3, 1]
     bins = [[0, 1], [2, 3], [4, 5]]
     assert len(packing.local_search(bins, lengths, 10)) == 2
+
+
+def test_null_ids(docs):
+    rows = [(None, "a b"), (4, "c"), (None, "d e f"), (-3, "g"), (4, "h")]
+    got = tokenfile.round_trip(docs(rows), tokenizer_path()).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, -3, 4, 4]
+    assert sum(r.n_tokens for r in got) == sum(len(reference(t)) for _, t in rows)
+    assert sorted(r.ids_crc32 for r in got) == sorted(zlib.crc32(reference(t).tobytes()) for _, t in rows)
+    assert sorted((r.doc_id or 0) for r in packing.packed_documents(docs(rows), tokenizer_path()).collect()) == [-3, 0, 0, 4, 4]
+
+
+def test_settings_are_put_back(docs):
+    spark = docs([]).sparkSession
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    tokenfile.round_trip(docs(DOCS[:3]), tokenizer_path()).count()
+    assert spark.conf.get(key) == before
+
+
+def test_scratch_folders_are_removed(docs):
+    import os
+
+    spark = docs([]).sparkSession
+    with common.scratch(spark) as made:
+        common.stored(docs([(1, "x")]), "gone")
+        kept = common.stored(docs([(1, "y")]), "kept")
+        gone, stays = made[0], made.pop()
+    assert not os.path.exists(gone) and os.path.exists(stays) and kept.count() == 1
