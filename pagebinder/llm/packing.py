@@ -2,9 +2,10 @@
 
 Tokenizing writes one small row per piece (its place, length and checksum), which is stored; packing needs lengths only, so
 ids are never shuffled. Pieces are dealt at random into groups of about `GROUP`; each group is packed by itself: best fit in
-falling length, then a local search that moves pieces from the emptiest sequence, or exchanges one for one or two for one,
-whenever the squared fill of the sequences rises, until it is empty. Sequences that stay well below full are taken apart and
-packed again with those of the other groups.
+falling length, then a local search that moves pieces out of the emptiest sequences, or exchanges one for one or two for one,
+whenever the squared fill of the sequences rises, until no step is left or all room together is less than a sequence. Rooms, lengths
+and pair lengths are indexed, so a step looks at lengths, not at sequences. Sequences that stay well below full are taken
+apart and packed again with those of the other groups.
 
 Defined results: null texts count as empty; an empty document is one piece, the end id; repeated rows are packed each; pieces
 of full length have a sequence of their own.
@@ -29,8 +30,6 @@ END_ID = 2
 GROUP = 20_000
 #: Sequences filled less than this in their group are packed again across groups.
 REPACK_BELOW = 0.97
-#: Emptiest sequences that the local search tries to empty in a group.
-TRIES = 40
 
 
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, end_id: int = END_ID, ids: bool = False) -> DataFrame:
@@ -83,67 +82,139 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], size: int, tries: int = TRIES) -> list[list[int]]:
-    """Empties the emptiest bins as far as it can; full bins take no part. Each step raises the squared fill."""
-    full = [b for b in bins if sum(lengths[k] for k in b) == size]
-    open_ = [b for b in bins if sum(lengths[k] for k in b) < size]
-    for _ in range(tries):
-        fills = np.array([sum(lengths[k] for k in b) for b in open_], np.int64)
-        if not len(fills) or int((size - fills).sum()) < size:  # no bin can become empty
-            break
-        e = int(fills.argmin())
-        others = [b for j, b in enumerate(open_) if j != e]
-        left = _emptied(list(open_[e]), others, lengths, size)
-        open_ = [b for b in others if b] + ([left] if left else [])
-        if left:  # stuck: this bin stays as it is now
-            full.append(open_.pop())
-    return full + open_
-
-
-def _emptied(from_: list[int], others: list[list[int]], lengths: list[int], size: int) -> list[int]:
-    """What is left of `from_` when its pieces have gone to the others, changed in place."""
-    room = np.array([size - sum(lengths[k] for k in b) for b in others], np.int64)
-    one_bin = np.repeat(np.arange(len(others)), [len(b) for b in others])
-    one = np.array([k for b in others for k in b], np.int64)
-    one_length = np.array([lengths[k] for k in one.tolist()], np.int64)
-    pairs = [(j, x, y) for j, b in enumerate(others) if len(b) <= 12 for i, x in enumerate(b) for y in b[:i]]
-    two_bin, two_x, two_y = (np.array(c, np.int64) for c in (zip(*pairs, strict=True) if pairs else ((), (), ())))
-    two_length = np.array([lengths[x] + lengths[y] for _, x, y in pairs], np.int64)
-    dirty = np.zeros(len(others), bool)  # bins that changed: known by `others` only, so left out of exchanges
-    steps = 0
-    while from_ and steps < 400:
-        steps += 1
-        from_.sort(key=lengths.__getitem__, reverse=True)
-        done = False
-        for k in list(from_):  # a move fills the fullest bin that has room
-            fit = np.where(room >= lengths[k], room, size + 1)
-            if len(fit) and fit.min() <= size:
-                b = int(fit.argmin())
-                others[b].append(k)
-                from_.remove(k)
-                room[b] -= lengths[k]
-                dirty[b] = done = True
-        if done:
-            continue
-        best = (0, None)
-        for k in from_[:8]:
-            for kind, length, at in ((1, one_length, one_bin), (2, two_length, two_bin)):
-                if len(length):
-                    gain = lengths[k] - length
-                    ok = (gain > 0) & (gain <= room[at]) & ~dirty[at]
-                    if ok.any():
-                        i = int(np.where(ok, gain, 0).argmax())
-                        best = max(best, (int(gain[i]), (kind, k, i)), key=lambda x: x[0])
-        if best[1] is None:
-            break
-        kind, k, i = best[1]
-        b = int((one_bin if kind == 1 else two_bin)[i])
-        back = [int(one[i])] if kind == 1 else [int(two_x[i]), int(two_y[i])]
-        others[b] = [x for x in others[b] if x not in back] + [k]
-        from_ = [x for x in from_ if x != k] + back
-        room[b] -= best[0]
-        dirty[b] = True
-    return from_
+class _Open:
+    """Bins that have room, known by their room and by the lengths of their pieces, single (1) or in pairs (2)."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], size: int):
+        self.bins, self.lengths, self.size = bins, lengths, size
+        self.room = [size - sum(lengths[k] for k in b) for b in bins]
+        self.by_room: dict[int, set[int]] = {}
+        self.rooms = 0  # bit r is set where a bin has room r
+        self.free = 0  # all their room
+        self.having: tuple[dict, ...] = ({}, {}, {})  # (length, room): bins
+        self.masks: tuple[list, ...] = ([], [0] * size, [0] * size)  # of a length: rooms of the bins that have it, as bits
+        self.most = np.full((3, size), -1)  # the largest of them
+        for b in range(len(bins)):
+            self.add(b)
+
+    def _keys(self, b: int) -> list[tuple[int, int]]:
+        """(kind, length) of single pieces and pairs. Distinct lengths in a bin are few: 1 + 2 + ... + 45 is more than 1024."""
+        have: dict[int, int] = {}
+        for k in self.bins[b]:
+            have[self.lengths[k]] = have.get(self.lengths[k], 0) + 1
+        one = sorted(have)
+        two = {x + y for i, x in enumerate(one) for y in one[i + (have[x] == 1) :]}
+        return [(1, x) for x in one] + [(2, x) for x in two if x < self.size]
+
+    def add(self, b: int) -> None:
+        r = self.room[b]
+        if not r or not self.bins[b]:
+            return  # full or empty bins take no part
+        self.by_room.setdefault(r, set()).add(b)
+        self.rooms |= 1 << r
+        self.free += r
+        for kind, x in self._keys(b):
+            self.having[kind].setdefault((x, r), set()).add(b)
+            self.masks[kind][x] |= 1 << r
+            if r > self.most[kind, x]:
+                self.most[kind, x] = r
+
+    def remove(self, b: int) -> None:
+        r = self.room[b]
+        if not r or b not in self.by_room.get(r, ()):
+            return
+        self.by_room[r].discard(b)
+        self.free -= r
+        if not self.by_room[r]:
+            self.rooms &= ~(1 << r)
+        for kind, x in self._keys(b):
+            here = self.having[kind][x, r]
+            here.discard(b)
+            if not here:
+                self.masks[kind][x] &= ~(1 << r)
+                self.most[kind, x] = self.masks[kind][x].bit_length() - 1
+
+    def change(self, b: int, out: list[int], into: list[int]) -> None:
+        """The pieces `out` leave bin b for `into`."""
+        self.remove(b)
+        self.bins[b] = [x for x in self.bins[b] if x not in out] + into
+        self.room[b] += sum(self.lengths[x] for x in out) - sum(self.lengths[x] for x in into)
+        self.add(b)
+
+    def exchange(self, length: int, fill: int, kinds: tuple[int, ...]) -> tuple[int, int, int] | None:
+        """(gain, kind, bin) of the largest gain for which pieces of this length can take the place of one or two shorter ones, in a
+        bin that is fuller after it than the bin they come from was, so that the squared fill rises."""
+        best = None
+        for kind in kinds:
+            short = np.arange(1, length)
+            for x in (short[self.most[kind, 1:length] >= length - short]).tolist():
+                gain = length - x
+                if best and gain <= best[0]:
+                    break
+                fit = (self.masks[kind][x] >> gain) & ((1 << (self.size - fill)) - 1)
+                if fit:
+                    room = gain + (fit & -fit).bit_length() - 1
+                    best = (gain, kind, min(self.having[kind][x, room]))
+                    break
+        return best
+
+    def emptied(self, e: int) -> bool:
+        """Whether anything changed when bin e was emptied as far as it can be."""
+        lengths, changed = self.lengths, False
+        self.remove(e)
+        mine = sorted(self.bins[e], key=lengths.__getitem__)
+        fill = self.size - self.room[e]
+        while mine:
+            stay = []
+            for k in reversed(mine):  # a move fills the fullest bin that has room
+                fit = self.rooms >> lengths[k]
+                room = lengths[k] + (fit & -fit).bit_length() - 1
+                if fit and self.size - room + lengths[k] > fill:
+                    self.change(min(self.by_room[room]), [], [k])
+                    fill -= lengths[k]
+                    changed = True
+                else:
+                    stay.append(k)
+            mine = stay[::-1]
+            single = {lengths[k]: [k] for k in mine}
+            double = {lengths[x] + lengths[y]: [x, y] for i, x in enumerate(mine) for y in mine[i + 1 : i + 2] + [of[0] for of in single.values() if lengths[of[0]] > lengths[x]]}
+            found = [(*x, into) for n, into in single.items() if (x := self.exchange(n, fill, (1, 2)))]
+            found += [(*x, into) for n, into in double.items() if n < self.size and (x := self.exchange(n, fill, (1,)))]
+            if not found:
+                break
+            gain, kind, b, into = max(found)
+            out = self._pieces(b, kind, sum(lengths[k] for k in into) - gain)
+            self.change(b, out, into)
+            mine = sorted([x for x in mine if x not in into] + out, key=lengths.__getitem__)
+            fill -= gain
+            changed = True
+        self.bins[e], self.room[e] = mine, self.size - fill
+        self.add(e)
+        return changed
+
+    def _pieces(self, b: int, kind: int, length: int) -> list[int]:
+        of: dict[int, list[int]] = {}
+        for k in self.bins[b]:
+            of.setdefault(self.lengths[k], []).append(k)
+        if kind == 1:
+            return of[length][:1]
+        x = next(x for x in of if length - x in of and (2 * x != length or len(of[x]) > 1))
+        return of[x][:2] if 2 * x == length else [of[x][0], of[length - x][0]]
+
+
+def local_search(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
+    """Empties bins, the emptiest first, by moves and by one-for-one and two-for-one exchanges that raise the squared fill, until
+    no bin has any left or until all room together is less than a bin."""
+    of = _Open([list(b) for b in bins], lengths, size)
+    going = True
+    while going:
+        going = False
+        for e in sorted(range(len(of.bins)), key=lambda b: (of.room[b], b), reverse=True):
+            if of.free < size:
+                return [b for b in of.bins if b]
+            if of.bins[e] and of.room[e]:
+                going |= of.emptied(e)
+    return [b for b in of.bins if b]
 
 
 def _packed(rows: DataFrame, n: int, size: int, groups: int, round_: int) -> DataFrame:

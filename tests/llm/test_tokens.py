@@ -118,6 +118,43 @@ def test_best_fit_and_search_keep_all_pieces():
         assert -(-sum(lengths) // 100) <= len(better) <= len(bins)
 
 
+def stuck(bins, lengths, size):
+    """Whether no move and no exchange of one for one, one for two or two for one raises the squared fill, tried one by one."""
+    from itertools import combinations
+
+    fill = [sum(lengths[k] for k in b) for b in bins]
+    for a in range(len(bins)):
+        for b in range(len(bins)):
+            if a == b or size in (fill[a], fill[b]):
+                continue
+            for n_in, n_out in ((1, 0), (1, 1), (1, 2), (2, 1)):
+                for into in combinations(bins[a], n_in):
+                    for out in combinations(bins[b], n_out):
+                        gain = sum(lengths[k] for k in into) - sum(lengths[k] for k in out)
+                        if 0 < gain <= size - fill[b] and fill[b] + gain > fill[a]:
+                            return False
+    return True
+
+
+def test_search_goes_on_until_stuck():
+    rng = np.random.default_rng(5)
+    ended = 0
+    for of in ((1, 60), (20, 60), (30, 45), (1, 8)):
+        for _ in range(15):
+            lengths = rng.integers(*of, 40).tolist()
+            found = packing.local_search(packing.best_fit(lengths, 100), lengths, 100)
+            room = sum(100 - sum(lengths[k] for k in b) for b in found)
+            assert room < 100 or stuck(found, lengths, 100)
+            ended += room < 100
+    assert 0 < ended < 60
+
+
+def test_search_of_hard_lengths():
+    lengths = [520] * 600 + [272] * 600 + [264] * 600 + [240] * 1200
+    bins = packing.best_fit(lengths, 1024)
+    assert len(bins) >= 1100 and len(packing.local_search(bins, lengths, 1024)) == 900
+
+
 def test_search_exchanges():
     # best fit leaves a bin that an exchange empties: 6+4, 5+5 from 6+3, 5+5, 4 is reached by moving only; one for one is needed here
     lengths = [5, 4, 4, 3, 3, 1]
