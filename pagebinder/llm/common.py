@@ -11,7 +11,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of `documents` and `benchmark` words; see `words_of`.
@@ -79,6 +79,12 @@ def arrow_rows(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once however often use() names it: the optimizer copies expressions, but not what a lambda
+    has bound. (A lambda's body is computed for each element, with all that it names.)"""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ascii_lower(text):
     """A-Z to lower case and nothing else. lower() has a quick path for ASCII and is then the same."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -8,7 +8,7 @@
 Fitting uses a bounded sample: at most `SAMPLE` labelled rows, those of the smallest hashes of doc_id, so any size is treated
 alike. All of it takes place on the driver with numpy, on numbers only (SAMPLE rows of len(STATISTICS) doubles).
 
-Defined results: null texts count as empty; empty texts have all statistics 0 and a score like any other; documents with several
+Defined results: of rows that share a doc_id the text with the smallest hash is learnt from; null texts count as empty; empty texts have all statistics 0 and a score like any other; documents with several
 labels count by the smallest; without labels of both kinds every score is the share of good labels (0.5 without any).
 """
 
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import let, stored
 
 SAMPLE = 20_000
 TREES, DEPTH, DRAW = 40, 3, 2_000
@@ -28,12 +28,6 @@ PENALTY = 0.002
 THRESHOLD = 0.7
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with value computed once however often use() names it: the optimizer copies expressions into filters, but not
-    what a lambda has bound."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def statistics(text: Column, words: Column) -> dict[str, Column]:
     """Of a text that is not null and its words. Lengths are in code points."""
     length = F.char_length(text)
@@ -68,9 +62,9 @@ def with_words(text: Column, use) -> Column:
 
     def bound(words: Column) -> Column:
         of = {k: F.when(F.char_length(t) > 0, c.cast("double")).otherwise(0.0) for k, c in statistics(t, words).items()}
-        return _let(F.struct(*[c.alias(k) for k, c in of.items()]), use)
+        return let(F.struct(*[c.alias(k) for k, c in of.items()]), use)
 
-    return _let(F.split(t, r"\s+"), bound)
+    return let(F.split(t, r"\s+"), bound)
 
 
 @dataclass
@@ -185,8 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
     known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).alias("_y"))
     known = stored(known.orderBy(F.xxhash64("_id"), "_id").limit(sample), "labels")  # of bounded size
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(known), "_id")
-    got = rows.select("_id", "_y", with_words(F.col("_t"), lambda s: s).alias("s")).dropDuplicates(["_id"]).orderBy("_id").select("_id", "_y", "s.*").collect()
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(f"`{text}`").alias("_t")).join(F.broadcast(known), "_id")
+    rows = rows.select("_id", "_y", F.xxhash64("_t").alias("h"), with_words(F.col("_t"), lambda s: s).alias("s"))
+    got = rows.groupBy("_id", "_y").agg(F.min_by("s", "h").alias("s")).orderBy("_id").select("_id", "_y", "s.*").collect()
     data = np.array([[*r[1:]] for r in got], float).reshape(len(got), 1 + len(NAMES))
     return fit_arrays(data[:, 1:], data[:, 0], **kw)
 
@@ -196,11 +191,14 @@ def score(text: Column, model: Model) -> Column:
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs, all columns, with score and predicted."""
-    both = _let(score(F.col(text), model), lambda x: F.struct(x.alias("score"), (x >= threshold).cast("int").alias("predicted")))
-    return docs.withColumn("_score", both).select(*[F.col(f"`{c}`") for c in docs.columns], "_score.score", "_score.predicted")
+    """docs, all columns, with score and predicted; columns of these names are replaced."""
+    codes = [f"c{k}" for k in range(len(docs.columns))]
+    both = let(score(F.col(codes[docs.columns.index(text)]), model), lambda x: F.struct(x.alias("score"), (x >= threshold).cast("int").alias("predicted")))
+    kept = [(code, c) for code, c in zip(codes, docs.columns, strict=True) if c.lower() not in ("score", "predicted")]
+    out = docs.toDF(*codes).withColumn("s", both).select(*[code for code, _ in kept], "s.score", "s.predicted")
+    return out.toDF(*[c for _, c in kept], "score", "predicted")
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that score the threshold or more."""
-    return docs.where(score(F.col(text), model) >= threshold)
+    return docs.where(score(F.col(f"`{text}`"), model) >= threshold)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import let, stored
 
 # The base patterns, the group that holds the value and the least length of it.
 KINDS = {
@@ -39,11 +39,6 @@ ORDER = [*KINDS, *WIDE]
 COPIED_FROM = 3
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with value computed once: a lambda's body is computed for each element, with all that it names."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 #: Elements that _before folds into one growing list.
 _FOLD = 64
 
@@ -64,7 +59,7 @@ def _before(x: Column, zero: Column, op) -> Column:
         starts = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _FOLD).cast("int"))
         return F.transform(starts, lambda b: grown(F.slice(xs, b * _FOLD + 1, F.lit(_FOLD))))
 
-    return _let(x, lambda xs: _let(parts_of(xs), joined))
+    return let(x, lambda xs: let(parts_of(xs), joined))
 
 
 _MATCHES = "array<struct<start:int,rank:int,end:int,value:string>>"
@@ -84,8 +79,8 @@ def matches(text: Column, kind: str) -> Column:
         return F.filter(rows, lambda r: F.length(r["value"]) >= least)
 
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    parts = _let(found, lambda m: F.zip_with(m, F.slice(gaps, 1, F.size(m)), lambda x, g: F.struct(g.alias("gap"), x["length"].alias("length"), x["value"].alias("value"))))
-    return F.when(F.regexp_like(text, F.lit(pattern)), _let(parts, placed)).otherwise(F.array().cast(_MATCHES))
+    parts = let(found, lambda m: F.zip_with(m, F.slice(gaps, 1, F.size(m)), lambda x, g: F.struct(g.alias("gap"), x["length"].alias("length"), x["value"].alias("value"))))
+    return F.when(F.regexp_like(text, F.lit(pattern)), let(parts, placed)).otherwise(F.array().cast(_MATCHES))
 
 
 def _is(value: int):
@@ -166,6 +161,6 @@ def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner:
         last = F.array_max(F.transform("found", lambda m: m["end"]))
         return F.concat(F.array_join(F.zip_with("found", done, piece), ""), _cut(parts, last, F.length(whole)))
 
-    clean = _let(F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{_PART}}}"), F.lit(0)), masked)
+    clean = let(F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{_PART}}}"), F.lit(0)), masked)
     new = F.when(F.size("found") > 0, clean).otherwise(whole)
     return found.select(*[new.alias(c) if c == place[text] else F.col(f"k{k}").alias(c) for k, c in enumerate(codes)]).toDF(*docs.columns)

@@ -39,6 +39,65 @@ def test_quality_on_held_out(docs, spark):
     assert kept.columns == [*d.columns, "score"] and kept.count() == sum(r.predicted for r in got)
 
 
+def plain_statistics(t):
+    """The statistics of a text, in plain Python."""
+    import math
+    import re
+
+    if not t:
+        return dict.fromkeys(quality.NAMES, 0.0)
+    w = re.split("[ \t\n\x0b\f\r]+", t)
+    share = lambda chars: sum(c in chars for c in t) / len(t)
+    return {
+        "log_chars": math.log1p(len(t)), "upper": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digits": share("0123456789"), "symbols": share("#$%&*=<>@^_|~+\\"), "marks": share("!?"), "stops": share(".,;:"),
+        "distinct_words": len(set(w)) / len(w), "distinct_few": len(set(w)) / math.sqrt(len(w)), "word_length": len(t) / len(w), "lines": t.count("\n") / len(w),
+    }
+
+
+def plain_score(t, model):
+    import math
+
+    s, total = plain_statistics(t), model.bias
+    for terms, w in model.rules:
+        total += w * all((s[name] > value) == above for name, above, value in terms)
+    for name, low, high, w in model.linear:
+        total += w * (min(max(s[name], low), high) - low) / (high - low)
+    return 1 / (1 + math.exp(-total))
+
+
+def test_quality_against_brute_force(docs, spark):
+    """Statistics, sample, rules and scores of every row, in plain Python."""
+    import os
+    import zlib
+
+    rows, labels = made(300)
+    rows += [(2000, ""), (2001, None), (2002, " \n\t x"), (2003, "é𝄞 ÀB\r\n!?"), (2004, "ab " * 100_000)]
+    cases = [(docs(rows), spark.createDataFrame(labels, "doc_id long, quality int"))]
+    if os.path.exists(SF):
+        cases.append((spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")))
+    for d, truth in cases:
+        model = quality.fit(d, truth)
+        known = {r.doc_id: r.quality for r in truth.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+        learnt = sorted((r.doc_id, r.text) for r in d.collect() if r.doc_id in known)
+        x = np.array([[plain_statistics(t)[c] for c in quality.NAMES] for _, t in learnt])
+        again = quality.fit_arrays(x, np.array([known[k] for k, _ in learnt], float))
+        assert len(again.rules) == len(model.rules) and [t for t, _ in again.rules][0][0][0] == [t for t, _ in model.rules][0][0][0]
+        for r in quality.scored(d, model).collect():
+            assert abs(r.score - plain_score(r.text, model)) < 1e-9 and r.predicted == int(r.score >= 0.7)
+
+
+def test_quality_of_repeated_ids_and_clashing_names(docs, spark):
+    rows, labels = made(200)
+    rows += [(k, t + " other words" * 5) for k, t in rows[:50]]
+    truth = spark.createDataFrame(labels, "doc_id long, quality int")
+    models = [quality.fit(docs(rows).repartition(n), truth) for n in (1, 3, 7)]
+    assert models[0] == models[1] == models[2]
+    d = docs(rows[:5]).selectExpr("*", "'x' as score", "1 as _score", "2 as s", "3 as `a.b`")
+    got = quality.scored(d, models[0])
+    assert got.columns == [*[c for c in d.columns if c != "score"], "score", "predicted"] and got.dtypes[-2][1] == "double"
+    assert quality.accepted(d, models[0]).columns == d.columns and len(got.collect()) == 5
+
+
 def test_labels_of_held_out_rows_dont_count(docs, spark):
     rows, labels = made(200)
     d = docs(rows)
@@ -71,6 +130,76 @@ def test_languages(docs, spark):
     assert got[101].host == "" and got[101].lang in vocabulary and all(0 < r.probability <= 1 for r in got.values())
 
 
+def plain_identify(pages, train):
+    """identify() in plain Python: page_id, text_lang, lang, probability."""
+    import html
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    def slots(t):
+        b = [c + 32 if 65 <= c <= 90 else 32 if c < 32 else 0 if 48 <= c <= 57 else c for c in (t or "").encode()]
+        h = [((((x * 961 + y) * 961 + z) & 0xFFFFFFFF) * 2654435761 & 0xFFFFFFFF) >> 19 for x, y, z in zip(b, b[1:], b[2:]) if x and y and z]
+        return [x & (langid.SLOTS - 1) for x in h]
+
+    count, docs_of = defaultdict(Counter), Counter()
+    for t, lang in train:
+        if lang:
+            count[lang].update(slots(t))
+            docs_of[lang] += 1
+    langs = sorted(docs_of)
+    n = range(len(langs))
+    shares = [docs_of[x] / sum(docs_of.values()) for x in langs]
+    sums = [sum(count[x].values()) + 0.5 * langid.SLOTS for x in langs]
+
+    def softmax(x):
+        e = [math.exp(y - max(x)) for y in x]
+        return [y / sum(e) for y in e]
+
+    rows, of_host, of_suffix, of_said, of_all = [], defaultdict(lambda: [0.0] * len(langs)), defaultdict(lambda: [0.0] * len(langs)), defaultdict(lambda: [0.0] * len(langs)), [0.0] * len(langs)
+    for page, url, raw in pages:
+        host = (re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "") or [0, ""])[1].lower()
+        suffix = "" if re.fullmatch("[0-9.]*", host) else host.rpartition(".")[2]
+        said = (re.search(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-zA-Z]+)""", raw or "") or [0, ""])[1].lower()
+        text = re.sub(r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ", raw or "")
+        s = slots(html.unescape(re.sub("(?s)<[^>]*>", " ", text)))
+        by_text = [sum(math.log((count[x][y] + 0.5) / sums[k]) for y in s) * min(1.0, langid.WEIGHT / max(len(s), 1)) for k, x in enumerate(langs)]
+        p = softmax([by_text[k] + math.log(shares[k]) for k in n])
+        rows.append((page, host, suffix, said, by_text, p))
+        for group in (of_host[suffix, host], of_suffix[suffix], of_said[said], of_all):
+            for k in n:
+                group[k] += p[k]
+    out = {}
+    for page, host, suffix, said, by_text, p in rows:
+        prior = shares
+        for group in (of_all, of_suffix[suffix], of_host[suffix, host]):
+            rest = [group[k] - p[k] for k in n]
+            prior = [(rest[k] + langid.SMOOTH * prior[k]) / (sum(rest) + langid.SMOOTH) for k in n]
+        declared = [math.log((of_said[said][k] - p[k] + 0.5) / (of_all[k] - p[k] + 0.5 * len(of_said))) if said else 0.0 for k in n]
+        q = softmax([by_text[k] + declared[k] + math.log(prior[k]) for k in n])
+        out[page] = (langs[p.index(max(p))], langs[q.index(max(q))], max(q))
+    return out
+
+
+def test_languages_against_brute_force(docs, spark):
+    rng = random.Random(6)
+    vocabulary = {"en": ["the", "and", "thing", "water"], "de": ["der", "und", "nicht", "über"], "fr": ["le", "été", "eau", "pas"]}
+    text = lambda lang, k: " ".join(rng.choice(vocabulary[lang]) for _ in range(k))
+    train = [(text(lang, 40), lang) for _ in range(15) for lang in vocabulary] + [("x 1", None), (None, "en"), ("", "")]
+    pages = []
+    for k in range(150):
+        lang = rng.choice(list(vocabulary))
+        body = text(lang, rng.choice([0, 1, 2, 20])).replace("ü", rng.choice(["ü", "&uuml;", "&#252;"])).replace("é", rng.choice(["é", "&eacute;"]))
+        head = rng.choice(["", f"<html lang='{lang}'>", "<HTML class=x LANG=en-GB>", "<html lang='de'>"])
+        pages.append((k, rng.choice([None, f"https://{lang}.example.{lang}/", "http://10.0.0.1/x", "https://u@mixed.example.com:80/", f"http://h{k % 40}.example.{lang}"]), f"{head}<script>der</script><p>{body} 12</p><!-- x -->"))
+    pages += [(500, None, None), (501, "", "")]
+    got = {r.page_id: r for r in langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(train, "text string, lang string")).collect()}
+    want = plain_identify(pages, train)
+    assert set(got) == set(want)
+    for k, (by_text, lang, probability) in want.items():
+        assert abs(got[k].probability - probability) < 1e-6 and got[k].lang == lang and got[k].text_lang == by_text
+
+
 def test_languages_of_nothing(docs, spark):
     pages = spark.createDataFrame([(1, "u", "<p>x</p>")], "page_id long, url string, html string")
     assert [r.lang for r in langid.identify(pages, docs([])).collect()] == [None]
