@@ -1,14 +1,19 @@
 """Web archives in ZIP packages: written by tasks, read back by ranges.
 
-A package holds two stored (not compressed) members: `archive/data.warc.gz`, WARC records that are each a gzip member of their
-own, and `indexes/index.jsonl`, a line per record with its place in the first. The reader finds members by the package's
-central directory, also in its ZIP64 form, and reads records by range; nothing is extracted.
+A package that is written here holds two stored (not compressed) members: `archive/data.warc.gz`, WARC records that are each a gzip
+member of their own, and `indexes/index.jsonl`, a line per record with its place in the first. The reader takes packages of any
+layout: it finds members by the package's central directory, also in its ZIP64 form; every `*.warc` and `*.warc.gz` is an archive and
+must be stored; indexes (`*.jsonl`, `*.cdx`, `*.cdxj` in `indexes/`, compressed or not: lines that end with a JSON object of offset,
+length and, with several archives, filename) tell where records are; archives that no index names are walked record by
+record. Members are read by range and in parts; nothing is extracted.
 
 Records with equal payloads of `REVISIT_FROM` bytes or more: the one of the largest page id is the response, the others are
 revisit records that refer to it and hold headers only. Payloads are compared by length and SHA-1.
 
 Defined results: a null html is an empty payload; a null url has no target header; a null page id stays null and is never
-referred to unless all are; repeated rows of the largest id are all responses. Line breaks in a url are written as %0A and %0D.
+referred to unless all are; repeated rows of the largest id are all responses. Line breaks in a url are written as %0A and %0D. Records
+of other writers have a record_id but no page_id; those without an HTTP head have their block as payload; a payload that differs
+from its SHA-1 is an error, as is a compressed archive member.
 """
 
 from __future__ import annotations
@@ -17,10 +22,12 @@ import base64
 import gzip
 import hashlib
 import json
+import re
 import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,8 +50,17 @@ def _uri(page_id: int | None) -> str:
 
 
 def _page_id(uri: str | None) -> int | None:
-    tail = (uri or "null").strip("<>").rpartition(":")[2]
-    return None if tail == "null" else int(tail)
+    """None for records of other writers, too."""
+    found = re.fullmatch(r"<?urn:page:(-?[0-9]+)>?", uri or "")
+    return int(found[1]) if found else None
+
+
+def _hex(digest: str | None) -> str | None:
+    """The hex form of a SHA-1 in a header, which may be in base 32; None for others."""
+    kind, _, value = (digest or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return value.lower() if len(value) == 40 else base64.b32decode(value.upper()).hex()
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str = DATE) -> bytes:
@@ -62,20 +78,28 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def parsed(data: bytes) -> dict:
-    """page_id, url, record_type, refers_to, payload (None in revisits), payload_bytes, payload_digest (hex)."""
+    """record_id, page_id, url, record_type, refers_to, payload (None in revisits), payload_bytes, payload_digest (hex)."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    of = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+    of = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     block = rest[: int(of["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    digest = base64.b32decode(of["warc-payload-digest"].removeprefix("sha1:")).hex()
-    revisit = of["warc-type"] == "revisit"
-    if not revisit and (len(payload) != length or hashlib.sha1(payload).hexdigest() != digest):
-        raise ValueError(f"the payload of {of['warc-record-id']} differs from its digest")
-    return {"page_id": _page_id(of["warc-record-id"]), "url": of.get("warc-target-uri"), "record_type": of["warc-type"], "refers_to": _page_id(of.get("warc-refers-to")) if revisit else None, "payload": None if revisit else payload, "payload_bytes": length, "payload_digest": digest}
+    revisit, length, coded = of.get("warc-type") == "revisit", None, False
+    payload = block
+    if of.get("content-type", "").startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")[1:])}
+        length = int(fields[b"content-length"]) if fields.get(b"content-length", b"").isdigit() else None
+        coded = b"transfer-encoding" in fields
+    digest = _hex(of.get("warc-payload-digest"))
+    if not revisit:
+        own = hashlib.sha1(payload).hexdigest()
+        if digest and digest != own and not coded:
+            raise ValueError(f"the payload of {of.get('warc-record-id')} differs from its digest")
+        digest, length = digest or own, len(payload)
+    uri = of.get("warc-record-id")
+    return {"record_id": uri, "page_id": _page_id(uri), "url": of.get("warc-target-uri"), "record_type": of.get("warc-type"), "refers_to": _page_id(of.get("warc-refers-to")) if revisit else None, "payload": None if revisit else payload, "payload_bytes": length, "payload_digest": digest}
 
 
 # --- packages -------------------------------------------------------------------------------------------------------
@@ -163,6 +187,103 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
         return stored(rows.mapInArrow(put, "path string, n_records long, bytes long"), "manifest")
 
 
+#: Bytes of a member that are read at once.
+PART = 1 << 20
+
+
+def _parts(read: Ranges, start: int, size: int) -> Iterator[bytes]:
+    for at in range(0, size, PART):
+        yield read(start + at, min(PART, size - at))
+
+
+def _inflated(parts: Iterator[bytes], kind: int) -> Iterator[bytes]:
+    """kind: -15 for a deflated ZIP member, 31 for gzip, of which several may follow each other."""
+    of = zlib.decompressobj(kind)
+    for part in parts:
+        while part:
+            yield of.decompress(part)
+            part, of = (of.unused_data, zlib.decompressobj(kind)) if of.eof else (b"", of)
+
+
+def _lines(parts: Iterator[bytes]) -> Iterator[str]:
+    rest = b""
+    for part in parts:
+        *whole, rest = (rest + part).split(b"\n")
+        yield from (x.decode() for x in whole)
+    yield rest.decode()
+
+
+def _entries(read: Ranges, name: str, place: tuple[int, int, int]) -> Iterator[dict]:
+    """The JSON objects of an index's lines."""
+    start, size, method = place
+    parts = _parts(read, start, size)
+    if method not in (0, 8):
+        raise ValueError(f"{name}: compression {method} isn't known")
+    parts = _inflated(parts, -15) if method == 8 else parts
+    parts = _inflated(parts, 31) if name.endswith(".gz") else parts
+    for line in _lines(parts):
+        begin = line.find("{")
+        if begin >= 0:
+            entry = json.loads(line[begin:])
+            if "offset" in entry and "length" in entry:
+                yield entry
+
+
+def _walked(read: Ranges, start: int, size: int) -> Iterator[tuple[int, int]]:
+    """Offset and length of each record of an archive, compressed or plain."""
+    at = 0
+    while at < size:
+        if read(start + at, min(2, size - at)) == b"\x1f\x8b":
+            of, used = zlib.decompressobj(31), 0
+            while not of.eof:
+                part = read(start + at + used, min(PART, size - at - used))
+                if not part:
+                    raise EOFError("an archive ends within a record")
+                of.decompress(part)
+                used += len(part) - len(of.unused_data)
+        else:
+            head = b""
+            while b"\r\n\r\n" not in head:
+                part = read(start + at + len(head), min(4096, size - at - len(head)))
+                if not part:
+                    raise EOFError("an archive ends within a record")
+                head += part
+            head = head[: head.index(b"\r\n\r\n") + 4]
+            length = next(int(x.partition(b":")[2]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+            used = len(head) + length + 4
+        yield at, used
+        at += used
+
+
+def _places(read: Ranges, path: str) -> Iterator[tuple[int, int]]:
+    """Place and length in the package of each record."""
+    where = members(read)
+    archives = {n: p for n, p in where.items() if re.search(r"\.warc(\.gz)?$", n)}
+    for name, (*_, method) in archives.items():
+        if method:
+            raise ValueError(f"{path}: {name} is compressed as a whole, so it has no ranges")
+    short = {n.rpartition("/")[2]: n for n in archives}
+    indexes = [n for n in sorted(where) if re.search(r"(^|/)indexes/[^/]*\.(jsonl|cdxj?)(\.gz)?$", n)]
+    named, several = set(), len(indexes) > 1  # several may list a record twice
+    told: set[tuple[int, int]] = set()
+    for n in indexes:
+        for entry in _entries(read, n, where[n]):
+            file = str(entry.get("filename", "")).rpartition("/")[2]
+            archive = short.get(file) if file else next(iter(archives), None) if len(archives) == 1 else None
+            if archive is None:
+                continue
+            named.add(archive)
+            place = (archives[archive][0] + int(entry["offset"]), int(entry["length"]))
+            if several:
+                if place in told:
+                    continue
+                told.add(place)
+            yield place
+    for name in sorted(set(archives) - named):
+        start, size, _ = archives[name]
+        yield from ((start + at, length) for at, length in _walked(read, start, size))
+
+
 def index(packages: DataFrame) -> DataFrame:
     """path, offset, length of each record, of packages (path); absolute in the package."""
 
@@ -170,21 +291,17 @@ def index(packages: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with Ranges(path) as read:
-                    where = members(read)
-                    if where[RECORDS][2] or where[INDEX][2]:
-                        raise ValueError(f"{path}: its members are compressed")
-                    base = where[RECORDS][0]
-                    lines = read(*where[INDEX][:2]).decode().split("\n")
-                    rows = [json.loads(x) for x in lines if x]
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array([base + r["offset"] for r in rows], pa.int64()), pa.array([r["length"] for r in rows], pa.int64())], names=["path", "offset", "length"])
+                    places = _places(read, path)
+                    while rows := list(islice(places, 10_000)):
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array([a for a, _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64())], names=["path", "offset", "length"])
 
     return packages.select("path").mapInArrow(look, "path string, offset long, length long")
 
 
 def records(places: DataFrame, payload: bool = False) -> DataFrame:
-    """The records at places (path, offset, length), each read by its range: page_id, url, record_type, refers_to, payload_bytes,
-    payload_digest; with payload=True the payload too."""
-    kinds = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), *[("payload", pa.binary())] * payload]
+    """The records at places (path, offset, length), each read by its range: record_id, page_id, url, record_type, refers_to,
+    payload_bytes, payload_digest; with payload=True the payload too."""
+    kinds = [("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), *[("payload", pa.binary())] * payload]
     names = pa.schema(kinds)
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,14 +313,15 @@ def records(places: DataFrame, payload: bool = False) -> DataFrame:
                     if read:
                         read.file.close()
                     path, read = p, Ranges(p)
-                x = parsed(zlib.decompress(read(offset, length), 31))
+                data = read(offset, length)
+                x = parsed(zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data)
                 rows.append({k: x[k] for k in names.names})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=names)
         if read:
             read.file.close()
 
-    schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payload
+    schema = "record_id string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payload
     return places.select("path", "offset", "length").mapInArrow(get, schema)
 
 

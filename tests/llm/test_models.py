@@ -247,6 +247,45 @@ def test_zip64(tmp_path):
         assert {n: read(*f[:2]) for n, f in found.items()} == {f"m{k}": bytes([k]) * (k + 1) for k in range(3)}
 
 
+def test_packages_of_other_writers(spark, tmp_path, monkeypatch):
+    """Several archives, one plain, one that no index names; a compressed index; members that are neither."""
+    import gzip
+    import hashlib
+    import json
+    import zipfile
+
+    monkeypatch.setattr(warc, "PART", 7)
+
+    def made(kind, uri, body, digest=True, http=True):
+        block = (b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" if http else b"") + body
+        head = [f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{uri}>\r\nContent-Type: {'application/http' if http else 'text/plain'}"]
+        head += [f"WARC-Payload-Digest: sha1:{hashlib.sha1(body).hexdigest()}"] * digest
+        return ("\r\n".join([*head, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    a = [made("warcinfo", "urn:uuid:1", b"software: x", digest=False, http=False), made("response", "urn:uuid:2", b"body " * 50), made("response", "urn:page:7", b"")]
+    b = [made("response", "urn:uuid:3", b"plain\r\n\r\nbody"), made("resource", "urn:uuid:4", b"r", http=False)]
+    packed = [gzip.compress(x) for x in a]
+    lines = [f"com,x)/ 2020 {json.dumps({'filename': 'a.warc.gz', 'offset': sum(map(len, packed[:k])), 'length': len(packed[k])})}" for k in (1, 2)]
+    path = str(tmp_path / "other.wacz")
+    with zipfile.ZipFile(path, "w") as z:
+        z.comment = b"a comment"
+        z.writestr("archive/a.warc.gz", b"".join(packed))
+        z.writestr("archive/b.warc", b"".join(b))
+        z.writestr("archive/c.warc.gz", b"".join(packed))
+        z.writestr("pages/pages.jsonl", "{}")
+        z.writestr("indexes/index.cdx.gz", gzip.compress("\n".join(lines).encode()), zipfile.ZIP_DEFLATED)
+        z.writestr("indexes/index.idx", "no record")
+    got = warc.records(warc.index(spark.createDataFrame([(path,)], "path string")), payload=True).collect()
+    rows = sorted((r.record_id, r.record_type, bytes(r.payload), r.payload_bytes) for r in got)
+    body = b"body " * 50
+    assert rows == sorted([("<urn:uuid:2>", "response", body, 250)] * 2 + [("<urn:page:7>", "response", b"", 0)] * 2 + [("<urn:uuid:1>", "warcinfo", b"software: x", 11), ("<urn:uuid:3>", "response", b"plain\r\n\r\nbody", 13), ("<urn:uuid:4>", "resource", b"r", 1)])
+    assert {r.page_id for r in got} == {None, 7} and all(r.payload_digest == hashlib.sha1(r.payload).hexdigest() for r in got)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("archive/a.warc.gz", b"".join(packed))
+    with pytest.raises(Exception, match="compressed as a whole"):
+        warc.index(spark.createDataFrame([(path,)], "path string")).collect()
+
+
 def test_pipeline(spark):
     """Stage by stage against brute force on what each stage was given."""
     import os
@@ -277,3 +316,19 @@ def test_pipeline(spark):
         if texts[4][k] == t:
             assert not secrets_of(t)[2]
     check_plan(steps[-1].collect(), list(texts[4].items()))
+
+
+def test_run_removes_what_stages_leave(spark, tmp_path, monkeypatch):
+    import os
+
+    import corpus_pipeline
+    from pagebinder.llm.common import stored
+
+    spark.createDataFrame([(k, f"t{k}") for k in range(10)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    even = lambda s, d, _: stored(d.where("doc_id % 2 = 0"), "inner-of-stage")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("even", even), ("small", lambda s, d, _: stored(d, "inner-of-stage").where("doc_id < 5")), ("last", even)])
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(r.doc_id for r in got.collect()) == [0, 2, 4]
+    folder = os.path.dirname(shared_dir(spark, "x"))
+    left = {p.rpartition("-")[0] for p in os.listdir(folder)}
+    assert "stage2" in left and not left & {"stage0", "stage1", "inner-of-stage"}
