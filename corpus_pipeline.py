@@ -1,7 +1,8 @@
 """A training corpus from raw documents: quality, near duplicates, benchmark passages, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. run() writes what a
-stage returns as Parquet in the shared folder and gives it, read again, to the next one.
+stage returns as Parquet in the shared folder and gives it, read again, to the next one. What a stage wrote for itself is removed
+when its result stands, and so is the result of the stage before.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagebinder.llm import decontam, jaccard, packing, quality, secrets
-from pagebinder.llm.common import stored
+from pagebinder.llm.common import remove, scratch, stored
 from pagebinder.llm.queries import tokenizer_path
 
 
@@ -33,7 +34,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced in their texts."""
+    """All documents, with secrets replaced in their texts: live-looking ones and widely copied examples by marks of their own."""
     return secrets.redacted(docs)
 
 
@@ -50,12 +51,19 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: No SQL: the classifier and the tokenizer are beyond it. tests/llm/test_pipeline.py has a brute-force version.
+#: No SQL: the classifier and the tokenizer are beyond it. test_pipeline in tests/llm/test_models.py checks each stage by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs, before = _table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), f"stage{k}")
+        with scratch(spark) as made:
+            result = stage(spark, docs, sf_dir)
+            inner = len(made)
+            docs = stored(result, f"stage{k}")
+            path = made.pop(inner)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
