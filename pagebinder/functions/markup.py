@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+from html import unescape
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What is dropped before tokens are cut: bodies of scripts and styles can hold what looks like tags. One pattern for each.
 HIDDEN = [r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>", r"(?s)<!--.*?-->"]
-TOKEN = r"<[^>]*>|[^<]+"
+#: A tag, in which quoted values of attributes may hold ">"; else text.
+TOKEN = r"""<[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+>|<[^>]*>|[^<]+"""
 
 
 def visible(html: Column) -> Column:
@@ -21,7 +28,7 @@ def has_attribute(tag: Column, name: str) -> Column:
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """An attribute's value, "" without one; with double, single or no quotes."""
+    """An attribute's value as it is written, "" without one; with double, single or no quotes."""
     pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
     return F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
 
@@ -30,15 +37,59 @@ def has_class(tag: Column, name: str) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(attribute(tag, "class"), r"\s+", " "), F.lit(" ")).contains(f" {name} ")
 
 
-# Common entities; the ampersand comes last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&copy;": "©", "&middot;": "·", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&amp;": "&"}
+def substituted(text: Column, pattern: str, to) -> Column:
+    """text with each match of the pattern (one that isn't empty) replaced by to(match), a column."""
+
+    def joined(found: Column) -> Column:
+        return F.array_join(F.zip_with(F.split(text, pattern, -1), found, lambda part, m: F.concat(part, F.when(m.isNotNull(), to(m)).otherwise(""))), "")
+
+    found = F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return F.when(text.rlike(pattern), F.get(F.transform(found, joined), F.lit(0))).otherwise(text)
+
+
+#: What follows "&": a number, or a name of the HTML standard, as Python has them, longest first: some need no semicolon, and the longest that fits
+#: counts.
+_ENTITY = "^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|" + "|".join(sorted(html5, key=lambda name: (-len(name), name))) + ")"
+
+
+def _literal_map(of: dict[str, str]) -> Column:
+    """One literal for the optimizer to fold, not one for each entry."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in of.items())), F.lit("\x02"), F.lit("\x01"))
+
+
+def _numbered(digits: Column) -> Column:
+    """The character of a number, or of x and a hexadecimal number. 128 to 159 are Windows-1252, as in browsers; what can't be a character is the
+    replacement character."""
+    hexadecimal = F.lower(F.substring(digits, 1, 1)) == "x"
+    n = F.when(F.length(digits) > 9, F.lit(1 << 30)).when(hexadecimal, F.conv(F.substring(digits, 2, 8), 16, 10).cast("long")).otherwise(digits.cast("long"))
+    windows = F.array(*[F.lit(ord(bytes([k]).decode("cp1252")) if k not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else k) for k in range(128, 160)])
+    n = F.when(n.between(128, 159), F.get(windows, (n - 128).cast("int"))).when((n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit(0xFFFD)).otherwise(n)
+    return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Entities that are looked for before all others, since most are these.
+_COMMON = ("amp;", "lt;", "gt;", "quot;", "nbsp;", "#39;")
 
 
 def decoded(text: Column) -> Column:
-    out = text
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.when(text.contains("&"), out).otherwise(text)
+    """Entities as characters: numbers, and all names of the HTML standard. text should be a column: it is named several times."""
+
+    def shown(part: Column, k: Column) -> Column:
+        def general(entity: Column) -> Column:
+            char = F.when(entity.startswith("#"), _numbered(F.rtrim(F.substring(entity, 2, 40), F.lit(";")))).otherwise(F.try_element_at(_literal_map(html5), entity))
+            return F.when(entity == "", F.concat(F.lit("&"), part)).otherwise(F.concat(char, F.substring(part, F.length(entity) + 1, F.length(part))))
+
+        out = F.when(k == 0, part)
+        for name in _COMMON:
+            out = out.when(part.startswith(name), F.concat(F.lit(unescape("&" + name)), F.substring(part, F.lit(len(name) + 1), F.length(part))))
+        return out.otherwise(once(F.regexp_extract(part, _ENTITY, 0), general))
+
+    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&", -1), shown), "")).otherwise(text)
 
 
 def escaped(text: Column) -> Column:
@@ -68,16 +119,28 @@ def parsed_date(text: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
 
 
-# Latin letters and what is left of them in ASCII.
-_ACCENTED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿŠšŽž"
-_PLAIN = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOoooooUUUUuuuuYyySsZz"
+@cache
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What compatibility decomposition (NFKD) leaves of characters in ASCII: of those with one character left, and of others."""
+    one, more = {}, {}
+    for k in range(128, sys.maxunicode + 1):
+        plain = unicodedata.normalize("NFKD", chr(k))
+        if plain != chr(k) and (plain := plain.encode("ascii", "ignore").decode()):
+            (one if len(plain) == 1 else more)[chr(k)] = plain
+    return one, more
+
+
 SLUG_LENGTH = 80
 
 
 def slug(title: Column) -> Column:
-    """Lower-case words of a title joined by hyphens, 80 characters at most; "article" if nothing is left."""
-    s = F.lower(F.regexp_replace(F.translate(title, _ACCENTED, _PLAIN), r"[^\x00-\x7F]", ""))
-    s = F.regexp_replace(F.regexp_replace(s, r"\s+", "-"), r"[^a-z0-9-]", "")
-    s = F.regexp_replace(F.regexp_replace(s, "-+", "-"), "^-|-$", "")
-    s = F.when(F.length(s) > SLUG_LENGTH, F.regexp_replace(F.substring(s, 1, SLUG_LENGTH), "-+$", "")).otherwise(s)
+    """Lower-case words of a title joined by hyphens, 80 characters at most; "article" if nothing is left. Letters are decomposed (NFKD), and
+    what isn't ASCII then is dropped."""
+    one, more = _folds()
+    folded = substituted(title, "[" + "".join(more) + "]", lambda c: F.coalesce(F.try_element_at(_literal_map(more), c), F.lit("")))
+    folded = F.translate(folded, "".join(one), "".join(one.values()))
+    folded = F.when(F.octet_length(title) == F.char_length(title), title).otherwise(folded)
+    s = F.regexp_replace(F.lower(F.regexp_replace(folded, r"[^a-zA-Z0-9\s-]+", "")), r"[\s-]+", "-")
+    s = F.trim(s, F.lit("-"))
+    s = F.when(F.length(s) > SLUG_LENGTH, F.rtrim(F.substring(s, 1, SLUG_LENGTH), F.lit("-"))).otherwise(s)
     return F.coalesce(F.nullif(s, F.lit("")), F.lit("article"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import markup as m
@@ -24,15 +24,17 @@ def html_tokens(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return rows.select(PAGE, *keep, "pos", kind.alias("kind"), F.lower(F.regexp_extract(t, "^</?([a-zA-Z][a-zA-Z0-9:-]*)", 1)).alias("tag"), "token")
 
 
-def with_ends(tokens: DataFrame) -> DataFrame:
+def with_ends(tokens: DataFrame, counted: dict[str, Column] | None = None) -> DataFrame:
     """tokens with level (how many elements of the tag are open after the token), close_pos (of opens that are closed), open_token (of
     closes), and filled (texts that aren't blank up to the token) with filled_end (the same at the close). Each tag has a depth of
-    its own, so others left open do no harm."""
+    its own, so others left open do no harm. counted: conditions, whose tokens are counted up to each (name) and, on opens that are
+    closed, up to the close (name_end)."""
+    counted = counted or {}
     by_tag = Window.partitionBy(PAGE, "tag").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     by_page = Window.partitionBy(PAGE).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
     filled = F.sum(((F.col("kind") == "text") & (F.regexp_replace(m.decoded(F.col("token")), r"[\s\u00a0]+", "") != "")).cast("int"))
-    rows = tokens.withColumn("level", F.sum(step).over(by_tag)).withColumn("filled", filled.over(by_page))
+    rows = tokens.withColumn("level", F.sum(step).over(by_tag)).withColumns({"filled": filled.over(by_page), **{k: F.sum(F.coalesce(c, F.lit(False)).cast("int")).over(by_page) for k, c in counted.items()}})
     rows = rows.withColumn("_key", F.when(F.col("kind") == "close", F.col("level") + 1).otherwise(F.col("level")))
     at = Window.partitionBy(PAGE, "tag", "_key").orderBy("pos")
     closed = (F.col("kind") == "open") & (F.lead("kind").over(at) == "close")
@@ -40,6 +42,7 @@ def with_ends(tokens: DataFrame) -> DataFrame:
     return rows.withColumns({
         "close_pos": F.when(closed, F.lead("pos").over(at)), "filled_end": F.when(closed, F.lead("filled").over(at)),
         "open_token": F.when(opened, F.lag("token").over(at)), "open_filled": F.when(opened, F.lag("filled").over(at)),
+        **{f"{k}_end": F.when(closed, F.lead(k).over(at)) for k in counted},
     }).drop("_key")
 
 

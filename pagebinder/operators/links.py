@@ -7,8 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 
-#: Registered sources in order of priority: name, predicate over a url column, and the job that turns its pages into articles.
-_sources: list[tuple] = [("thread", urls.is_thread, None), ("web", urls.is_web, None)]
+
+
+def _web(pages: DataFrame) -> DataFrame:
+    from .extract import extract_articles
+
+    return extract_articles(pages)
+
+
+#: Registered sources in order of priority: name, predicate over a url column, and the job that turns its pages into articles (None: its
+#: pages come another way, as threads do).
+_sources: list[tuple] = [("thread", urls.is_thread, None), ("web", urls.is_web, _web)]
 
 
 def register_source(name, predicate, extract=None, first: bool = False) -> None:
@@ -49,6 +58,19 @@ def route_links(df: DataFrame, url: str = "url") -> DataFrame:
     return df.withColumn("route", rule)
 
 
+def extract_routed(pages: DataFrame, url: str = "url") -> DataFrame:
+    """Articles of pages (page_id, url, html), each by the job of the first registered source that takes its link; route tells which. Pages of
+    links that none takes, and of sources without a job, are rows that failed."""
+    routed = route_links(pages, url)
+    jobs = {name: extract for name, _, extract in _sources if extract}
+    rest = routed.where(~F.coalesce(F.col("route").isin(*jobs), F.lit(False)))
+    error = F.when(F.col("route").isNull(), "Unsupported URL").otherwise("This source has no pages to extract")
+    out = rest.select("page_id", F.col(url).alias("source_url"), "route", F.lit("failed").alias("status"), error.alias("error"))
+    for name, extract in jobs.items():
+        out = extract(routed.where(F.col("route") == name).drop("route")).withColumn("route", F.lit(name)).unionByName(out, allowMissingColumns=True)
+    return out
+
+
 def route_batches_strict(df: DataFrame) -> DataFrame:
     """Per batch: accepted, and the unsupported links in order. One bad link rejects the batch."""
     bad = F.array_sort(F.collect_list(F.when(F.col("route").isNull(), F.struct("pos", "url"))))

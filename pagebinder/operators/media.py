@@ -27,12 +27,16 @@ def clean_media_titles(title: Column) -> Column:
     return title
 
 
-def split_artist_title(df: DataFrame, title: str = "title", uploader: str = "uploader") -> DataFrame:
-    """artist and track of "Artist - Title"; else the uploader and the whole title."""
+def split_artist_title(df: DataFrame, title: str = "title", uploader: str = "uploader", own_track: str | None = None, playlist: tuple[str, str] | None = None) -> DataFrame:
+    """artist and track of "Artist - Title"; else the uploader and the whole title. own_track: a column whose track, if it has one, comes first.
+    playlist: columns of its title and of the place there, which become album and track_number."""
     t = F.col(title)
     pair = t.contains(" - ")
     artist = F.when(pair, F.regexp_extract(t, r"^(.*?) - ", 1))
-    return df.withColumns({"artist": F.coalesce(F.nullif(artist, F.lit("")), F.col(uploader)), "track": F.coalesce(F.nullif(F.when(pair, F.regexp_extract(t, r"^.*? - (.*)$", 1)), F.lit("")), t)})
+    parts = [F.nullif(F.col(own_track), F.lit(""))] if own_track else []
+    track = F.coalesce(*parts, F.nullif(F.when(pair, F.regexp_extract(t, r"^.*? - (.*)$", 1)), F.lit("")), t)
+    more = {"album": F.col(playlist[0]), "track_number": F.col(playlist[1])} if playlist else {}
+    return df.withColumns({"artist": F.coalesce(F.nullif(artist, F.lit("")), F.col(uploader)), "track": track, **more})
 
 
 def media_file_names(df: DataFrame, mode: str) -> DataFrame:

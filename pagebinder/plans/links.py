@@ -15,7 +15,8 @@ WHEN 1 THEN concat('http://www.twitter.com/user', user_id, '/article/', event_id
 WHEN 3 THEN concat('https://blog.example.com:8080/post/', event_id, '?p=', user_id, '#top') WHEN 4 THEN concat('https://www.youtube.com/watch?v=v', event_id)
 WHEN 5 THEN concat('https://music.youtube.com/watch?v=v', event_id, '&list=PL', user_id) WHEN 6 THEN concat('https://youtu.be/', event_id)
 WHEN 7 THEN concat('ftp://files.example.com/', event_id) ELSE concat('http://x.com/user', user_id, '/status/', event_id, '/photo/1') END"""
-_CTE = f"WITH l AS (SELECT user_id AS batch, event_id AS pos, {LINK} AS url FROM events)"
+_CTE0 = "WITH l AS (SELECT user_id AS batch, event_id AS pos, {} AS url FROM events)"
+_CTE = _CTE0.format(LINK)
 _THREAD = r"regexp_matches(url, '^https?://(www\.)?(twitter\.com|x\.com)/[0-9A-Za-z_]+/(status|article)/[0-9]+')"
 _AUTH = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)"
 _WEB = f"(regexp_matches(url, '^https?://[^/?#]') AND lower({_AUTH}) NOT IN ('twitter.com', 'www.twitter.com', 'x.com', 'www.x.com'))"
@@ -56,10 +57,11 @@ def _(t):
     return ops.route_links(links(t))
 
 
-@query("route_batches_strict", f"""{_CTE} SELECT batch, bool_and(({_ROUTE}) IS NOT NULL) AS accepted,
-coalesce(string_agg(CASE WHEN ({_ROUTE}) IS NULL THEN url END, ', ' ORDER BY pos), '') AS unsupported FROM l WHERE pos % 9 <> 2 OR batch % 2 = 0 GROUP BY batch""")
+@query("route_batches_strict", f"""{_CTE0.format("CASE WHEN event_id % 9 = 2 AND user_id % 2 = 1 THEN 'https://e.example/' ELSE " + LINK + " END")} SELECT batch, bool_and(({_ROUTE}) IS NOT NULL) AS accepted,
+coalesce(string_agg(CASE WHEN ({_ROUTE}) IS NULL THEN url END, ', ' ORDER BY pos), '') AS unsupported FROM l GROUP BY batch""")
 def _(t):
-    return ops.route_batches_strict(links(t).where("pos % 9 <> 2 or batch % 2 = 0"))
+    mended = F.when(F.expr("pos % 9 = 2 and batch % 2 = 1"), "https://e.example/").otherwise(F.col("url"))
+    return ops.route_batches_strict(links(t).withColumn("url", mended))
 
 
 @query("route_batches_lenient", f"""{_CTE} SELECT batch, pos, url, {_ROUTE} AS route, CASE WHEN ({_ROUTE}) IS NULL THEN 'failed' ELSE 'pending' END AS status,

@@ -25,12 +25,18 @@ def _(t):
     return t.part.select("p_partkey", media.clean_media_titles(F.expr(_RAW)).alias("title"))
 
 
-_SPLIT = "CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_type END AS artist, p_name AS track"
+_SPLIT = """CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_type END AS artist, CASE p_partkey % 5 WHEN 0 THEN concat('Track ', p_size) ELSE p_name END AS track,
+CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS album, CASE WHEN p_partkey % 3 = 0 THEN p_size END AS track_number"""
 
 
 @query("split_artist_title", f"SELECT p_partkey, {_SPLIT} FROM part")
 def _(t):
-    return media.split_artist_title(t.part.select("p_partkey", F.expr(_CLEAN).alias("title"), F.col("p_type").alias("uploader"))).select("p_partkey", "artist", "track")
+    listed = F.col("p_partkey") % 3 == 0
+    rows = t.part.select(
+        "p_partkey", F.expr(_CLEAN).alias("title"), F.col("p_type").alias("uploader"), F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("Track "), "p_size")).when(F.col("p_partkey") % 5 == 1, "").alias("own_track"),
+        F.when(listed, F.col("p_brand")).alias("playlist_title"), F.when(listed, F.col("p_size")).alias("playlist_index"),
+    )
+    return media.split_artist_title(rows, own_track="own_track", playlist=("playlist_title", "playlist_index")).select("p_partkey", "artist", "track", "album", "track_number")
 
 
 @query("media_file_names", """SELECT p_partkey, concat(CASE WHEN p_partkey % 2 = 0 THEN concat(p_size, ' - ') ELSE '' END, CASE WHEN p_partkey % 3 = 0 THEN 'Unknown Artist' ELSE p_brand END, ' - ', p_name, ' [', p_partkey, '].mp3') AS audio,
@@ -102,10 +108,10 @@ def _(t):
     return read_link_lists(runs(t), "run", "stderr", trim=False)
 
 
-@query("media_results", """WITH f AS (SELECT o_custkey AS key, count(*) AS n, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS b, min(o_orderkey) AS k FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1)
+@query("media_results", """WITH f AS (SELECT o_custkey AS key, count(*) AS n, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS b, min(o_orderkey) AS k FROM orders GROUP BY 1)
 SELECT c_custkey AS key, concat('https://youtu.be/', c_custkey) AS url, coalesce(n, 0) AS n_files, b AS size_bytes, CASE WHEN n > 1 THEN concat(n, ' files from playlist') WHEN n = 1 THEN concat('f', k, '.mp4') END AS label, CASE WHEN n IS NULL THEN 'failed' ELSE 'success' END AS status FROM customer LEFT JOIN f ON key = c_custkey""")
 def _(t):
-    files = t.orders.where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("f"), "o_orderkey", F.lit(".mp4")).alias("filename"), F.floor("o_totalprice").cast("long").alias("size_bytes"))
+    files = t.orders.select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("f"), "o_orderkey", F.lit(".mp4")).alias("filename"), F.floor("o_totalprice").cast("long").alias("size_bytes"))
     return media.media_results(t.customer.select(F.col("c_custkey").alias("key"), F.concat(F.lit("https://youtu.be/"), "c_custkey").alias("url")), files)
 
 
@@ -281,10 +287,9 @@ def _(t):
     return rows.select("event_id", timeline.unwrapped(F.col("r"))["rest_id"].alias("tweet_id"))
 
 
-@query("choose_text", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE lang END AS text FROM documents WHERE length(text) > 5")
+@query("choose_text", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN length(coalesce(text, '')) >= length(coalesce(lang, '')) THEN coalesce(text, '') ELSE lang END ELSE coalesce(lang, '') END AS text FROM documents")
 def _(t):
-    d = t.documents.where(F.length("text") > 5)
-    return d.select("doc_id", timeline.choose_text(F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.col("lang")), F.when(F.col("doc_id") % 2 == 0, F.col("lang"))).alias("text"))
+    return t.documents.select("doc_id", timeline.choose_text(F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.col("lang")), F.when(F.col("doc_id") % 2 == 0, F.col("lang"))).alias("text"))
 
 
 @query("collect_links", f"WITH {_B} SELECT key, j, {_LINKS} AS links FROM k")

@@ -10,7 +10,8 @@ from ..sources import readers
 from .base import query
 
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
-_TOKENS = rf"""t0 AS (SELECT page_id, unnest(k) AS token, generate_subscripts(k, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all({_CLEAN}, '<[^>]*>|[^<]+') AS k FROM pages)),
+_TOKEN = """'<[^>=]*(?:=\\s*(?:"[^"]*"|''[^'']*'')?[^>=]*)*>|<[^>]*>|[^<]+'"""
+_TOKENS = rf"""t0 AS (SELECT page_id, unnest(k) AS token, generate_subscripts(k, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all({_CLEAN}, {_TOKEN}) AS k FROM pages)),
 t AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, CASE WHEN token LIKE '</%' THEN 'close' WHEN regexp_matches(token, '^<[a-zA-Z]') THEN 'open' WHEN token LIKE '<%' THEN 'other' ELSE 'text' END AS kind,
 lower(regexp_extract(token, '^</?([a-zA-Z][a-zA-Z0-9:-]*)', 1)) AS tag, token FROM t0)"""
 _RANGES = """lv AS (SELECT *, sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id, tag ORDER BY pos) AS level FROM t),
@@ -18,14 +19,24 @@ n AS (SELECT *, lead(kind) OVER w AS next_kind, lead(pos) OVER w AS next_pos FRO
 r AS (SELECT page_id, tag, pos AS open_pos, next_pos AS close_pos, level FROM n WHERE kind = 'open' AND next_kind = 'close')"""
 
 
+# pages with metas: entities in attributes, a ">" within quotes, authors and dates
+_HEAD = """CASE page_id % 4 WHEN 0 THEN concat('<meta property="og:title" content="A &eacute;&#8217;&amp;lt; ', page_id, ' a>b">') WHEN 1 THEN concat('<meta name="author" content="O&#39;N &Uuml;', page_id, '">')
+WHEN 2 THEN concat('<meta property="article:published_time" content="2024-05-0', page_id % 9 + 1, 'T10:00:00">') ELSE '' END"""
+_MARKED = f"pages AS (SELECT page_id, url, replace(html, '<head>', concat('<head>', {_HEAD})) AS html FROM pages)"
+
+
+def marked(t):
+    return t.pages.select("page_id", "url", F.expr(f"replace(html, '<head>', concat('<head>', {_HEAD}))").alias("html"))
+
+
 @query("read_pages", "SELECT page_id, url, html FROM pages")
 def _(t):
     return readers.read_pages(t.spark, f"{t.dir}/pages.parquet")
 
 
-@query("html_tokens", f"WITH {_TOKENS} SELECT page_id, pos, kind, tag, token FROM t")
+@query("html_tokens", f"WITH {_MARKED}, {_TOKENS} SELECT page_id, pos, kind, tag, token FROM t")
 def _(t):
-    return html.html_tokens(t.pages)
+    return html.html_tokens(marked(t))
 
 
 @query("element_ranges", f"WITH {_TOKENS}, {_RANGES} SELECT page_id, tag, open_pos, close_pos, CAST(level AS BIGINT) AS level FROM r")
@@ -41,7 +52,7 @@ def _(t):
     return html.drop_boilerplate(html.html_tokens(t.pages))
 
 
-_DECODE = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+_DECODE = "replace(replace(replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
 _H1 = _DECODE.format(r"regexp_replace(regexp_extract(html, '(?s)<article><h1>([^<]*)</h1>', 1), '^\s+|\s+$', '', 'g')")
 _HOST = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)"
 def _cleaned(x: str) -> str:
@@ -55,19 +66,24 @@ _BODY = _cleaned(f"""regexp_replace(regexp_replace(regexp_replace({_OPEN}, '(?s)
 _CONTENT = f"CASE WHEN length({_ARTICLE}) > 100 THEN {_ARTICLE} ELSE {_BODY} END"
 
 
-@query("extract_title", f"SELECT page_id, {_H1} AS title FROM pages")
+_TITLE = f"CASE WHEN page_id % 4 = 0 THEN concat('A é’&lt; ', page_id, ' a>b') ELSE {_H1} END"
+_AUTHOR = f"CASE WHEN page_id % 4 = 1 THEN concat('O''N Ü', page_id) ELSE {_HOST} END"
+_DATE = "CASE WHEN page_id % 4 = 2 THEN CAST(concat('2024-05-0', page_id % 9 + 1, ' 10:00:00') AS TIMESTAMP) END"
+
+
+@query("extract_title", f"SELECT page_id, {_TITLE} AS title FROM pages")
 def _(t):
-    return extract.fields(t.pages).select("page_id", "title")
+    return extract.fields(marked(t)).select("page_id", "title")
 
 
-@query("extract_author", f"SELECT page_id, {_HOST} AS author FROM pages")
+@query("extract_author", f"SELECT page_id, {_AUTHOR} AS author FROM pages")
 def _(t):
-    return extract.fields(t.pages).select("page_id", "author")
+    return extract.fields(marked(t)).select("page_id", "author")
 
 
-@query("extract_date", "SELECT page_id, CAST(NULL AS TIMESTAMP) AS published_at FROM pages")
+@query("extract_date", f"SELECT page_id, {_DATE} AS published_at FROM pages")
 def _(t):
-    return extract.fields(t.pages).select("page_id", "published_at")
+    return extract.fields(marked(t)).select("page_id", "published_at")
 
 
 @query("extract_content", f"SELECT page_id, {_CONTENT} AS content FROM pages")
@@ -80,14 +96,38 @@ def _(t):
     return t.pages.select("page_id", m.collapsed(F.col("html")).alias("content"))
 
 
-@query("select_first", rf"""SELECT page_id, 3 AS rule, 'title' AS field, '<h1>' AS open_token, {_H1} AS value FROM pages UNION ALL SELECT page_id, 5, 'title', '<h1>', {_H1} FROM pages""")
+_FIRST = """VALUES (3, 'title', 'h1'), (5, 'title', 'h1'), (14, 'content', 'article'), (23, 'content', 'body'), (24, 'head', 'title')"""
+_PIECE = _DECODE.format(r"regexp_replace(token, '^\s+|\s+$', '', 'g')")
+
+
+@query("select_first", f"""WITH {_TOKENS}, {_RANGES}, f AS (SELECT v.*, page_id, min(pos) AS a FROM t JOIN ({_FIRST}) v(rule, field, tag) USING (tag) WHERE kind = 'open' GROUP BY ALL),
+e AS (SELECT f.*, coalesce(close_pos, 1000000000) AS z FROM f LEFT JOIN r ON r.page_id = f.page_id AND open_pos = a)
+SELECT e.page_id, CAST(rule AS INTEGER) AS rule, field, arg_min(token, pos) AS open_token, string_agg(CASE WHEN kind = 'text' THEN {_PIECE} ELSE '' END, '' ORDER BY pos) AS value FROM e JOIN t ON t.page_id = e.page_id AND pos BETWEEN a AND z GROUP BY ALL""")
 def _(t):
-    return html.select_first(html.html_tokens(t.pages)).where("field = 'title'").drop("html")
+    return html.select_first(html.html_tokens(t.pages)).drop("html")
 
 
-@query("extract_articles", f"""SELECT page_id, {_H1} AS title, {_HOST} AS author, {_CONTENT} AS content, CAST(NULL AS TIMESTAMP) AS published_at, url AS source_url, 'web' AS source_type, 'ok' AS status, CAST(NULL AS VARCHAR) AS error FROM pages""")
+@query("extract_articles", f"""SELECT page_id, {_TITLE} AS title, {_AUTHOR} AS author, {_CONTENT} AS content, {_DATE} AS published_at, url AS source_url, 'web' AS source_type, 'ok' AS status, CAST(NULL AS VARCHAR) AS error FROM pages""")
 def _(t):
-    return extract.extract_articles(t.pages)
+    return extract.extract_articles(marked(t))
+
+
+_PLACE = "page_id % 5 WHEN 0 THEN 'https://x.com/a/status/1' WHEN 1 THEN 'ftp://e.example/' WHEN 2 THEN concat('https://short.example/', page_id)"
+
+
+@query("extract_routed", f"""WITH u AS (SELECT page_id, html, CASE {_PLACE} ELSE url END AS url FROM pages)
+SELECT page_id, url AS source_url, CASE page_id % 5 WHEN 0 THEN 'thread' WHEN 2 THEN 'short' WHEN 1 THEN NULL ELSE 'web' END AS route, CASE WHEN page_id % 5 < 2 THEN 'failed' ELSE 'ok' END AS status,
+CASE page_id % 5 WHEN 0 THEN 'This source has no pages to extract' WHEN 1 THEN 'Unsupported URL' END AS error, CASE page_id % 5 WHEN 2 THEN concat('short ', length(html)) WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE {_H1} END AS title FROM u""")
+def _(t):
+    from ..operators import links
+
+    pages = t.pages.withColumn("url", F.expr(f"CASE {_PLACE} ELSE url END"))
+    short = lambda p: p.select("page_id", F.col("url").alias("source_url"), F.lit("ok").alias("status"), F.concat(F.lit("short "), F.length("html")).alias("title"))
+    links.register_source("short", lambda u: u.startswith("https://short.example/"), short, first=True)
+    try:
+        return links.extract_routed(pages).select("page_id", "source_url", "route", "status", "error", "title")
+    finally:
+        links.unregister_source("short")
 
 
 @query("parse_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 6 THEN NULL ELSE o_orderdate END AS parsed FROM orders")
@@ -105,24 +145,40 @@ def _(t):
     return t.pages.select("page_id", m.without_namespaced_tags(marked).alias("html"))
 
 
-_BARE = r"regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '^\s+|\s+$', '', 'g')"
-_BLOCKS = rf"""bk AS (SELECT page_id, unnest(regexp_extract_all(a, '<p>[^<]*</p>|<h1>[^<]*</h1>')) AS x, generate_subscripts(regexp_extract_all(a, '<p>[^<]*</p>|<h1>[^<]*</h1>'), 1) AS n FROM (SELECT page_id, regexp_extract({_CLEAN}, '(?s)<article>.*</article>') AS a FROM pages)),
-bs AS (SELECT page_id, n, x LIKE '<h1>%' AS h, {_DECODE.format(_BARE)} AS content FROM bk)"""
+# pages with an image, a list, code with its language in a class or in a label, and marked-up text behind the heading
+_EXTRA = """concat('</h1><img src="https://i.example/', page_id, '.png?name=small&amp;x=1"><img src="data:x"><ul><li>one ', page_id, '</li><li> two &eacute; </li><li> </li></ul><pre><code class="language-py">x &lt;  ', page_id, '</code></pre>',
+'<div data-testid="markdown-code-block"><div><span>sql</span></div><pre><code>SELECT ', page_id, '</code></pre></div><p>see <b>this</b>  too<br>now</p>')"""
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+_ONE = r"""'(?s)<p>[^<]*</p>|<h1>[^<]*</h1>|<img src="https[^>]*>|<ul><li>one.*?</ul>|<pre><code class.*?</pre>|<div data-testid.*?</div><pre>.*?</div>|<p>see <b>.*?</p>'"""
+_BLOCKS = rf"""q AS (SELECT page_id, replace(html, '</h1>', {_EXTRA}) AS html FROM pages),
+bk AS (SELECT page_id, unnest(regexp_extract_all(a, {_ONE})) AS x, generate_subscripts(regexp_extract_all(a, {_ONE}), 1) AS n FROM (SELECT page_id, regexp_extract({_CLEAN}, '(?s)<article>.*</article>') AS a FROM q)),
+k AS (SELECT *, CASE WHEN x LIKE '<h1>%' THEN 'heading' WHEN x LIKE '<img%' THEN 'image' WHEN x LIKE '<ul>%' THEN 'unordered_list' WHEN x LIKE '<p>%' THEN 'text' ELSE 'code' END AS type FROM bk),
+bs AS (SELECT page_id, n, type, CASE WHEN type = 'heading' THEN 1 END AS level, CASE type WHEN 'image' THEN concat('https://i.example/', page_id, '.png?name=small&x=1') WHEN 'unordered_list' THEN concat('one ', page_id, chr(10), 'two é')
+  WHEN 'code' THEN CASE WHEN x LIKE '<pre>%' THEN concat('x <  ', page_id) ELSE concat('SELECT ', page_id) END ELSE CASE WHEN x LIKE '<p>see <b>%' THEN concat('see this too', chr(10), 'now') ELSE {_DECODE.format(_BARE)} END END AS content,
+  CASE WHEN type = 'unordered_list' THEN [concat('one ', page_id), 'two é'] END AS items, CASE WHEN type = 'code' THEN CASE WHEN x LIKE '<pre>%' THEN 'py' ELSE 'sql' END END AS language FROM k)"""
+_ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def blocks(t):
+    rows = t.pages.select("page_id", F.expr(f"replace(html, '</h1>', {_EXTRA})").alias("html"))
+    return extract.extract_blocks(rows)
 
 
-@query("extract_blocks", f"WITH {_BLOCKS} SELECT page_id, CASE WHEN h THEN 'heading' ELSE 'text' END AS type, CASE WHEN h THEN 1 END AS level, content FROM bs WHERE content <> ''")
+@query("extract_blocks", f"WITH {_BLOCKS} SELECT page_id, type, level, content, items, language FROM bs WHERE content <> ''")
 def _(t):
-    return extract.extract_blocks(t.pages, ("p", "h1")).drop("pos")
+    return blocks(t).drop("pos")
 
 
-@query("render_blocks", f"""WITH {_BLOCKS} SELECT page_id, string_agg(concat(CASE WHEN h THEN '<h1>' ELSE '<p>' END, replace(replace(replace(trim(content), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), CASE WHEN h THEN '</h1>' ELSE '</p>' END), chr(10) ORDER BY n) AS html FROM bs WHERE content <> '' GROUP BY page_id""")
+@query("render_blocks", f"""WITH {_BLOCKS} SELECT page_id, string_agg(CASE type WHEN 'heading' THEN concat('<h1>', {_ESCAPED.format('content')}, '</h1>') WHEN 'text' THEN concat('<p>', replace({_ESCAPED.format('content')}, chr(10), concat('</p>', chr(10), '<p>')), '</p>')
+WHEN 'image' THEN concat('<div class="article-image"><img src="', replace(content, 'name=small', 'name=large'), '" alt="Article image"></div>') WHEN 'unordered_list' THEN concat('<ul>', chr(10), '<li>', items[1], '</li>', chr(10), '<li>', items[2], '</li>', chr(10), '</ul>')
+ELSE concat('<div class="code-block"><div class="code-lang">', language, '</div><pre><code class="language-', language, '">', {_ESCAPED.format('content')}, '</code></pre></div>') END, chr(10) ORDER BY n) AS html FROM bs WHERE content <> '' GROUP BY page_id""")
 def _(t):
-    return extract.render_blocks(extract.extract_blocks(t.pages, ("p", "h1")), "page_id")
+    return extract.render_blocks(blocks(t), "page_id")
 
 
-@query("block_stats", f"WITH {_BLOCKS} SELECT page_id, count(*) AS n_blocks, 0 AS n_images, count_if(NOT h) AS n_text, 0 AS n_code FROM bs WHERE content <> '' GROUP BY page_id")
+@query("block_stats", f"WITH {_BLOCKS} SELECT page_id, count(*) AS n_blocks, count_if(type = 'image') AS n_images, count_if(type = 'text') AS n_text, count_if(type = 'code') AS n_code FROM bs WHERE content <> '' GROUP BY page_id")
 def _(t):
-    return extract.block_stats(extract.extract_blocks(t.pages, ("p", "h1")), "page_id")
+    return extract.block_stats(blocks(t), "page_id")
 
 
 @query("dedupe_blocks", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),

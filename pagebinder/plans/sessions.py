@@ -9,19 +9,19 @@ from ..operators import bundles, jobs
 from ..operators import sessions as ss
 from .base import query
 
-_S = """l AS (SELECT user_id AS session_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS pos, concat('https://e.example/', event_id % 700) AS url FROM events WHERE user_id % 5 <> 4),
-sv0 AS (SELECT user_id AS session_id, concat('https://e.example/', event_id % 700) AS url, max(event_id) AS e FROM events WHERE event_type IN ('purchase', 'view') AND user_id % 6 <> 5 GROUP BY ALL),
+_S = """l AS (SELECT user_id AS session_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS pos, concat('https://e.example/', event_id % 700) AS url FROM events),
+sv0 AS (SELECT user_id + 3 AS session_id, concat('https://e.example/', event_id % 500) AS url, max(event_id) AS e FROM events GROUP BY ALL),
 sv AS (SELECT session_id, url, concat('Title ', e) AS title FROM sv0)"""
 
 
 def meta(t):
     urls = F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.concat(F.lit("https://e.example/"), F.col("event_id") % 700).alias("url")))), lambda x: x["url"])
-    return t.events.where("user_id % 5 <> 4").groupBy(F.col("user_id").alias("session_id")).agg(urls.alias("urls"), F.max("event_type").alias("status"), F.max("ts").alias("updated_at"))
+    return t.events.groupBy(F.col("user_id").alias("session_id")).agg(urls.alias("urls"), F.max("event_type").alias("status"), F.max("ts").alias("updated_at"))
 
 
 def saved(t):
-    e = t.events.where("event_type in ('purchase', 'view') and user_id % 6 <> 5")
-    return e.groupBy(F.col("user_id").alias("session_id"), F.concat(F.lit("https://e.example/"), F.col("event_id") % 700).alias("url")).agg(F.concat(F.lit("Title "), F.max("event_id")).alias("title"))
+    # of other sessions than the listed ones in part, and of other links
+    return t.events.groupBy((F.col("user_id") + 3).alias("session_id"), F.concat(F.lit("https://e.example/"), F.col("event_id") % 500).alias("url")).agg(F.concat(F.lit("Title "), F.max("event_id")).alias("title"))
 
 
 @query("session_urls", f"WITH {_S} SELECT session_id, pos, url FROM l")
@@ -44,7 +44,7 @@ def _(t):
     return ss.title_lookup(ss.session_urls(meta(t)), saved(t))
 
 
-@query("session_list", f"""WITH {_S}, m AS (SELECT user_id AS session_id, count(*) AS total, max(event_type) AS status, max(ts) AS updated_at FROM events WHERE user_id % 5 <> 4 GROUP BY 1), n AS (SELECT session_id, count(*) AS saved FROM sv GROUP BY 1)
+@query("session_list", f"""WITH {_S}, m AS (SELECT user_id AS session_id, count(*) AS total, max(event_type) AS status, max(ts) AS updated_at FROM events GROUP BY 1), n AS (SELECT session_id, count(*) AS saved FROM sv GROUP BY 1)
 SELECT session_id, CAST(coalesce(total, 0) AS INTEGER) AS total, coalesce(saved, 0) AS saved, coalesce(status, 'unknown') AS status, updated_at FROM m FULL JOIN n USING (session_id)""")
 def _(t):
     return ss.session_list(meta(t), saved(t))
@@ -91,11 +91,12 @@ def _(t):
     return ss.upsert_articles(store, rows.where("version >= 5000"), ["version"])
 
 
-@query("upsert_session_status", """WITH m AS (SELECT user_id AS session_id, count(*) AS n, max(event_id) AS u FROM events WHERE event_id < 4000 AND user_id % 3 <> 0 GROUP BY 1), c AS (SELECT user_id AS session_id, arg_max(event_type, event_id) AS status, max(event_id) AS u FROM events WHERE event_id >= 9000 GROUP BY 1)
+@query("upsert_session_status", """WITH m AS (SELECT user_id AS session_id, count(*) AS n, max(event_id) AS u FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1), c AS (SELECT user_id + 2 AS session_id, arg_max(event_type, event_id) AS status, max(event_id) AS u FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1)
 SELECT session_id, n, CASE WHEN c.status IS NOT NULL THEN c.status ELSE 'running' END AS status, coalesce(c.u, m.u) AS updated_at FROM m FULL JOIN c USING (session_id)""")
 def _(t):
-    old = t.events.where("event_id < 4000 and user_id % 3 <> 0").groupBy(F.col("user_id").alias("session_id")).agg(F.array_sort(F.collect_list("event_id")).alias("urls"), F.lit("running").alias("status"), F.max("event_id").alias("updated_at"))
-    new = t.events.where("event_id >= 9000").groupBy(F.col("user_id").alias("session_id")).agg(F.lit(None).cast("array<bigint>").alias("urls"), F.max_by("event_type", "event_id").alias("status"), F.max("event_id").alias("updated_at"))
+    early = F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")
+    old = t.events.where(early).groupBy(F.col("user_id").alias("session_id")).agg(F.array_sort(F.collect_list("event_id")).alias("urls"), F.lit("running").alias("status"), F.max("event_id").alias("updated_at"))
+    new = t.events.where(~early).groupBy((F.col("user_id") + 2).alias("session_id")).agg(F.lit(None).cast("array<bigint>").alias("urls"), F.max_by("event_type", "event_id").alias("status"), F.max("event_id").alias("updated_at"))
     return ss.upsert_session_status(old, new).select("session_id", F.when(F.col("urls").isNotNull(), F.size("urls")).alias("n"), "status", "updated_at")
 
 

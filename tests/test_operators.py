@@ -180,3 +180,53 @@ def test_liked_limit(spark):
     pages = spark.createDataFrame([(1, 0, body), (1, 1, '{"items":[{"id":"c"}]}')], "feed int, page int, body string")
     assert [r.id for r in media.liked_items(pages, 2).orderBy("rank").collect()] == ["a", "b"]
     assert media.liked_items(pages, 0).count() == 1
+
+
+def test_entities(spark):
+    import html
+
+    texts = ["A &amp; B", "It&#8217;s &eacute;", "&notit; &notin; &copy2 &#x1F600; &#0; &#xD800; &#150; &bogus; & &; &amp;eacute;", "x &ampamp; &NotEqualTilde; &#99999999999;", "plain", None, "", "&", "a&nbsp;b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in rows.select("t", markup.decoded(F.col("t")).alias("d")).collect():
+        assert r.d == (html.unescape(r.t) if r.t else r.t)
+
+
+def test_slug_decomposes(spark):
+    import re
+    import unicodedata
+
+    def plain(t):
+        x = unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower()
+        x = re.sub("-+", "-", re.sub(r"[^a-z0-9-]", "", re.sub(r"\s+", "-", x))).strip("-")
+        return (x[:80].rstrip("-") if len(x) > 80 else x) or "article"
+
+    texts = ["Őrült ćma ﬁne", "Łódź ＡＢＣ", "½ cup ㎏ Ⅷ … x", "Hello, World! — a & b", "- a - b\n\nc -", "", "éé" * 100, "ab " * 40, "no\u00a0break 𝐁old", "日本語"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.s for r in rows.select("t", markup.slug(F.col("t")).alias("s")).collect()} == {t: plain(t) for t in texts}
+
+
+def test_quoted_tags(spark):
+    h = """<a title="b>T" x='>' y=z>q</a><p it's>r</p><img src="x>y"/>s < t > u<b c="unclosed>v</b>"""
+    got = html.html_tokens(spark.createDataFrame([(1, h)], "page_id long, html string")).orderBy("pos").collect()
+    assert [r.token for r in got] == ["<a title=\"b>T\" x='>' y=z>", "q", "</a>", "<p it's>", "r", "</p>", '<img src="x>y"/>', "s ", "< t >", " u", '<b c="unclosed>', "v", "</b>"]
+    assert "".join(r.token for r in got) == h
+
+
+def test_blocks(spark):
+    body = """<div><h2>Head <b>bold</b></h2><p>one <i>two</i>
+     three<br>four</p><ul><li>a</li><li> b <ol><li>c</li></ol></li><li></li></ul><ol><li>x &gt; y</li></ol><blockquote> q <p>r</p></blockquote>
+     <section data-testid="markdown-code-block"><div><span>py</span></div><pre><code>if a &lt; b:
+  c</code></pre></section><pre class="language-sql">SELECT  1</pre><p>lost <em>kept</em><img src="https://i/x.png?name=small"><img src="data:1"></p><img src="http://i/y.png">
+     <div><p>in a div</p><code>inline</code></div><p> </p><p>open</div>"""
+    rows = extract.extract_blocks(spark.createDataFrame([(1, body), (2, None), (3, "")], "page_id long, html string")).orderBy("pos")
+    got = [(r.type, r.level, r.content, r.items, r.language) for r in rows.collect()]
+    assert got == [
+        ("heading", 2, "Head bold", None, None), ("text", None, "one two three\nfour", None, None), ("unordered_list", None, "a\nb\nc", ["a", "b", "c"], None), ("ordered_list", None, "x > y", ["x > y"], None),
+        ("blockquote", None, "q r", None, None), ("code", None, "if a < b:\n  c", None, "py"), ("code", None, "SELECT  1", None, "sql"), ("text", None, "kept", None, None), ("image", None, "https://i/x.png?name=small", None, None),
+        ("image", None, "http://i/y.png", None, None), ("text", None, "in a div", None, None),
+    ]
+    shown = extract.render_blocks(rows, "page_id").first().html.split("\n")
+    assert "<p>four</p>" in shown and "<ol>" in shown and '<div class="article-image"><img src="https://i/x.png?name=large" alt="Article image"></div>' in shown
+    assert '<div class="code-block"><div class="code-lang">py</div><pre><code class="language-py">if a &lt; b:' in shown
+    stats = extract.block_stats(rows, "page_id").first()
+    assert (stats.n_blocks, stats.n_images, stats.n_text, stats.n_code) == (11, 2, 3, 2)
