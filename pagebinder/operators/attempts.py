@@ -67,7 +67,7 @@ def batch_summary(items: DataFrame) -> DataFrame:
 
 
 def error_report(items: DataFrame) -> DataFrame:
-    """Per batch with failures: a line for each, in order."""
+    """Per batch with failures: a line for each, in order, as one text; so a batch, one list that a user sent, must fit a row."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "url", "error"))), lambda x: F.concat(F.lit("- "), x["url"], F.lit(": "), x["error"]))
     return items.where("outcome <> 'ok'").groupBy("batch").agg(F.array_join(lines, "\n").alias("report"))
 

@@ -80,7 +80,7 @@ def audit_file_verdict(files: DataFrame, max_bytes: int, now: int) -> DataFrame:
 
 
 def normalize_exports(lines: DataFrame) -> DataFrame:
-    """Per file: the header once, then comments and data lines in order."""
+    """Per file: the header once, then comments and data lines in order, as one text: an export of one browser must fit a row."""
     kept = lines.where("kind in ('comment', 'data')")
     g = kept.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("x"))
     return g.select("file", F.concat(F.lit(HEADER + "\n"), F.array_join(F.transform("x", lambda r: r["line"]), "\n"), F.lit("\n")).alias("text"))

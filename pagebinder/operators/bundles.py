@@ -74,14 +74,14 @@ def merge_parts(articles: DataFrame, size: int = PART) -> DataFrame:
 
 
 def convert_report(results: DataFrame) -> DataFrame:
-    """Per batch: total, succeeded, failed, details of errors as lines (null without any)."""
+    """Per batch: total, succeeded, failed, details of errors as lines (null without any), one text: a batch, one list that a user sent, must fit a row."""
     bad = F.transform(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("pos", "url", "error")))), lambda x: F.concat(F.lit("- "), x["url"], F.lit(": "), x["error"]))
     g = results.groupBy("batch").agg(F.count("*").alias("total"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.array_join(bad, "\n").alias("errors"))
     return g.withColumn("errors", F.nullif("errors", F.lit("")))
 
 
 def archive_manifest(files: DataFrame, mode: str) -> DataFrame:
-    """Per batch of two or more files: archive name, members in order, size."""
+    """Per batch of two or more files: archive name, members in order, size. The name depends on all names, so those of a batch must fit a row."""
     names = F.transform(F.array_sort(F.collect_list(F.struct("pos", "filename"))), lambda x: x["filename"])
     g = files.groupBy("batch").agg(names.alias("members"), F.sum("size_bytes").alias("size_bytes"), F.count("*").alias("n"))
     name = F.concat(F.lit(f"youtube_{mode}_batch_"), F.substring(F.sha2(F.array_join("members", "\n"), 256), 1, 12), F.lit(".zip"))

@@ -1,4 +1,5 @@
-"""Pages as tokens: one row per tag or text, in document order. All windows are by page, so tokens are shuffled once."""
+"""Pages as tokens: one row per tag or text, in document order. All windows are by page, so tokens are shuffled once;
+a page is what a task must hold."""
 
 from __future__ import annotations
 

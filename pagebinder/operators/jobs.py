@@ -1,4 +1,5 @@
-"""Job events: an append-only log (job, ts, id, type, ...) and what it says. Windows are by job."""
+"""Job events: an append-only log (job, ts, id, type, ...) and what it says. Windows are by job and in its order, so the events of one job (at
+most those of `JOB_TTL`) are sorted in one task; nothing else is bound to a key."""
 
 from __future__ import annotations
 

@@ -72,7 +72,7 @@ def extract_routed(pages: DataFrame, url: str = "url") -> DataFrame:
 
 
 def route_batches_strict(df: DataFrame) -> DataFrame:
-    """Per batch: accepted, and the unsupported links in order. One bad link rejects the batch."""
+    """Per batch: accepted, and the unsupported links in order. One bad link rejects the batch. These links are one text: a list that a user sent must fit a row."""
     bad = F.array_sort(F.collect_list(F.when(F.col("route").isNull(), F.struct("pos", "url"))))
     return route_links(df).groupBy("batch").agg(F.every(F.col("route").isNotNull()).alias("accepted"), F.array_join(F.transform(bad, lambda x: x["url"]), ", ").alias("unsupported"))
 

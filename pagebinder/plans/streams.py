@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources.sinks import scratch
 from ..streaming import jobs as st
-from . import pages  # noqa: F401
+from . import pages
 from .base import SQL, query
 from .sessions import items, job_events
 
@@ -16,7 +16,6 @@ class _Stream:
 
     def __init__(self, t):
         self.t, self.spark = t, t.spark
-        self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", st.ROCKS)
 
     def __getattr__(self, name):
         return self.spark.readStream.schema(getattr(self.t, name).schema).parquet(f"{self.t.dir}/{name}.parque[t]")  # a pattern: the source takes no single file
@@ -68,5 +67,5 @@ def _(t):
 QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY page_id DESC) = 1""")
 def _(t):
     store = scratch(t.spark, "articles")
-    st.stream_extract_articles(_Stream(t).pages, store, f"{store}-state").awaitTermination()
+    st.stream_extract_articles(pages.marked(_Stream(t)), store, f"{store}-state").awaitTermination()
     return t.spark.read.parquet(store).drop("batch")

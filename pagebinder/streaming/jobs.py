@@ -1,5 +1,6 @@
 """Streams over job events and pages. State is bounded: by watermarks where rows carry a time, by timers or TTL elsewhere; rows later than a
-watermark are dropped."""
+watermark are dropped. Where order counts, a processor holds what one trigger brings of one key, in a few small columns: sources bound that by
+maxFilesPerTrigger or maxBytesPerTrigger."""
 
 from __future__ import annotations
 
@@ -134,12 +135,22 @@ def stream_extract_articles(stream: DataFrame, store: str, checkpoint: str, sess
 
 
 def run_available(spark: SparkSession, out: DataFrame, path: str, mode: str = "append", once: bool = False) -> DataFrame:
-    """Runs a stream over what is there now and returns what it wrote. In update mode each trigger's rows carry its number, `trigger`.
+    """Runs a stream over what is there now, with the RocksDB state store, and returns what it wrote. In update mode each trigger's rows carry its number, `trigger`.
     once: a single trigger; streams with processing-time state would otherwise go on with empty ones."""
     when = {"once": True} if once else {"availableNow": True}
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKS)
+    try:
+        _started(out, path, mode, when).awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(out.schema if mode == "append" else out.schema.add("trigger", "long")).option("recursiveFileLookup", True).parquet(path)
+
+
+def _started(out: DataFrame, path: str, mode: str, when: dict):
     if mode == "append":
         q = out.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(**when).start(path)
     else:
         q = out.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(**when).foreachBatch(lambda b, n: b.withColumn("trigger", F.lit(n)).write.mode("overwrite").parquet(f"{path}/part={n}")).start()
-    q.awaitTermination()
-    return spark.read.schema(out.schema if mode == "append" else out.schema.add("trigger", "long")).option("recursiveFileLookup", True).parquet(path)
+    return q
