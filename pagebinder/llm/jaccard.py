@@ -16,7 +16,8 @@ pairs that share no prefix shingle under the second and the third are dropped be
    joins components is missed; pairs within a component need none.
 
 Defined results: null, empty and wordless texts have empty sets (n_shingles 0) and are alone; texts with fewer words than a
-shingle have one shingle, the whole; repeated rows count as copies. Hashes can collide: two given sets are misjudged with
+shingle have one shingle, the whole; repeated rows count as copies; a row without a doc_id takes part, but names no component, and
+deduplicated() keeps it. Hashes can collide: two given sets are misjudged with
 a chance of about n*n / 2**48.
 """
 
