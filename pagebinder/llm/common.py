@@ -184,7 +184,7 @@ class Encoder:
     of its pieces; ids of pieces are kept by the worker, as bytes of unsigned 32-bit little-endian integers: of `KEEP` pieces, and of
     as many that were kept before them and may come back. Texts with double spaces or with what could be a special token are encoded whole."""
 
-    KEEP = 1_000_000
+    KEEP = 300_000
     NEWLINE = 198  # the id of "\n", which stands alone before a space
 
     def __init__(self, path: str):

@@ -31,8 +31,13 @@ from .sharedfs import Ranges, Written
 WINDOW = 10
 #: Words of a block of benchmark texts, about; a text is not parted.
 BLOCK_WORDS = 1 << 20
-#: Words of a shard, as far as documents allow.
-SHARD_WORDS = 1 << 20
+#: Words of a shard, as far as documents allow, and documents that are looked at together.
+SHARD_WORDS, ROWS = 1 << 20, 1000
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(k, ROWS) for k in range(0, batch.num_rows, ROWS))
 
 
 class SuffixArray:
@@ -309,9 +314,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     results = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("hit_spans", pa.list_(pa.int64())), ("longest", _MATCH_ARROW)]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             n_words, spans, found, longest = [], [], [], []
             for _, words, at in _shards(batch.column(batch.num_columns - 1)):
                 shard = SuffixArray(words, at, 1)
@@ -360,7 +363,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
                 yield pa.RecordBatch.from_arrays([pa.array(block.names[block.owner[k]].tolist(), pa.string()), pa.array(k - block.at[block.owner[k]]), pa.array(-rows[k, 0]), ids, pa.array(rows[k, 2])], names=["item_id", "word", "length", "doc_id", "doc_word"])
             best.clear()
 
-        for batch in batches:
+        for batch in _slices(batches):
             for first, words, at in _shards(batch.column(1)):
                 shard = SuffixArray(words, at, 1)
                 ids = batch.column(0).slice(first, len(at) - 1).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
