@@ -30,11 +30,13 @@ def has_attribute(tag: Column, name: str) -> Column:
 def attribute(tag: Column, name: str) -> Column:
     """An attribute's value as it is written, "" without one; with double, single or no quotes."""
     pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
+    value = F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
+    return F.when(F.lower(tag).contains(name), value).otherwise("")  # most tags don't have it
 
 
-def has_class(tag: Column, name: str) -> Column:
-    return F.concat(F.lit(" "), F.regexp_replace(attribute(tag, "class"), r"\s+", " "), F.lit(" ")).contains(f" {name} ")
+def classes(tag: Column) -> Column:
+    """A tag's classes, with a blank before and behind each."""
+    return F.concat(F.lit(" "), F.regexp_replace(attribute(tag, "class"), r"\s+", " "), F.lit(" "))
 
 
 def substituted(text: Column, pattern: str, to) -> Column:
@@ -62,9 +64,9 @@ def _numbered(digits: Column) -> Column:
     replacement character."""
     hexadecimal = F.lower(F.substring(digits, 1, 1)) == "x"
     n = F.when(F.length(digits) > 9, F.lit(1 << 30)).when(hexadecimal, F.conv(F.substring(digits, 2, 8), 16, 10).cast("long")).otherwise(digits.cast("long"))
-    windows = F.array(*[F.lit(ord(bytes([k]).decode("cp1252")) if k not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else k) for k in range(128, 160)])
-    n = F.when(n.between(128, 159), F.get(windows, (n - 128).cast("int"))).when((n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit(0xFFFD)).otherwise(n)
-    return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    windows = "".join(chr(k) if k in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([k]).decode("cp1252") for k in range(128, 160))
+    n = F.when((n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit(0xFFFD)).otherwise(n)
+    return F.when(n.between(128, 159), F.substring(F.lit(windows), (n - 127).cast("int"), F.lit(1))).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
 
 
 def once(value: Column, use) -> Column:

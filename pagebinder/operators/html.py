@@ -58,12 +58,13 @@ BOILERPLATE_CLASSES = ["comments", "sidebar", "advertisement", "ad", "share"]
 
 
 def with_boilerplate(rows: DataFrame) -> DataFrame:
-    """rows of with_ends with `boilerplate`: whether the token belongs to an element that isn't content, and `blank`: to a closed
+    """rows of with_ends with `classes` (of the element that the token opens or closes), `boilerplate`: whether the token belongs to an element that isn't content, and `blank`: to a closed
     paragraph without text."""
     opening = F.when(F.col("kind") == "open", F.col("token")).otherwise(F.col("open_token"))
+    rows = rows.withColumn("classes", m.classes(opening))
     off = F.col("tag").isin(BOILERPLATE_TAGS)
     for name in BOILERPLATE_CLASSES:
-        off = off | m.has_class(opening, name)
+        off = off | F.col("classes").contains(f" {name} ")
     paired = F.col("close_pos").isNotNull() | F.col("open_token").isNotNull()
     empty = (F.col("tag") == "p") & (F.coalesce("filled_end", "filled") == F.coalesce("open_filled", "filled"))
     by_page = Window.partitionBy(PAGE).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -106,7 +107,7 @@ def selected(rows: DataFrame) -> DataFrame:
         if tag:
             ok = ok & (F.col("tag") == tag)
         if attr:
-            ok = ok & (m.has_class(F.col("token"), attr[1]) if attr[0] == "class" else m.attribute(F.col("token"), attr[0]) == attr[1])
+            ok = ok & (F.col("classes").contains(f" {attr[1]} ") if attr[0] == "class" else m.attribute(F.col("token"), attr[0]) == attr[1])
         if above:
             ok = ok & F.col(f"_in_{above}")
         if field == "content":
