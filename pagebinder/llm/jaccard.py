@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = signed.where("not hot").drop("hot")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     often = signed.where("hot").groupBy("class").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= HEAVY)
-    heavy = np.array([r[0] for r in often.orderBy(F.desc("n"), "class").limit(HEAVY_MOST).select("class").collect()], np.int64)
+    heavy = often.orderBy(F.desc("n"), "class").limit(HEAVY_MOST).select("class").toArrow().column(0).to_numpy()  # 8 MB at most
     buckets = _buckets(total, int(spark.conf.get("spark.sql.shuffle.partitions")))
     with arrow_rows(spark):
         sets = stored(_shared_tokens(docs, text, words, percent, buckets, np.sort(heavy.astype(np.uint64))), "sets")

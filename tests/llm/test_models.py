@@ -332,3 +332,20 @@ def test_run_removes_what_stages_leave(spark, tmp_path, monkeypatch):
     folder = os.path.dirname(shared_dir(spark, "x"))
     left = {p.rpartition("-")[0] for p in os.listdir(folder)}
     assert "stage2" in left and not left & {"stage0", "stage1", "inner-of-stage"}
+
+
+def test_null_ids_and_long_texts(docs, spark):
+    """Rows without an id get results like others, and a megabyte of text is read whole."""
+    from pagebinder.llm import licenses, secrets
+
+    long = "the water and other things " * 45_000
+    d = docs([(None, "password=abcdef and the MIT license"), (None, None), (7, long + "token=zzzzzz9 released under the MIT license"), (None, "password=abcdef and the MIT license")])
+    assert sorted((r.doc_id is None, r.n_base, r.score) for r in licenses.scan(d).collect()) == [(False, 1, 1.0), (True, 0, 0.0), (True, 1, 1.0), (True, 1, 1.0)]
+    assert sorted((r.doc_id is None, r.n_assign) for r in secrets.report(secrets.scan(d)).collect()) == [(False, 1), (True, 0), (True, 1), (True, 1)]
+    texts = [r.text for r in secrets.redacted(d).collect()]
+    assert sorted(t is None for t in texts) == [False, False, False, True] and all("abcdef" not in (t or "") and "zzzzzz9" not in (t or "") for t in texts)
+    model = quality.fit(d, spark.createDataFrame([(None, 1), (7, 0)], "doc_id long, quality int"))
+    assert quality.scored(d, model).where("score is not null").count() == 4
+    pages = spark.createDataFrame([(None, None, f"<p>{long}</p>"), (None, "http://e.example", None)], "page_id long, url string, html string")
+    train = spark.createDataFrame([("the water", "en"), ("der und", "de"), ("the and", "en")], "text string, lang string")
+    assert sorted(r.lang for r in langid.identify(pages, train).collect()) == ["en", "en"]
