@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,13 @@ def arrow_rows(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the system: workers live on between tasks, and other stages need it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def let(value: Column, use) -> Column:
     """use(value), with value computed once however often use() names it: the optimizer copies expressions, but not what a lambda
     has bound. (A lambda's body is computed for each element, with all that it names.)"""

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, words_of
+from .common import shared_dir, trim, words_of
 from .sharedfs import Ranges, Written
 
 WINDOW = 10
@@ -328,6 +328,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
             n_hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
             arrays = [pa.array(c, kind) for c, (_, kind) in zip((n_words, n_hit, found, spans, longest), results, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*batch.schema.names[:-1], *[c for c, _ in results]])
+        trim()
 
     added = T.StructType.fromDDL(f"n_words bigint, n_hit bigint, item_ids array<string>, hit_spans array<bigint>, longest {_MATCH}")
     return df.mapInArrow(search, T.StructType([*df.schema.fields[:-1], *added.fields]))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, grams, mixed, stored, words_of
+from .common import arrow_rows, grams, mixed, stored, trim, words_of
 
 WORDS = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -101,6 +101,8 @@ def _signed_rows(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFra
                     waiting, size = [], 0
         if waiting:
             yield together()
+        waiting.clear()
+        trim()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t"))
     return rows.mapInArrow(sign, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_shingles long, class long, hot boolean")
@@ -189,8 +191,10 @@ def _shared_tokens(docs: DataFrame, text: str, words: int, percent: int, buckets
                         size = 0
         if sets:
             yield from flush()
+        trim()
 
     def count(table: pa.Table) -> pa.Table:
+        trim()
         cls, n, cnt, tok, _ = _unpacked(table)
         # a class comes once from each task that has a copy
         _, once = np.unique(cls, return_index=True)
@@ -209,6 +213,7 @@ def _shared_tokens(docs: DataFrame, text: str, words: int, percent: int, buckets
     out_schema = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("r", pa.int32()), ("toks", pa.list_(pa.int64())), ("p2", pa.list_(pa.int32())), ("p3", pa.list_(pa.int32()))])
 
     def gather(table: pa.Table) -> pa.Table:
+        trim()
         cls, n, cnt, tok, df = _unpacked(table)
         cls, first, which = np.unique(cls, return_index=True, return_inverse=True)
         n = n[first].astype(np.int64)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, encoder, stored
+from .common import arrow_rows, encoder, stored, trim
 
 SIZE = 1024
 END_ID = 2
@@ -54,6 +54,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
             if row:
                 arrays = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(out, pa.list_(pa.int32()))] * ids, names=names)
+        trim()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rangecoder
-from .common import arrow_rows, encoder, shared_dir, stored
+from .common import arrow_rows, encoder, shared_dir, stored, trim
 from .sharedfs import Ranges, Written
 
 MARK = b"PBTOKID1"
@@ -109,6 +109,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc_id",
                     to.add(doc, ids + end)
                 first = next(batches, None)
             to.close()
+        trim()
         row = {"path": path, "part": part, "first_id": first_id, "n_docs": len(to.docs), "n_ids": sum(to.lengths), "bytes": out.size}
         yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("part", "first_id", "n_docs", "n_ids", "bytes"))]))
 
