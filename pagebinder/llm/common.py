@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -187,10 +188,15 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
 _tokenizers: dict = {}
 
 
+#: A space where a byte-level BPE begins a new piece whatever follows: one behind a character that isn't white space.
+_CUT = re.compile(r" (?<=\S )")
+
+
 class Encoder:
-    """Ids by the tokenizers library. A byte-level BPE parts texts before single spaces, so the ids of a text are those
-    of its pieces; ids of pieces are kept by the worker, as bytes of unsigned 32-bit little-endian integers: of `KEEP` pieces, and of
-    as many that were kept before them and may come back. Texts with double spaces or with what could be a special token are encoded whole."""
+    """Ids by the tokenizers library. A byte-level BPE parts texts before a space that stands behind another character than white space, so
+    the ids of a text are those of its pieces; ids of pieces are kept by the worker, as bytes of unsigned 32-bit little-endian integers: of
+    `KEEP` pieces, and of as many that were kept before them and may come back. Pieces that are empty or end in white space come from
+    other spaces and are never kept: a text with one is parted again, by the rule. Texts with what could be a special token are encoded whole."""
 
     KEEP = 300_000
     NEWLINE = 198  # the id of "\n", which stands alone before a space
@@ -234,20 +240,29 @@ class Encoder:
             self.kept.update(self._pieces(new[k : k + 20_000]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [None if "  " in t or "<|" in t or t[:1] == " " else t.split(" ") for t in texts]
+        pieces: list = [None if "<|" in t else t.split(" ") for t in texts]
         get = self.kept.get
         ids = [p and list(map(get, p[1:])) for p in pieces]
-        lacking = [k for k, x in enumerate(ids) if x and None in x]
+        tails = [""] * len(texts)
+        lacking = []
+        for k, p in enumerate(pieces):
+            if not p or len(p) == 1 or (None not in ids[k] and p[0] and not p[0][-1].isspace()):
+                continue
+            if not all(w and not w[-1].isspace() for w, x in zip(p, [None, *ids[k]], strict=True) if x is None):
+                p = pieces[k] = _CUT.split(texts[k])
+                if len(p) > 1 and (not p[-1] or p[-1][-1].isspace()):
+                    tails[k] = " " + p.pop()
+                ids[k] = list(map(get, p[1:]))
+            if None in ids[k]:
+                lacking.append(k)
         if lacking:
             self._learn({w for k in lacking for w, x in zip(pieces[k][1:], ids[k], strict=True) if x is None})
             get = self.kept.__getitem__
             for k in lacking:
                 ids[k] = [get(w) if x is None else x for w, x in zip(pieces[k][1:], ids[k], strict=True)]
-        whole = [k for k, p in enumerate(pieces) if p is None]
-        alone = dict(zip(whole, self._ids([texts[k] for k in whole]), strict=True))
-        heads = list({p[0] for p in pieces if p})
-        head = dict(zip(heads, self._ids(heads), strict=True))
-        return [alone[k] if p is None else b"".join([head[p[0]], *x]) for k, (p, x) in enumerate(zip(pieces, ids, strict=True))]
+        apart = list({texts[k] if p is None else p[0] for k, p in enumerate(pieces)} | set(tails))
+        of = dict(zip(apart, self._ids(apart), strict=True))
+        return [of[texts[k]] if p is None else b"".join([of[p[0]], *x, of[tails[k]]]) for k, (p, x) in enumerate(zip(pieces, ids, strict=True))]
 
 
 def encoder(path: str) -> Encoder:

@@ -1,5 +1,6 @@
 """Tokenizing, token-id files and packing, against the tokenizers library itself."""
 
+import itertools
 import zlib
 
 import numpy as np
@@ -26,6 +27,20 @@ def test_encoder_equals_the_library():
             assert e.encode([t or ""])[0] + np.array([2], "<u4").tobytes() == reference(t).tobytes()
 
 
+def test_encoder_at_white_space():
+    """Every text of "x" and up to 5 of these, and random ones of all white space, against the library."""
+    from tokenizers import Tokenizer
+
+    e, library = common.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    texts = [x + "".join(t) for n in range(6) for t in itertools.product(" \xa0a\n\t\u3000", repeat=n) for x in ("x", "")]
+    every = [chr(c) for c in range(0x3001) if chr(c).isspace()] + [" "] * 12 + list("ab1'\".<|é漢\u180e\u200b\u2060\ufeff")
+    rng = np.random.default_rng(3)
+    texts += ["".join(rng.choice(every, int(rng.integers(1, 30)))) for _ in range(20_000)]
+    for _ in range(2):
+        for got, t, want in zip(e.encode(texts), texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == want.ids, repr(t)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 255, 256, 5000, 70_000])
 def test_coder_round_trip(n):
     rng = np.random.default_rng(n)
