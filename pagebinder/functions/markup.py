@@ -139,8 +139,9 @@ def slug(title: Column) -> Column:
     """Lower-case words of a title joined by hyphens, 80 characters at most; "article" if nothing is left. Letters are decomposed (NFKD), and
     what isn't ASCII then is dropped."""
     one, more = _folds()
-    folded = substituted(title, "[" + "".join(more) + "]", lambda c: F.coalesce(F.try_element_at(_literal_map(more), c), F.lit("")))
-    folded = F.translate(folded, "".join(one), "".join(one.values()))
+    folded = F.translate(title, "".join(one), "".join(one.values()))
+    several = F.exists(F.split(F.regexp_replace(title, r"[\x00-\x7f]+", ""), ""), lambda c: c.isin(*more))
+    folded = F.when(several, substituted(folded, r"[^\x00-\x7f]", lambda c: F.coalesce(F.try_element_at(_literal_map(more), c), F.lit("")))).otherwise(folded)
     folded = F.when(F.octet_length(title) == F.char_length(title), title).otherwise(folded)
     s = F.regexp_replace(F.lower(F.regexp_replace(folded, r"[^a-zA-Z0-9\s-]+", "")), r"[\s-]+", "-")
     s = F.trim(s, F.lit("-"))
