@@ -81,6 +81,11 @@ def arrow_rows(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))
+
+
 def trim() -> None:
     """Gives memory that a Python worker has freed back to the system: workers live on between tasks, and other stages need it."""
     pa.default_memory_pool().release_unused()

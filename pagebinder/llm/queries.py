@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, licenses, packing, quality, secrets, tokenfile, topk, warc
+from . import bpe, decontam, fim, jaccard, langid, lexical, licenses, packing, quality, secrets, tokenfile, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +66,25 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_token_ids": op2_token_ids, "op3_best_fit_packing": op3_best_fit_packing, "op4_license_scan": op4_license_scan, "op5_warc": op5_warc, "op6_secret_scan": op6_secret_scan, "op7_quality": op7_quality, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_language_id": op9_language_id, "op10_decontamination": op10_decontamination}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = bpe.decoded(bpe.encoded(_table(spark, sf_dir, "documents"), tokenizer_path()), tokenizer_path())
+    return both.select(
+        "doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transformed(_table(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
+QUERIES = {"op1_topk": op1_topk, "op2_token_ids": op2_token_ids, "op3_best_fit_packing": op3_best_fit_packing, "op4_license_scan": op4_license_scan, "op5_warc": op5_warc, "op6_secret_scan": op6_secret_scan, "op7_quality": op7_quality, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_language_id": op9_language_id, "op10_decontamination": op10_decontamination, "op11_bpe": op11_bpe, "op12_lexical_search": op12_lexical_search, "op13_fill_in_middle": op13_fill_in_middle}
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 
@@ -133,4 +151,24 @@ k AS (SELECT h, max(page_id) AS keeper FROM p WHERE strlen(h) >= 1000 GROUP BY h
 SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
   CASE WHEN keeper IS NULL OR keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN keeper <> page_id THEN keeper END AS refers_to
 FROM p LEFT JOIN k USING (h)""",
+    "op12_lexical_search": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+t AS (SELECT r, unnest(w) AS term FROM d),
+tf AS (SELECT r, term, count(*) AS tf FROM t GROUP BY ALL),
+z AS (SELECT count(*) AS N, CAST(sum(len(w)) AS BIGINT) AS L FROM d WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, unnest({_WORDS.format('text')}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, z GROUP BY term, N),
+m AS (SELECT r, doc_id, 100 - 90 + (90 * len(w) * N) // L AS m FROM d, z WHERE len(w) > 0),
+s AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM i JOIN tf USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""",
+    "op13_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (SELECT *, len(u) AS n, list_transform([0, 1, 2, 3], lambda k: CAST('0x' || h[8 * k + 1:8 * k + 8] AS BIGINT)) AS hs FROM d),
+c AS (SELECT *, least(hs[1] % (n + 1), hs[2] % (n + 1)) AS a, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR hs[3] % 100 >= 100 THEN 'plain' WHEN hs[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:n], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p""",
 }
