@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import shared_dir, slices, trim, words_of
@@ -242,7 +243,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, doc_id: str = "doc_id
     paths, n_docs, n_terms = plans_of(docs, items, item_id, item_text, text)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = items.schema[item_id].dataType
-    schema = items.select(F.col(f"`{item_id}`").alias("item_id"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("score")).schema
+    schema = T.StructType([T.StructField("item_id", kind), T.StructField("doc_id", T.LongType()), T.StructField("score", T.LongType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # by plan: item, doc_id, score
@@ -282,4 +283,4 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, doc_id: str = "doc_id
     some = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "score"), F.lit(SALT)))
     some = some.withColumn("r", F.row_number().over(Window.partitionBy("item_id", "salt").orderBy(*order))).where(F.col("r") <= k)
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(*order))).where(F.col("rank") <= k)
-    return ranked.select(F.col("item_id").cast(kind).alias("item_id"), F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+    return ranked.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
