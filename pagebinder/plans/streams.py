@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import extract
 from ..sources.sinks import scratch
+from ..sources.store import KeyedStore
 from ..streaming import jobs as st
 from . import pages
 from .base import SQL, query
@@ -68,4 +70,17 @@ QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY page_id DESC) = 1"""
 def _(t):
     store = scratch(t.spark, "articles")
     st.stream_extract_articles(pages.marked(_Stream(t)), store, f"{store}-state").awaitTermination()
-    return t.spark.read.parquet(store).drop("batch")
+    schema = extract.extract_articles(pages.marked(t)).withColumnsRenamed({"source_url": "url"}).withColumn("session_id", F.lit(0)).schema
+    return st.article_store(t.spark, store).read(schema)
+
+
+@query("upsert_batches", """SELECT user_id, event_id, event_type, CAST(event_id % 3 AS INTEGER) AS batch FROM events WHERE event_id % 3 <> 2 OR event_type <> 'error'
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 DESC, event_id DESC) = 1""")
+def _(t):
+    rows = t.events.select("user_id", "event_id", "event_type", (F.col("event_id") % 3).cast("int").alias("batch"))
+    store = KeyedStore(t.spark, scratch(t.spark, "store"), ["user_id"], 16)
+    for n, of in enumerate((0, 1, 1, 2)):  # the second batch comes twice, under its own number once more
+        some = rows.where((F.col("batch") == of) & ((F.col("batch") != 2) | (F.col("event_type") != "error")))
+        store.upsert(some, n, [F.desc("event_id")])
+        store.upsert(some.limit(1).withColumn("event_type", F.lit("replayed")), n, [F.desc("event_id")])
+    return store.read(rows.schema)

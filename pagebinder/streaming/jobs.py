@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import extract
-from ..operators import sessions as ss
+from ..sources.store import KeyedStore
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -123,13 +123,17 @@ def stream_job_ttl(stream: DataFrame, ttl_ms: int = 24 * 3600 * 1000) -> DataFra
     return stream.groupBy("job").transformWithStateInPandas(_Finished(ttl_ms), "job long, done boolean, n long", "update", "ProcessingTime")
 
 
+def article_store(spark: SparkSession, path: str) -> KeyedStore:
+    return KeyedStore(spark, path, ["session_id", "url"])
+
+
 def stream_extract_articles(stream: DataFrame, store: str, checkpoint: str, session_id: int = 0):
-    """Pages that arrive as files to articles in a store (a folder per batch); restarts continue, and repeating a batch writes the same folder."""
+    """Pages that arrive as files to articles in article_store(store): the last batch with a url wins, in a batch the largest page_id. Restarts
+    continue, and a batch that is repeated changes nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
         articles = extract.extract_articles(batch).withColumnsRenamed({"source_url": "url"}).withColumn("session_id", F.lit(session_id))
-        once = ss.latest(articles, ["session_id", "url"], [F.desc("page_id")])
-        once.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        article_store(batch.sparkSession, store).upsert(articles, number, [F.desc("page_id")])
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
