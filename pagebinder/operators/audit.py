@@ -37,9 +37,29 @@ def canonical_domains(df: DataFrame, domain: str = "domain") -> DataFrame:
 def read_delimited_exports(files: DataFrame) -> DataFrame:
     """files (file, text) -> file, line_no (from 1), line (trimmed), kind (blank, comment, header, data), fields."""
     rows = files.select("file", F.posexplode(F.split(F.trim(F.coalesce("text", F.lit(""))), "\r?\n")).alias("n", "line"))
+    return export_lines(rows.select("file", (F.col("n") + 1).alias("line_no"), "line"))
+
+
+def export_lines(rows: DataFrame) -> DataFrame:
+    """rows (file, line_no, line) as read_delimited_exports gives them; with sources.lines.read_lines a file needn't fit a row."""
     line = F.regexp_replace("line", r"^[ \r]+|[ \r]+$", "")
     kind = F.when(line == "", "blank").when(line == HEADER, "header").when(line.startswith("#") & ~line.startswith("#HttpOnly_"), "comment").otherwise("data")
-    return rows.select("file", (F.col("n") + 1).alias("line_no"), line.alias("line"), kind.alias("kind"), F.when(kind == "data", F.split(line, "\t")).alias("fields"))
+    return rows.select("file", "line_no", line.alias("line"), kind.alias("kind"), F.when(kind == "data", F.split(line, "\t")).alias("fields"))
+
+
+def match_suffix_rules(df: DataFrame, rules: DataFrame, domain: str = "domain") -> DataFrame:
+    """df with canonical and the columns of the rule (suffix, ...) that fits: the longest suffix that is the domain or stands behind a dot in it; nulls
+    where none does. Each distinct domain is cut into its suffixes once, which makes the match an equality. Of rules with equal suffixes
+    the smallest counts; suffixes are brought to the form of domains, null ones never fit. The rules' columns mustn't be named as df's."""
+    others = [c for c in rules.columns if c != "suffix"]
+    of_rule = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(None).alias("_none"))
+    one = rules.select(canonical_domain(F.col("suffix")).alias("suffix"), of_rule.alias("_rule")).groupBy("suffix").agg(F.min("_rule").alias("_rule"))
+    rows = df.withColumn("canonical", canonical_domain(F.col(f"`{domain}`")))
+    labels = F.split("canonical", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    cut = rows.where("canonical is not null").select("canonical").distinct().select("canonical", F.explode(suffixes).alias("suffix"))
+    found = cut.join(one, "suffix").groupBy("canonical").agg(F.max_by(F.struct("suffix", "_rule"), F.length("suffix")).alias("_found"))
+    return rows.join(found, "canonical", "left").select(*[F.col(f"`{c}`") for c in df.columns], "canonical", F.col("_found.suffix").alias("suffix"), *[F.col(f"_found._rule.`{c}`").alias(c) for c in others])
 
 
 def audit_line_rules(lines: DataFrame) -> DataFrame:

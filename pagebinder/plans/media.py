@@ -321,3 +321,72 @@ def _(t):
 CASE WHEN length(x) > 200 THEN concat(substr(x, 1, 200), '...') ELSE x END AS text_preview, {_LINKS} AS article_urls, event_id % 3 = 0 AS is_article, event_id % 5 = 0 AS has_video, CASE WHEN event_id % 4 = 0 THEN 'bad date' ELSE '2024-01-02T03:04:05+00:00' END AS bookmarked_at FROM k""")
 def _(t):
     return timeline.bookmark_records(bodies(t), "key", "body")
+
+
+def _host(t):
+    return t.events.select("event_id", F.expr("concat(CASE event_id % 4 WHEN 0 THEN '.X.A.c' WHEN 1 THEN 'b.c' WHEN 2 THEN 'xa.c' ELSE 'a.c' END, user_id, CASE WHEN event_id % 9 = 0 THEN '.test' ELSE '.example' END)").alias("domain"))
+
+
+@query("match_suffix_rules", """WITH r AS (SELECT concat('c', c_custkey, '.example') AS suffix, 'site' AS rule FROM customer UNION ALL SELECT concat('a.c', c_custkey, '.example'), 'part' FROM customer UNION ALL SELECT 'example', 'any'),
+h AS (SELECT event_id, concat(CASE event_id % 4 WHEN 0 THEN 'x.a.c' WHEN 1 THEN 'b.c' WHEN 2 THEN 'xa.c' ELSE 'a.c' END, user_id, CASE WHEN event_id % 9 = 0 THEN '.test' ELSE '.example' END) AS canonical FROM events),
+d AS (SELECT DISTINCT canonical FROM h), m AS (SELECT canonical, arg_max(suffix, length(suffix)) AS suffix, arg_max(rule, length(suffix)) AS rule FROM d JOIN r ON canonical = suffix OR ends_with(canonical, concat('.', suffix)) GROUP BY 1)
+SELECT event_id, canonical, suffix, rule FROM h LEFT JOIN m USING (canonical)""")
+def _(t):
+    rule = lambda prefix, name: t.customer.select(F.concat(F.lit(prefix), "c_custkey", F.lit(".example")).alias("suffix"), F.lit(name).alias("rule"))
+    rules = rule("c", "site").union(rule("a.c", "part")).union(t.spark.range(1).select(F.lit("example"), F.lit("any")))
+    return audit.match_suffix_rules(_host(t), rules).select("event_id", "canonical", "suffix", "rule")
+
+
+# feeds of users' events, a page for each thousand ids, under tokens that don't tell the order; some feeds end in a cycle, some name a page that isn't there, some have lost pages
+_CHAINS = """g AS (SELECT DISTINCT user_id AS feed, event_id // 1000 AS k FROM events), o AS (SELECT feed, k, row_number() OVER w - 1 AS i, lead(k) OVER w AS after, count(*) OVER (PARTITION BY feed) AS n FROM g WINDOW w AS (PARTITION BY feed ORDER BY k))"""
+
+
+def chained(t):
+    from pyspark.sql import Window
+
+    g = t.events.select(F.col("user_id").alias("feed"), F.expr("event_id div 1000").alias("k")).distinct()
+    w = Window.partitionBy("feed").orderBy("k")
+    token = lambda k: F.md5(F.concat("feed", F.lit("-"), k))
+    o = g.withColumns({"i": F.row_number().over(w) - 1, "after": F.lead("k").over(w), "first": F.min("k").over(Window.partitionBy("feed"))})
+    last = F.when(F.col("feed") % 5 == 1, F.lit("gone")).when((F.col("feed") % 5 == 2) & (F.col("i") > 0), token(F.col("k")))
+    after = F.when(F.col("after").isNull(), last).when((F.col("feed") % 5 == 3) & (F.col("i") == 2), None).otherwise(token(F.col("after")))
+    return o.select("feed", F.when(F.col("i") > 0, token(F.col("k"))).alias("token"), F.to_json(F.struct(F.col("k").alias("kind"), after.alias("nextPageToken"))).alias("body"), "k")
+
+
+@query("follow_pages", f"""WITH {_CHAINS} SELECT feed, k, CASE WHEN feed % 5 = 3 AND i > 2 THEN NULL ELSE i END AS page,
+CASE WHEN feed % 5 = 3 AND i > 2 THEN 'lost' WHEN after IS NULL AND feed % 5 = 1 THEN 'next is missing' WHEN after IS NULL AND feed % 5 = 2 AND i > 0 THEN 'cycle' END AS error FROM o""")
+def _(t):
+    from ..operators import chains
+
+    return chains.follow_pages(chained(t)).select("feed", "k", "page", "error")
+
+
+_LOGS = "SELECT event_id, event_type, CASE event_id % 4 WHEN 0 THEN concat('ERROR: v', event_id) WHEN 1 THEN 'WARNING: slow' WHEN 2 THEN '' ELSE concat('[download] ', event_id) END AS line FROM events"
+
+
+def _logs(t, by: str):
+    """A folder of the events' log lines: by event_id in ranges, or a file for each type."""
+    from ..sources.sinks import scratch
+
+    t.events.createOrReplaceTempView("events")
+    rows, path = t.spark.sql(_LOGS), scratch(t.spark, "logs")
+    if by == "event_id":
+        rows.repartitionByRange(8, "event_id").sortWithinPartitions("event_id").select("line").write.text(path)
+    else:
+        rows.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("line", "event_type").write.partitionBy("event_type").text(path)
+    return path
+
+
+@query("read_lines", f"SELECT row_number() OVER (ORDER BY event_id) AS n, line FROM ({_LOGS})")
+def _(t):
+    from ..sources import lines
+
+    return lines.read_lines(t.spark, _logs(t, "event_id"), "part-*").select("n", "line")
+
+
+@query("read_stderr_files", f"""WITH l AS ({_LOGS}), n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS line_no FROM l)
+SELECT event_type, line_no, line, CASE WHEN line LIKE 'ERROR:%' THEN 'error' WHEN line LIKE 'WARNING:%' THEN 'warning' ELSE 'other' END AS level FROM n WHERE line <> ''""")
+def _(t):
+    from ..sources import lines
+
+    return lines.read_stderr_files(t.spark, _logs(t, "event_type"), "part-*").select(F.regexp_extract("file", "event_type=([^/]*)", 1).alias("event_type"), "line_no", "line", "level")

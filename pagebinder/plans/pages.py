@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import markup as m
-from ..operators import extract, html
+from ..operators import extract, html, trees
 from ..sources import readers
 from .base import query
 
@@ -186,3 +186,27 @@ k AS (SELECT doc_id, i, trim(x) AS content, row_number() OVER (PARTITION BY doc_
 def _(t):
     lines = readers.read_link_lists(t.documents, "doc_id", "text").select("doc_id", "pos", F.lit("text").alias("type"), F.col("line").alias("content"))
     return extract.dedupe_blocks(lines, "doc_id").drop("pos")
+
+
+# documents as pages: those with an even id omit ends and cross elements, others are closed; null texts have no lines
+_SHOWN = r"regexp_replace(regexp_replace(line, '[\s\x{00a0}]+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+def loose(t):
+    lines, k, even = F.split(F.coalesce("text", F.lit("")), "\n"), F.col("doc_id").cast("string"), F.col("doc_id") % 2 == 0
+    open_ = F.concat(F.lit("<html><body><article>"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<p>"), m.escaped(x))), ""), F.lit("<ul><li>one <b>"), k, F.lit("<li>two</ul><blockquote><b>q <i>"), k, F.lit("</b></i></blockquote><table><tr><td><p>cell<td>next</table>"))
+    shut = F.concat(F.lit("<html><body><article>"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<p>"), m.escaped(x), F.lit("</p>"))), ""), F.lit("<ul><li>one <b>"), k, F.lit("</b></li><li>two</li></ul><blockquote><b>q <i>"), k, F.lit("</i></b></blockquote><table><tr><td><p>cell</p></td></tr></table></article></body></html>"))
+    return t.documents.select(F.col("doc_id").alias("page_id"), "source", F.when(even, open_).otherwise(shut).alias("html"))
+
+
+@query("repaired_blocks", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id AS page_id, 'text' AS type, {_SHOWN} AS content, NULL::VARCHAR[] AS items FROM l WHERE {_SHOWN} <> ''
+UNION ALL SELECT doc_id, 'text', 'cell', NULL FROM documents UNION ALL SELECT doc_id, 'blockquote', concat('q ', doc_id), NULL FROM documents
+UNION ALL SELECT doc_id, 'unordered_list', concat('one ', doc_id, chr(10), 'two'), [concat('one ', doc_id), 'two'] FROM documents""")
+def _(t):
+    return extract.extract_blocks(trees.repaired(loose(t))).select("page_id", "type", "content", "items")
+
+
+@query("repair_shares", "SELECT source, count(*) AS n_pages, count_if(doc_id % 2 = 0) AS n_repaired, count_if(doc_id % 2 = 0) / count(*) AS share FROM documents GROUP BY source")
+def _(t):
+    return trees.repair_shares(trees.repaired(loose(t)), "source")

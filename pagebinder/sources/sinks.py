@@ -19,6 +19,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder of scratch() that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def write_bundles(parts: DataFrame, path: str) -> None:
     """One folder per bundle with the HTML of its parts; parts are rows, so a document is one row's text."""
     parts.select(F.regexp_replace("html", r"\n", " ").alias("value"), "bundle", "part").write.partitionBy("bundle", "part").text(path)
