@@ -55,13 +55,14 @@ def changed_artifacts(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.join(b, "name", "left").where(F.col("there").isNull() | ~F.col("mtime").eqNullSafe(F.col("m0")) | ~F.col("size").eqNullSafe(F.col("s0"))).select("name", "mtime", "size").orderBy("name")
 
 
-def artifacts_by_prefix(wanted: DataFrame, files: DataFrame) -> DataFrame:
+def artifacts_by_prefix(wanted: DataFrame, files: DataFrame, unseen: bool = True) -> DataFrame:
     """wanted (key, prefix, extension) with the names that fit, sorted; without any, an error row. A prefix ends at a known length, so that files
-    are joined by equality."""
+    are joined by equality. unseen: keys without a file of any extension are errors too, else their error is null."""
     f = files.select("name", F.substring_index("name", "_", 3).alias("prefix"))
-    rows = wanted.join(f, "prefix", "left").withColumn("name", F.when(F.col("name").endswith(F.col("extension")), F.col("name")))
-    g = rows.groupBy("key", "prefix").agg(F.array_sort(F.collect_list("name")).alias("names"))
-    return g.withColumn("error", F.when(F.size("names") == 0, "completed but no output was found"))
+    rows = wanted.join(f, "prefix", "left").withColumn("fits", F.when(F.col("name").endswith(F.col("extension")), F.col("name")))
+    g = rows.groupBy("key", "prefix").agg(F.array_sort(F.collect_list("fits")).alias("names"), F.count("name").alias("_seen"))
+    wrong = (F.size("names") == 0) & (F.lit(unseen) | (F.col("_seen") > 0))
+    return g.select("key", "prefix", "names", F.when(wrong, "completed but no output was found").alias("error"))
 
 
 def classify_tool_errors(runs: DataFrame, stderr: str = "stderr") -> DataFrame:
