@@ -52,6 +52,8 @@ def substituted(text: Column, pattern: str, to) -> Column:
 #: What follows "&": a number, or a name of the HTML standard, as Python has them, longest first: some need no semicolon, and the longest that fits
 #: counts.
 _ENTITY = "^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|" + "|".join(sorted(html5, key=lambda name: (-len(name), name))) + ")"
+#: The same, of those that a semicolon ends.
+_CLOSED = "^(?:#[0-9]+;|#[xX][0-9a-fA-F]+;|" + "|".join(sorted((name for name in html5 if name.endswith(";")), key=lambda name: (-len(name), name))) + ")"
 
 
 def _literal_map(of: dict[str, str]) -> Column:
@@ -78,8 +80,9 @@ def once(value: Column, use) -> Column:
 _COMMON = ("amp;", "lt;", "gt;", "quot;", "nbsp;", "#39;")
 
 
-def decoded(text: Column) -> Column:
-    """Entities as characters: numbers, and all names of the HTML standard. text should be a column: it is named several times."""
+def decoded(text: Column, bare: bool = True) -> Column:
+    """Entities as characters: numbers, and all names of the HTML standard. text should be a column: it is named several times. bare: also those
+    that no semicolon ends, where the standard allows it; else they are text."""
 
     def shown(part: Column, k: Column) -> Column:
         def general(entity: Column) -> Column:
@@ -89,7 +92,7 @@ def decoded(text: Column) -> Column:
         out = F.when(k == 0, part)
         for name in _COMMON:
             out = out.when(part.startswith(name), F.concat(F.lit(unescape("&" + name)), F.substring(part, F.lit(len(name) + 1), F.length(part))))
-        return out.otherwise(once(F.regexp_extract(part, _ENTITY, 0), general))
+        return out.otherwise(once(F.regexp_extract(part, _ENTITY if bare else _CLOSED, 0), general))
 
     return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&", -1), shown), "")).otherwise(text)
 

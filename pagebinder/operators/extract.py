@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,15 +22,17 @@ def _first(rows: Column, keep) -> Column:
     return F.get(F.filter(rows, keep), F.lit(0))
 
 
-def fields(pages: DataFrame, legacy_prefix: bool = True) -> DataFrame:
+def fields(pages: DataFrame, legacy_prefix: bool = True, bare: bool = True) -> DataFrame:
     """Per page: page_id, url, title, author, published_at, content. Metas, selectors and the address are tried in that order; a date that
-    is there but can't be read ends the search for one. legacy_prefix: "by" is stripped from authors even without a space ("Byron")."""
+    is there but can't be read ends the search for one. legacy_prefix: "by" is stripped from authors even without a space ("Byron"). bare: see
+    markup.decoded."""
+    decoded = partial(m.decoded, bare=bare)
     tokens = html.html_tokens(pages, keep=("url",))
-    rows = html.selected(html.with_boilerplate(html.with_ends(tokens)))
+    rows = html.selected(html.with_boilerplate(html.with_ends(tokens, bare=bare)))
     t = F.col("token")
     is_meta = (F.col("kind") == "open") & (F.col("tag") == "meta")
     metas = {"og": is_meta & (m.attribute(t, "property") == "og:title"), "by": is_meta & (m.attribute(t, "name") == "author"), "on": is_meta & (m.attribute(t, "property") == "article:published_time")}
-    piece = F.when(F.col("kind") == "text", F.regexp_replace(m.decoded(t), r"^\s+|\s+$", "")).otherwise("")
+    piece = F.when(F.col("kind") == "text", F.regexp_replace(decoded(t), r"^\s+|\s+$", "")).otherwise("")
     kept = F.when(F.col("boilerplate") | F.col("blank"), "").otherwise(t)
     rows = rows.select(PAGE, "url", "pos", *[F.when(c, F.struct("pos", m.attribute(t, "content").alias("v"))).alias(k) for k, c in metas.items()], piece.alias("text"), kept.alias("html"), t.alias("token"), F.explode_outer("rules").alias("rule"))
     parts = F.array_sort(F.collect_list(F.struct("pos", "text", "html")))  # bounded by the page
@@ -40,20 +44,20 @@ def fields(pages: DataFrame, legacy_prefix: bool = True) -> DataFrame:
         numbers = [k for k, s in enumerate(html.SELECTORS) if s[0] == field]
         return F.filter("found", lambda x: x["rule"].isin(numbers))
 
-    page = page.withColumns({k: m.decoded(F.col(f"{k}.v")) for k in metas})
+    page = page.withColumns({k: decoded(F.col(f"{k}.v")) for k in metas})
     host = urls.authority(F.coalesce("url", F.lit("")))
     text = lambda x: x["text"] != ""
     title = F.coalesce(F.nullif(F.trim("og"), F.lit("")), _first(of("title"), text)["text"], _first(of("head"), text)["text"], host)
     meta_rule = next(k for k, s in enumerate(html.SELECTORS) if s[0] == "author" and s[1] == "meta")
     prefix = r"(?i)^(by|author:?)\s*" if legacy_prefix else r"(?i)^(by\s+|author:?\s*)"
     chosen = _first(of("author"), lambda x: (x["rule"] == meta_rule) | (x["text"] != ""))
-    by_selector = F.when(chosen["rule"] == meta_rule, m.once(m.attribute(chosen["token"], "content"), lambda x: F.trim(m.decoded(x)))).otherwise(F.regexp_replace(chosen["text"], prefix, ""))
+    by_selector = F.when(chosen["rule"] == meta_rule, m.once(m.attribute(chosen["token"], "content"), lambda x: F.trim(decoded(x)))).otherwise(F.regexp_replace(chosen["text"], prefix, ""))
     author = F.coalesce(F.when(F.col("by") != "", F.trim("by")), by_selector, host)
     time = _first(of("time"), lambda x: F.lit(True))
     time_text = F.when(m.has_attribute(time["token"], "datetime"), m.attribute(time["token"], "datetime")).otherwise(time["text"])
     texts = F.transform(of("date"), lambda x: F.when(m.has_attribute(x["token"], "content"), m.attribute(x["token"], "content")).otherwise(x["text"]))
-    dates = F.transform(F.transform(texts, m.decoded), m.parsed_date)
-    date = F.when(F.col("on") != "", m.parsed_date(F.col("on"))).when(time.isNotNull(), m.once(time_text, lambda x: m.once(m.decoded(x), m.parsed_date))).otherwise(F.get(F.filter(dates, lambda d: d.isNotNull()), F.lit(0)))
+    dates = F.transform(F.transform(texts, lambda x: decoded(x)), m.parsed_date)
+    date = F.when(F.col("on") != "", m.parsed_date(F.col("on"))).when(time.isNotNull(), m.once(time_text, lambda x: m.once(decoded(x), m.parsed_date))).otherwise(F.get(F.filter(dates, lambda d: d.isNotNull()), F.lit(0)))
     body = max(k for k, s in enumerate(html.SELECTORS) if s[0] == "content")
     content = F.coalesce(_first(of("content"), lambda x: (F.length(x["html"]) > LEAST) | (x["rule"] == body))["html"], F.lit(""))
     return page.select(PAGE, "url", title.alias("title"), author.alias("author"), date.alias("published_at"), content.alias("content"))
@@ -71,13 +75,13 @@ _LISTS = ("ol", "ul")
 _INLINE = ("a", "b", "code", "em", "i", "mark", "small", "span", "strong", "sub", "sup", "u")
 
 
-def extract_blocks(pages: DataFrame, tags: tuple[str, ...] = ("p", *_HEADINGS, *_LISTS, "li", "blockquote", "pre", "img", "div", "section")) -> DataFrame:
+def extract_blocks(pages: DataFrame, tags: tuple[str, ...] = ("p", *_HEADINGS, *_LISTS, "li", "blockquote", "pre", "img", "div", "section"), bare: bool = True) -> DataFrame:
     """Typed block rows in document order, outside boilerplate: page_id, pos, type (text, heading, code, ordered_list, unordered_list,
     list_item, blockquote, image), level (of headings), content (text, code, an image's address), items (of lists), language (of code).
     Only closed elements that aren't inside another block count. A div or section is a block where it holds code and no other block, which is
     its code then; an element with a heading in it gives way to the heading, and one with images to them and to its marked-up text. Images
     need an address by http. Texts are trimmed and their white space collapsed, code is kept as it is; blank blocks are dropped. An item ends
-    where an item within it begins."""
+    where an item within it begins. bare: see markup.decoded."""
     from pyspark.sql import Window
 
     opens, t = F.col("kind") == "open", F.col("token")
@@ -86,7 +90,7 @@ def extract_blocks(pages: DataFrame, tags: tuple[str, ...] = ("p", *_HEADINGS, *
         "n_img": opens & (F.col("tag") == "img") & source.startswith("http"), "n_head": opens & F.col("tag").isin(*_HEADINGS), "n_code": opens & F.col("tag").isin("pre", "code"),
         "n_block": opens & F.col("tag").isin("p", *_LISTS, "li", "blockquote"), "n_li": opens & (F.col("tag") == "li"),
     }
-    rows = html.with_boilerplate(html.with_ends(html.html_tokens(pages), counted)).where("not boilerplate")
+    rows = html.with_boilerplate(html.with_ends(html.html_tokens(pages), counted, bare)).where("not boilerplate")
     by_page = Window.partitionBy(PAGE).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(PAGE).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     holds = {k: F.col(f"{k}_end") > F.col(k) for k in counted}
@@ -105,7 +109,7 @@ def extract_blocks(pages: DataFrame, tags: tuple[str, ...] = ("p", *_HEADINGS, *
     step = F.when(tag.isin("pre", "code") & opens, 1).when(tag.isin("pre", "code") & (F.col("kind") == "close"), -1).otherwise(0)
     rows = rows.withColumn("_in_code", F.sum(step).over(Window.partitionBy(PAGE, "b.pos").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) > 0)
     is_code, is_list = F.col("b.tag").isin("pre", "div", "section"), F.col("b.tag").isin(*_LISTS)
-    text = m.decoded(t)
+    text = m.decoded(t, bare)
     piece = F.when(F.col("kind") == "text", F.when(is_code, text).otherwise(F.regexp_replace(text, r"[\s\u00a0]+", " "))).when(tag == "br", "\n").otherwise("")
     named = F.when(opens & tag.isin("pre", "code"), F.regexp_extract(m.attribute(t, "class"), r"(?:^|\s)language-(\S+)", 1))
     label = F.when(~F.col("_in_code") & (F.col("kind") == "text"), F.nullif(F.trim(text), F.lit("")))
@@ -122,7 +126,7 @@ def extract_blocks(pages: DataFrame, tags: tuple[str, ...] = ("p", *_HEADINGS, *
     kind = (
         F.when(heading, "heading").when(tag == "ol", "ordered_list").when(tag == "ul", "unordered_list").when(tag == "li", "list_item").when(tag == "blockquote", "blockquote").when(code, "code").when(tag == "img", "image").otherwise("text")
     )
-    content = F.when(tag == "img", m.decoded(F.col("src"))).when(tag.isin(*_LISTS), F.array_join("items", "\n")).otherwise(F.col("content"))
+    content = F.when(tag == "img", m.decoded(F.col("src"), bare)).when(tag.isin(*_LISTS), F.array_join("items", "\n")).otherwise(F.col("content"))
     blocks = blocks.select(PAGE, "pos", kind.alias("type"), F.when(heading, F.substring("tag", 2, 1).cast("int")).alias("level"), content.alias("content"), F.when(tag.isin(*_LISTS), F.col("items")).alias("items"), F.when(code, F.coalesce("named", "label")).alias("language"))
     return blocks.where(F.trim(F.regexp_replace("content", r"\s+", " ")) != "")
 

@@ -25,16 +25,16 @@ def html_tokens(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return rows.select(PAGE, *keep, "pos", kind.alias("kind"), F.lower(F.regexp_extract(t, "^</?([a-zA-Z][a-zA-Z0-9:-]*)", 1)).alias("tag"), "token")
 
 
-def with_ends(tokens: DataFrame, counted: dict[str, Column] | None = None) -> DataFrame:
+def with_ends(tokens: DataFrame, counted: dict[str, Column] | None = None, bare: bool = True) -> DataFrame:
     """tokens with level (how many elements of the tag are open after the token), close_pos (of opens that are closed), open_token (of
     closes), and filled (texts that aren't blank up to the token) with filled_end (the same at the close). Each tag has a depth of
     its own, so others left open do no harm. counted: conditions, whose tokens are counted up to each (name) and, on opens that are
-    closed, up to the close (name_end)."""
+    closed, up to the close (name_end). bare: see markup.decoded."""
     counted = counted or {}
     by_tag = Window.partitionBy(PAGE, "tag").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     by_page = Window.partitionBy(PAGE).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    filled = F.sum(((F.col("kind") == "text") & (F.regexp_replace(m.decoded(F.col("token")), r"[\s\u00a0]+", "") != "")).cast("int"))
+    filled = F.sum(((F.col("kind") == "text") & (F.regexp_replace(m.decoded(F.col("token"), bare), r"[\s\u00a0]+", "") != "")).cast("int"))
     rows = tokens.withColumn("level", F.sum(step).over(by_tag)).withColumns({"filled": filled.over(by_page), **{k: F.sum(F.coalesce(c, F.lit(False)).cast("int")).over(by_page) for k, c in counted.items()}})
     rows = rows.withColumn("_key", F.when(F.col("kind") == "close", F.col("level") + 1).otherwise(F.col("level")))
     at = Window.partitionBy(PAGE, "tag", "_key").orderBy("pos")
@@ -121,11 +121,11 @@ def selected(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rules", inside).drop("_opens", "_firsts", "_in_article", "_in_main")
 
 
-def select_first(tokens: DataFrame) -> DataFrame:
+def select_first(tokens: DataFrame, bare: bool = True) -> DataFrame:
     """page_id, rule, field, open_token, value (the text pieces of the first element of each selector, trimmed and joined), html (without
-    boilerplate and blank paragraphs)."""
-    rows = selected(with_boilerplate(with_ends(tokens))).select(PAGE, "pos", "kind", "token", "boilerplate", "blank", F.explode("rules").alias("rule"))
-    piece = F.when(F.col("kind") == "text", F.regexp_replace(m.decoded(F.col("token")), r"^\s+|\s+$", "")).otherwise("")
+    boilerplate and blank paragraphs). bare: see markup.decoded."""
+    rows = selected(with_boilerplate(with_ends(tokens, bare=bare))).select(PAGE, "pos", "kind", "token", "boilerplate", "blank", F.explode("rules").alias("rule"))
+    piece = F.when(F.col("kind") == "text", F.regexp_replace(m.decoded(F.col("token"), bare), r"^\s+|\s+$", "")).otherwise("")
     # an element's tokens: bounded by its page
     parts = F.array_sort(F.collect_list(F.struct("pos", piece.alias("text"), F.when(F.col("boilerplate") | F.col("blank"), "").otherwise(F.col("token")).alias("html"))))
     out = rows.groupBy(PAGE, "rule").agg(parts.alias("parts"), F.min_by("token", "pos").alias("open_token"))

@@ -58,11 +58,11 @@ def route_links(df: DataFrame, url: str = "url") -> DataFrame:
     return df.withColumn("route", rule)
 
 
-def extract_routed(pages: DataFrame, url: str = "url") -> DataFrame:
+def extract_routed(pages: DataFrame, url: str = "url", **instead) -> DataFrame:
     """Articles of pages (page_id, url, html), each by the job of the first registered source that takes its link; route tells which. Pages of
-    links that none takes, and of sources without a job, are rows that failed."""
+    links that none takes, and of sources without a job, are rows that failed. instead: jobs by the source's name, in place of registered ones."""
     routed = route_links(pages, url)
-    jobs = {name: extract for name, _, extract in _sources if extract}
+    jobs = {name: instead.get(name, extract) for name, _, extract in _sources if extract}
     rest = routed.where(~F.coalesce(F.col("route").isin(*jobs), F.lit(False)))
     error = F.when(F.col("route").isNull(), "Unsupported URL").otherwise("This source has no pages to extract")
     out = rest.select("page_id", F.col(url).alias("source_url"), "route", F.lit("failed").alias("status"), error.alias("error"))

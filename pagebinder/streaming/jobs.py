@@ -127,12 +127,12 @@ def article_store(spark: SparkSession, path: str) -> KeyedStore:
     return KeyedStore(spark, path, ["session_id", "url"])
 
 
-def stream_extract_articles(stream: DataFrame, store: str, checkpoint: str, session_id: int = 0):
+def stream_extract_articles(stream: DataFrame, store: str, checkpoint: str, session_id: int = 0, **kw):
     """Pages that arrive as files to articles in article_store(store): the last batch with a url wins, in a batch the largest page_id. Restarts
-    continue, and a batch that is repeated changes nothing."""
+    continue, and a batch that is repeated changes nothing. kw: as extract_articles has them."""
 
     def write(batch: DataFrame, number: int) -> None:
-        articles = extract.extract_articles(batch).withColumnsRenamed({"source_url": "url"}).withColumn("session_id", F.lit(session_id))
+        articles = extract.extract_articles(batch, **kw).withColumnsRenamed({"source_url": "url"}).withColumn("session_id", F.lit(session_id))
         article_store(batch.sparkSession, store).upsert(articles, number, [F.desc("page_id")])
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,9 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_oracles import plain
 
 import __spark_entry__ as entry
+from pagebinder.functions import markup
 from pagebinder.operators import media
 
 
@@ -34,3 +36,18 @@ def test_artifacts_of_a_customer_without_orders(spark, same):
     assert {r.key: r.error is None for r in rows} == {1: True, 2: False, 3: True}
     wanted = spark.createDataFrame([(3, "youtube_video_3", ".mp4")], "key long, prefix string, extension string")
     assert media.artifacts_by_prefix(wanted, spark.createDataFrame([], "name string")).first().error is not None
+
+
+CUT = """SELECT page_id::BIGINT AS page_id, concat('https://h.example/', page_id) AS url, concat('<html><head><title>T</title></head><body><article><h1>', h, '</h1><p>see &amp; hear</p></article></body></html>') AS html
+FROM (VALUES (1, 'A &amp; b &amp'), (3, 'it&lt'), (4, 'C &copy; &copy'), (8, 'x &am'), (9, 'y &#39'), (13, 'z &#39;s')) v(page_id, h)"""
+
+
+@pytest.mark.parametrize("name", ["extract_blocks", "render_blocks"])
+def test_headings_cut_within_an_entity(same, name):
+    assert same(name, pages=CUT)
+
+
+def test_entities_that_no_semicolon_ends(spark):
+    rows = spark.createDataFrame([("a &amp b &copy2 &#65 &#65; &eacute; &notit; &amp;amp",)], "t string")
+    assert rows.select(markup.decoded(F.col("t"))).first()[0] == "a & b ©2 A A é ¬it; &amp"
+    assert rows.select(markup.decoded(F.col("t"), bare=False)).first()[0] == "a &amp b &copy2 &#65 A é &notit; &amp"
