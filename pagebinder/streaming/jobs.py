@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,18 +75,25 @@ class _Polls(StatefulProcessor):
         self.empty = handle.getValueState("empty", "n int, stopped boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pdf = pd.concat(list(rows)).sort_values("poll")
-        n, stopped = self.empty.get() if self.empty.exists() else (0, False)
-        for poll, ids in pdf.groupby("poll")["id"]:
-            new = False
-            for i in ids.dropna().astype("int64").tolist():
-                if not self.seen.containsKey((i,)):
-                    self.seen.updateValue((i,), (True,))
-                    new = True
-            n = 0 if new else n + 1
-            if n == self.limit and not stopped:
-                stopped = True
-                yield pd.DataFrame({"feed": [key[0]], "stop_poll": [poll]})
+        pdf = pd.concat(list(rows))
+        pdf = pdf[pdf["poll"].notna().to_numpy()]
+        known = self.empty.exists()  # a feed without it has no ids either
+        n, stopped = self.empty.get() if known else (0, False)
+        filled = pdf["id"].notna().to_numpy()
+        ids, which = np.unique(pdf["id"].to_numpy()[filled].astype("int64"), return_inverse=True)
+        first = np.full(len(ids), np.iinfo("int64").max)  # the poll that brings each id first
+        np.minimum.at(first, which, pdf["poll"].to_numpy()[filled].astype("int64"))
+        new = np.array([not known or not self.seen.containsKey((i,)) for i in ids.tolist()], bool)
+        for i in ids[new].tolist():
+            self.seen.updateValue((i,), (True,))
+        polls = np.unique(pdf["poll"].to_numpy().astype("int64"))
+        at = np.arange(len(polls))
+        last = np.maximum.accumulate(np.where(np.isin(polls, first[new]), at, -1))  # the last poll with a new id
+        empty = np.where(last < 0, n + at + 1, at - last)
+        if not stopped and (hits := polls[empty == self.limit]).size:
+            stopped = True
+            yield pd.DataFrame({"feed": [key[0]], "stop_poll": hits[:1]})
+        n = int(empty[-1]) if empty.size else n
         self.empty.update((n, stopped))
 
     def close(self) -> None:

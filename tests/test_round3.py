@@ -1,6 +1,8 @@
 """Queries against their SQL over small tables of cases that the smallest given ones lack."""
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_oracles import plain
@@ -8,6 +10,7 @@ from test_oracles import plain
 import __spark_entry__ as entry
 from pagebinder.functions import markup
 from pagebinder.operators import media
+from pagebinder.streaming import jobs as st
 
 
 @pytest.fixture
@@ -51,3 +54,44 @@ def test_entities_that_no_semicolon_ends(spark):
     rows = spark.createDataFrame([("a &amp b &copy2 &#65 &#65; &eacute; &notit; &amp;amp",)], "t string")
     assert rows.select(markup.decoded(F.col("t"))).first()[0] == "a & b ©2 A A é ¬it; &amp"
     assert rows.select(markup.decoded(F.col("t"), bare=False)).first()[0] == "a &amp b &copy2 &#65 A é &notit; &amp"
+
+
+class _Map(dict):
+    """Map and value state that counts its calls."""
+
+    calls = 0
+
+    def containsKey(self, key):  # noqa: N802
+        self.calls += 1
+        return key in self
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self[key] = value
+
+    def exists(self):
+        return None in self
+
+    def get(self):
+        return self[None]
+
+    def update(self, value):
+        self[None] = value
+
+
+@pytest.mark.parametrize("cut", [1, 3, 1000])
+def test_polls_ask_the_state_once_for_each_id(cut):
+    r = np.random.default_rng(cut)
+    rows = pd.DataFrame({"poll": np.arange(600) // 2, "id": np.where(r.random(600) < 0.3, np.nan, r.integers(0, 40, 600) * (r.random(600) < 0.2))})
+    polls = st._Polls(7, 1000)
+    polls.seen, polls.empty = _Map(), _Map()
+    got = [int(x.stop_poll[0]) for k in range(0, 600, 2 * cut) for x in polls.handleInputRows((5,), iter([rows[k : k + 2 * cut].sample(frac=1, random_state=k)]), None)]
+    seen, n, want = set(), 0, []
+    for poll, ids in rows.groupby("poll")["id"]:
+        fresh = set(ids.dropna()) - seen
+        seen |= fresh
+        n = 0 if fresh else n + 1
+        want += [poll] * (n == 7 and not want)
+    assert got == want and polls.empty.get() == (n, bool(want))
+    if cut == 1000:
+        assert polls.seen.calls == len(seen)  # one call a row before
