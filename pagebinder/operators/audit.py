@@ -79,18 +79,22 @@ def audit_line_rules(lines: DataFrame) -> DataFrame:
 
 def audit_file_counts(audited: DataFrame, now: int) -> DataFrame:
     """Per file: rows, site_rows, expired, soon_expiring, session_rows; of rows that break no rule. An expiry of 0 never comes."""
-    e = F.col("expires")
-    rows = audited.where("rule is null")
-    return rows.groupBy("file").agg(F.count("*").alias("rows"), F.count_if("site").alias("site_rows"), F.count_if((e > 0) & (e < now)).alias("expired"), F.count_if((e > 0) & (e >= now) & (e <= now + SOON_S)).alias("soon_expiring"), F.count_if("session").alias("session_rows"))
+    return _by_file(audited, now).drop("bad").where("rows > 0")
+
+
+def _by_file(audited: DataFrame, now: int) -> DataFrame:
+    """Per file with data lines the counts and bad, the first line that breaks a rule and that rule. Rules are conditions of the sums: a filter by them would
+    be moved down to the texts and would work them out anew at each mention."""
+    e, ok = F.col("expires"), F.col("rule").isNull()
+    counts = {"rows": ok, "site_rows": ok & F.col("site"), "expired": ok & (e > 0) & (e < now), "soon_expiring": ok & (e > 0) & (e >= now) & (e <= now + SOON_S), "session_rows": ok & F.col("session")}
+    return audited.groupBy("file").agg(*[F.count_if(c).alias(k) for k, c in counts.items()], F.min(F.when(~ok, F.struct("line_no", "rule"))).alias("bad"))
 
 
 def audit_file_verdict(files: DataFrame, max_bytes: int, now: int) -> DataFrame:
     """Per file the first reason to reject it, or ok: empty, too large, a line that breaks a rule, no rows, no site rows, all expired, no session rows."""
-    audited = audit_line_rules(read_delimited_exports(files))
-    counts = audit_file_counts(audited, now)
-    bad = audited.where("rule is not null").groupBy("file").agg(F.min(F.struct("line_no", "rule")).alias("bad"))
+    audited = _by_file(audit_line_rules(read_delimited_exports(files)), now)
     sized = files.select("file", F.octet_length(F.trim(F.coalesce("text", F.lit("")))).alias("bytes"))
-    rows = sized.join(counts, "file", "left").join(bad, "file", "left")
+    rows = sized.join(audited, "file", "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     verdict = (
         F.when(F.col("bytes") == 0, "empty").when(F.col("bytes") > max_bytes, "too large").when(F.col("bad").isNotNull(), F.concat(F.lit("line "), F.col("bad.line_no"), F.lit(": "), F.col("bad.rule")))

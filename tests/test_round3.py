@@ -9,7 +9,7 @@ from test_oracles import plain
 
 import __spark_entry__ as entry
 from pagebinder.functions import markup
-from pagebinder.operators import media
+from pagebinder.operators import audit, media
 from pagebinder.streaming import jobs as st
 
 
@@ -95,3 +95,14 @@ def test_polls_ask_the_state_once_for_each_id(cut):
     assert got == want and polls.empty.get() == (n, bool(want))
     if cut == 1000:
         assert polls.seen.calls == len(seen)  # one call a row before
+
+
+def test_audits_cut_files_once(spark, capsys):
+    files = spark.createDataFrame([(1, "a\tTRUE\t/\tTRUE\t1\tSID\tv\n#HttpOnly_.youtube.com\tTRUE\t/\tTRUE\t0\tSID\tv"), (2, ".youtube.com\tTRUE\t/\tTRUE\t0\tSID\tv"), (3, "# c"), (4, None)], "file int, text string")
+    got = audit.audit_file_verdict(files, 1000, 5)
+    assert {r.file: r.verdict for r in got.collect()} == {1: "line 1: unsupported domain", 2: "ok", 3: "no rows", 4: "empty"}
+    counts = audit.audit_file_counts(audit.audit_line_rules(audit.read_delimited_exports(files)), 5)
+    assert sorted(map(tuple, counts.collect())) == [(1, 1, 1, 0, 0, 1), (2, 1, 1, 0, 0, 1)]
+    capsys.readouterr()
+    got.explain()
+    assert capsys.readouterr().out.split("Initial Plan")[0].count("Generate posexplode") == 1
