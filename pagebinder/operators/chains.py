@@ -12,40 +12,42 @@ def follow_pages(pages: DataFrame, feed: str = "feed", token: str = "token", bod
     """All columns of pages, next (the token in the body), page (from 0, as a walk from the page without a token finds it) and error: `repeated` (a token's other
     pages than the smallest body's; they have no page), `lost` (no walk finds it; no page), `cycle` (its next is itself or a page before it),
     `next is missing`. Null and empty tokens are equal. Pointers jump: round k doubles how far each page's pointer reaches, and
-    pages found so far hand their place to what their pointers reach, so a feed of n pages takes about log2(n) rounds of two joins by feed and
-    token, whatever its share of all pages. Rounds are written to the shared folder. Added columns replace those of the same name; an empty table
+    pages found so far hand their place to what their pointers reach, so a feed of n pages takes about log2(n) rounds of two joins,
+    whatever its share of all pages. Tokens are joined once; rounds hold numbers of pages. Rounds are written to the shared folder. Added columns replace those of the same name; an empty table
     gives none."""
     spark, key = pages.sparkSession, ["_feed", "_token"]
     none = lambda c: F.coalesce(c, F.lit(""))
     own = [c for c in pages.columns if c not in ("next", "page", "error")]
     rows = pages.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{feed}`").alias("_feed"), none(F.col(f"`{token}`")).alias("_token"), F.nullif(F.get_json_object(F.col(f"`{body}`"), "$.nextPageToken"), F.lit("")).alias("next"))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.col(f"`{body}`").asc_nulls_last())))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.col(f"`{body}`").asc_nulls_last()))).withColumn("_node", F.monotonically_increasing_id())
     base = scratch(spark, "chains")
     rows.write.parquet(f"{base}/pages")
     rows = spark.read.schema(rows.schema).parquet(f"{base}/pages")
 
-    same = lambda a, b, x, y: F.col(f"{a}._feed").eqNullSafe(F.col(f"{b}._feed")) & (F.col(f"{a}.{x}") == F.col(f"{b}.{y}"))
-    nodes = rows.where("_n = 1").select(*key, "next")
-    there = nodes.alias("a").join(nodes.alias("b"), same("a", "b", "next", "_token"), "left")
-    state = there.select("a._feed", "a._token", F.col("b._token").alias("_jump"), F.when(F.col("a._token") == "", F.lit(0).cast("long")).alias("_at"))
+    nodes = rows.where("_n = 1").select("_node", *key, "next")
+    same = F.col("a._feed").eqNullSafe(F.col("b._feed")) & (F.col("a.next") == F.col("b._token"))
+    there = nodes.alias("a").join(nodes.alias("b"), same, "left")
+    there.select("a._node", F.col("b._node").alias("_jump"), F.when(F.col("a._token") == "", F.lit(0).cast("long")).alias("_at")).write.parquet(f"{base}/first")
+    state = first = spark.read.schema("_node long, _jump long, _at long").parquet(f"{base}/first")
     found, k = -1, 0
     while True:
-        state.write.parquet(f"{base}/{k}")
         if k:
+            state.write.parquet(f"{base}/{k}")
+            state = spark.read.schema(first.schema).parquet(f"{base}/{k}")
+        if k > 1:
             remove(spark, f"{base}/{k - 1}")
-        state = spark.read.schema(state.schema).parquet(f"{base}/{k}")
         counts = state.agg(F.count("_at").alias("found"), F.count_if(F.col("_at").isNotNull() & F.col("_jump").isNotNull()).alias("going")).first()
         if counts.found == found or not counts.going:
             break
         found = counts.found
-        reached = state.where("_at is not null and _jump is not null").groupBy("_feed", "_jump").agg((F.min("_at") + F.lit(2**k)).alias("_new"))
-        a = state.alias("a").join(state.where("_jump is not null").alias("b"), same("a", "b", "_jump", "_token"), "left")
-        a = a.select("a._feed", "a._token", F.col("b._jump").alias("_jump"), "a._at").alias("a").join(reached.alias("b"), same("a", "b", "_token", "_jump"), "left")
-        state = a.select("a._feed", "a._token", "a._jump", F.least("a._at", "b._new").alias("_at"))
+        reached = state.where("_at is not null and _jump is not null").groupBy(F.col("_jump").alias("_node")).agg((F.min("_at") + F.lit(2**k)).alias("_new"))
+        beyond = state.where("_jump is not null").select(F.col("_node").alias("_jump"), F.col("_jump").alias("_beyond"))
+        state = state.join(reached, "_node", "left").join(beyond, "_jump", "left").select("_node", F.col("_beyond").alias("_jump"), F.least("_at", "_new").alias("_at"))
         k += 1
 
-    placed = state.select(*key, "_at")
-    out = rows.alias("a").join(placed.alias("b"), same("a", "b", "_token", "_token"), "left").select("a.*", F.when(F.col("_n") == 1, F.col("_at")).alias("page"))
-    out = out.alias("a").join(placed.alias("b"), same("a", "b", "next", "_token"), "left").select("a.*", F.col("b._token").isNotNull().alias("_there"), F.col("b._at").alias("_then"))
+    placed = state.select("_node", F.col("_at").alias("page"))
+    then = placed.select(F.col("_node").alias("_jump"), F.col("page").alias("_then"))
+    of = first.select("_node", "_jump").join(placed, "_node").join(then, "_jump", "left").select("_node", "page", F.col("_jump").isNotNull().alias("_there"), "_then")
+    out = rows.join(of, "_node", "left")
     error = F.when(F.col("_n") > 1, "repeated").when(F.col("page").isNull(), "lost").when(F.col("next").isNull(), None).when(~F.col("_there"), "next is missing").when(F.col("_then") <= F.col("page"), "cycle")
     return out.select(*[F.col(f"`{c}`") for c in own], "next", "page", error.alias("error"))

@@ -9,7 +9,7 @@ from test_oracles import plain
 
 import __spark_entry__ as entry
 from pagebinder.functions import markup
-from pagebinder.operators import audit, media
+from pagebinder.operators import audit, chains, media
 from pagebinder.streaming import jobs as st
 
 
@@ -106,3 +106,12 @@ def test_audits_cut_files_once(spark, capsys):
     capsys.readouterr()
     got.explain()
     assert capsys.readouterr().out.split("Initial Plan")[0].count("Generate posexplode") == 1
+
+
+def test_rounds_of_a_chain_hold_numbers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(chains, "scratch", lambda *a: str(tmp_path))
+    monkeypatch.setattr(chains, "remove", lambda *a: None)
+    rows = [("f", f"t{k}" if k else None, f'{{"nextPageToken": "t{k + 1}"}}' if k < 5 else "{}", k) for k in range(6)]
+    got = chains.follow_pages(spark.createDataFrame(rows, "feed string, token string, body string, _id int"))
+    assert sorted((r._id, r.page, r.error) for r in got.collect()) == [(k, k, None) for k in range(6)]
+    assert {t for _, t in spark.read.parquet(f"{tmp_path}/1").dtypes} == {"bigint"}
