@@ -5,7 +5,7 @@ of pairs are found by binary search over the sorted keys of all pairs, once for
 leave the array. Merging all of a word's places at once is exact where no merge of a product ranks before the merge that makes it; the file is
 tested for that, and if it fails only the first place of each word is merged in a round.
 
-Texts are parted before spaces, and ids of pieces are kept by the worker, as common.Encoder does; parts of pieces follow the byte-level
+Texts are parted where words begin in any case, and ids of pieces are kept by the worker, as common.Encoder does; parts of pieces follow the byte-level
 pattern. Rows are independent, so nothing is shuffled. Null and empty texts have no ids and decode to ""; very long texts are
 encoded in one piece of memory of a task (some 40 bytes a character); repeated rows give the same again; columns pass if they are kept and
 mustn't be named `ids` or `decoded`; an empty table gives none. Ids that the vocabulary hasn't got decode to nothing, and bytes that aren't UTF-8
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Encoder, slices, trim
+from .common import Encoder, byte_chars, slices, trim
 
 # How byte-level BPE parts a text into words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -33,13 +33,6 @@ NO_RANK = np.iinfo(np.int32).max
 FLAT = 1 << 20
 
 
-def byte_chars() -> list[str]:
-    """The character that stands for each byte in the file: itself if printable, else one from 256 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = iter(range(256, 512))
-    return [chr(b if b in shown else next(other)) for b in range(256)]
-
-
 class Merges:
     """The tables of a tokenizer's file."""
 
@@ -135,6 +128,9 @@ class BatchedEncoder(Encoder):
         self.kept, self.old = {}, {}
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.merges.special)) + ")")
 
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        return self._ids([p.decode() for p in pieces])
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         cut: list[list] = []
         for t in texts:  # words, or ids of special tokens
@@ -172,7 +168,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids = encoder(path).encode(batch.column(batch.num_columns - 1).to_pylist())
+            ids = encoder(path).encode(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())], names=[*batch.schema.names[:-1], "ids"])
         trim()
 

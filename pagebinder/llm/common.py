@@ -193,81 +193,157 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
 _tokenizers: dict = {}
 
 
-#: A space where a byte-level BPE begins a new piece whatever follows: one behind a character that isn't white space.
-_CUT = re.compile(r" (?<=\S )")
+#: What a byte is to the byte-level pattern: unknown, white space, a blank, letter, digit, another character of ASCII, an apostrophe, part of another character.
+_ANY, _WHITE, _BLANK, _LETTER, _DIGIT, _SIGN, _QUOTE, _OTHER = range(8)
+_class = np.full(256, _OTHER, np.uint8)
+_class[:128] = _ANY
+_class[[9, 10, 11, 12, 13]], _class[32], _class[39] = _WHITE, _BLANK, _QUOTE
+_class[[*range(0x41, 0x5B), *range(0x61, 0x7B)]], _class[0x30:0x3A] = _LETTER, _DIGIT
+_class[[b for b in range(0x21, 0x7F) if _class[b] == _ANY]] = _SIGN
+#: Whether a piece begins at a byte of the second class behind one of the first, as 8 * first + second.
+_begins = np.zeros(64, bool)
+for _a, _b in [(a, b) for a in (_LETTER, _DIGIT, _SIGN, _QUOTE, _OTHER) for b in (_WHITE, _BLANK)] + [(_LETTER, _SIGN), (_LETTER, _QUOTE), (_LETTER, _DIGIT), (_DIGIT, _LETTER), (_DIGIT, _SIGN), (_DIGIT, _QUOTE), (_SIGN, _LETTER), (_SIGN, _DIGIT)]:
+    _begins[8 * _a + _b] = True
+#: White space beyond ASCII, and what some versions of Unicode take for it.
+_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: A piece that is one word of the byte-level pattern.
+_WORD = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+#: One without white space but for a blank at its beginning.
+_LINE = re.compile(rb" ?(?:[!-~]|[\xc3-\xdf].|(?!\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)[\xe0-\xef]..|[\xf0-\xf4]...)+", re.DOTALL)
+
+
+def byte_chars() -> list[str]:
+    """The character that stands for each byte in a byte-level BPE's file: itself if printable, else one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = iter(range(256, 512))
+    return [chr(b if b in shown else next(other)) for b in range(256)]
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the byte-level pattern begins a word whatever stands around, in UTF-8 bytes of texts that begin at offsets (with the end):
+    where a text begins; before white space behind anything else; between letters, digits and other characters of ASCII and Latin-1,
+    but not behind an apostrophe; behind a single white-space character that isn't a blank. Places at other white space don't count."""
+    kind = _class[data]
+    at = np.flatnonzero(data[:-1] == 0xC3)
+    letters = at[(data[at + 1] != 0x97) & (data[at + 1] != 0xB7)]
+    kind[letters] = kind[letters + 1] = _LETTER
+    for lead in (0xC2, 0xE1, 0xE2, 0xE3):
+        at = np.flatnonzero(data == lead)
+        for s in _SPACES:
+            if len(at) and s[0] == lead:
+                found = at[at + len(s) <= len(data)]
+                for k, b in enumerate(s[1:], 1):
+                    found = found[data[found + k] == b]
+                for k in range(len(s)):
+                    kind[found + k] = _ANY
+    first = np.zeros(len(data) + 1, bool)
+    if len(data):
+        inner = _begins[(kind[:-1] << 3) | kind[1:]]
+        first[1:-1] = inner
+        lone = np.flatnonzero(inner[:-1] & (kind[1:-1] == _WHITE) & (kind[2:] > _BLANK))
+        first[lone + 2] = True
+    first[offsets] = True
+    return np.flatnonzero(first[:-1])
 
 
 class Encoder:
-    """Ids by the tokenizers library. A byte-level BPE parts texts before a space that stands behind another character than white space, so
-    the ids of a text are those of its pieces; ids of pieces are kept by the worker, as bytes of unsigned 32-bit little-endian integers: of
-    `KEEP` pieces, and of as many that were kept before them and may come back. Pieces that are empty or end in white space come from
-    other spaces and are never kept: a text with one is parted again, by the rule. Texts with what could be a special token are encoded whole."""
+    """Ids by the tokenizers library. Texts are parted where its byte-level pattern begins a word in any case (piece_starts), so the ids of a text
+    are those of its pieces; a batch's distinct pieces are looked up once, and their ids are kept by the worker, as bytes of unsigned 32-bit
+    little-endian integers: of `KEEP` pieces, and of as many that were kept before them and may come back. Pieces that are a word of the
+    pattern need the library's merges only, others its pattern too. Texts with what could be a special token are encoded whole."""
 
     KEEP = 300_000
-    NEWLINE = 198  # the id of "\n", which stands alone before a space
+    LONGEST = 200  # bytes of a piece that is kept
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.of = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.of, self.merging = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merging.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.kept: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.shown = np.array(list(map(ord, byte_chars())), "<u4")
+        vocabulary = self.of.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id
+        self.size[list(vocabulary.values())] = list(map(len, vocabulary))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.of.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of " " + word: of many words as lines of one text, which is quicker; apart if any has other white space."""
-        plain, odd = [], []
-        for w in words:
-            (odd if len(w.split()) != 1 or w.split()[0] != w else plain).append(w)
-        out = dict(zip(odd, self._ids([" " + w for w in odd]), strict=True))
-        if plain:
-            ids = np.frombuffer(self._ids([" " + "\n ".join(plain) + "\n"])[0], "<u4")
-            ends = np.flatnonzero(ids == self.NEWLINE)
-            if len(ends) != len(plain):  # another vocabulary
-                return out | dict(zip(plain, self._ids([" " + w for w in plain]), strict=True))
-            data, a = ids.tobytes(), 0
-            for w, b in zip(plain, (ends * 4).tolist(), strict=True):
-                out[w] = data[a:b]
-                a = b + 4
+    def _joined(self, pieces: list[bytes], words: bool) -> list[bytes]:
+        """Ids of pieces as lines of one text, which is quicker; pieces end where their bytes do."""
+        if words:
+            text, lengths = self.shown[np.frombuffer(b"\n".join(pieces), np.uint8)], list(map(len, pieces))
+            text[text == self.shown[10]] = 10
+            of, text, step = self.merging, text.tobytes().decode("utf-32-le"), 1
+        else:
+            of, text, step = self.of, b"\n".join([*pieces, b""]).decode(), 2
+            lengths = [n for p in pieces for n in (len(p), 1)]
+        ids = np.array(of.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        made, want = np.cumsum(self.size[ids]), np.cumsum(lengths)
+        ends = np.searchsorted(made, want)
+        if not len(made) or made[-1] != want[-1] or (made[ends] != want).any():  # another vocabulary
+            return self._ids([p.decode() for p in pieces])
+        data, ends = ids.tobytes(), (4 * (ends + 1)).tolist()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]][::step], ends[::step], strict=True)]
+
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        kinds: tuple[list[int], ...] = ([], [], [])
+        for k, p in enumerate(pieces):
+            kinds[0 if _WORD.fullmatch(p) else 1 if _LINE.fullmatch(p) else 2].append(k)
+        out = [b""] * len(pieces)
+        for kind, at in enumerate(kinds):
+            of = [pieces[k] for k in at]
+            for k, x in zip(at, (self._joined(of, kind == 0) if kind < 2 else self._ids([p.decode() for p in of])) if of else [], strict=True):
+                out[k] = x
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        """Keeps the ids of words: those that were kept before the last turn move, others are encoded."""
-        if len(self.kept) + len(words) > self.KEEP:
+    def _learned(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces, kept from now on: those that were kept before the last turn move, others are encoded."""
+        if len(self.kept) + len(pieces) > self.KEEP:
             self.kept, self.old = {}, self.kept
-        back = words & self.old.keys()
-        self.kept.update((w, self.old[w]) for w in back)
-        new = list(words - back)
-        for k in range(0, len(new), 20_000):
-            self.kept.update(self._pieces(new[k : k + 20_000]))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces: list = [None if "<|" in t else t.split(" ") for t in texts]
-        get = self.kept.get
-        ids = [p and list(map(get, p[1:])) for p in pieces]
-        tails = [""] * len(texts)
-        lacking = []
-        for k, p in enumerate(pieces):
-            if not p or len(p) == 1 or (None not in ids[k] and p[0] and not p[0][-1].isspace()):
-                continue
-            if not all(w and not w[-1].isspace() for w, x in zip(p, [None, *ids[k]], strict=True) if x is None):
-                p = pieces[k] = _CUT.split(texts[k])
-                if len(p) > 1 and (not p[-1] or p[-1][-1].isspace()):
-                    tails[k] = " " + p.pop()
-                ids[k] = list(map(get, p[1:]))
-            if None in ids[k]:
-                lacking.append(k)
-        if lacking:
-            self._learn({w for k in lacking for w, x in zip(pieces[k][1:], ids[k], strict=True) if x is None})
-            get = self.kept.__getitem__
-            for k in lacking:
-                ids[k] = [get(w) if x is None else x for w, x in zip(pieces[k][1:], ids[k], strict=True)]
-        apart = list({texts[k] if p is None else p[0] for k, p in enumerate(pieces)} | set(tails))
-        of = dict(zip(apart, self._ids(apart), strict=True))
-        return [of[texts[k]] if p is None else b"".join([of[p[0]], *x, of[tails[k]]]) for k, (p, x) in enumerate(zip(pieces, ids, strict=True))]
+        out = list(map(self.old.get, pieces))
+        new = [k for k, x in enumerate(out) if x is None]
+        for a in range(0, len(new), 20_000):
+            part = new[a : a + 20_000]
+            for k, x in zip(part, self._pieces([pieces[k] for k in part]), strict=True):
+                out[k] = x
+        self.kept.update((p, x) for p, x in zip(pieces, out, strict=True) if len(p) <= self.LONGEST)
+        return out
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        starts = piece_starts(data, offsets)
+        if not len(starts):
+            return [b""] * (len(offsets) - 1)
+        borders = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, borders, pa.py_buffer(data)]).dictionary_encode()
+        distinct, of = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+        ids = list(map(self.kept.get, distinct))
+        lacking = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(lacking, self._learned([distinct[k] for k in lacking]), strict=True):
+            ids[k] = x
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat, n = np.frombuffer(b"".join(ids), "<u4"), sizes[of]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        out = flat[np.repeat((np.cumsum(sizes) - sizes)[of] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        at = (4 * ends[np.searchsorted(starts, offsets)]).tolist()
+        return [out[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text; null texts are empty."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        whole = np.flatnonzero(pc.fill_null(pc.match_substring(texts, "<|"), False).to_numpy(zero_copy_only=False)).tolist()
+        plain = pc.if_else(pc.match_substring(texts, "<|"), "", texts) if whole else texts
+        data, offsets = text_bytes(plain)
+        out: list[bytes] = []
+        while len(out) < len(texts):  # about 8 MB at a time; one text at least
+            k = len(out)
+            end = max(k + 1, int(np.searchsorted(offsets, offsets[k] + (1 << 23), "right")) - 1)
+            out += self._encode(data[offsets[k] : offsets[end]], offsets[k : end + 1] - offsets[k])
+        for k, x in zip(whole, self._ids([texts[k].as_py() for k in whole]), strict=True):
+            out[k] = x
+        return out
 
 
 def encoder(path: str) -> Encoder:

@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +40,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, piece, start, length, crc, out = [], [], [], [], [], []
-            for k, x in enumerate(encoder(tokenizer).encode(pc.fill_null(batch.column(1), "").to_pylist())):
+            for k, x in enumerate(encoder(tokenizer).encode(batch.column(1))):
                 data = x + end
                 n = len(data) // 4
                 a, b, i = 0, n if n <= size else (n % size or size), 0

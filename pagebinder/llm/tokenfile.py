@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,7 +104,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc_id",
         with Written(path) as out:
             to = _Writer(out)
             while first is not None:
-                for doc, ids in zip(first.column(0).to_pylist(), encoder(tokenizer).encode(pc.fill_null(first.column(1), "").to_pylist()), strict=True):
+                for doc, ids in zip(first.column(0).to_pylist(), encoder(tokenizer).encode(first.column(1)), strict=True):
                     to.add(doc, ids + end)
                 first = next(batches, None)
             to.close()

@@ -41,6 +41,25 @@ def test_encoder_at_white_space():
             assert np.frombuffer(got, "<u4").tolist() == want.ids, repr(t)
 
 
+def test_encoder_between_kinds_of_characters():
+    """Random texts of letters, digits, signs, apostrophes and characters of all lengths, against the library; words are encoded once,
+    whatever signs, digits or lines stand beside them."""
+    from tokenizers import Tokenizer
+
+    e, library = common.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    every = list("aZsdlt09'''.,|<>!\n\t\r\x0b\x1c\x1f\x7f\x00éß×÷ÿ\x85\xa0¡́漢—“  　١²𝄞") + [" "] * 9 + ["'ll", "'re", "word"] * 3
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(every, int(rng.integers(1, 30)))) for _ in range(20_000)] + ["x" * 500, "é" * 500, "<|endoftext|>a", "漢字、漢字。 ü", ""]
+    for got, t, want in zip(e.encode(texts), texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == want.ids, repr(t)
+    asked, e = [], common.Encoder(tokenizer_path())
+    pieces = e._pieces
+    e._pieces = lambda p: (asked.extend(p), pieces(p))[1]
+    for text in ("a word 12", "a word.\nword, word12!", "x\nword's word|\n"):
+        assert e.encode([text])[0] + np.array([2], "<u4").tobytes() == reference(text).tobytes()
+    assert len(asked) == len(set(asked)) and {p for p in asked if b"word" in p} == {b" word", b"word"}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 255, 256, 5000, 70_000])
 def test_coder_round_trip(n):
     rng = np.random.default_rng(n)
