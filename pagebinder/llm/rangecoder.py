@@ -29,12 +29,12 @@ class _Model:
     def __init__(self, vocabulary: int, lanes: int, decoding: bool):
         self.size = vocabulary
         # a guess and how sure it is (0 to 3), as 4 * id + sureness
-        self.by1, self.by2 = np.zeros(vocabulary, np.int32), np.zeros(1 << _HASH_BITS, np.int32)
+        self.by1, self.by2 = np.zeros(vocabulary, np.int64), np.zeros(1 << _HASH_BITS, np.int64)
         self.hits = np.ones((16, 3), np.int64)  # for each pair of sureness: order 2 right, order 1 right, neither
         self.seen = np.zeros(vocabulary, np.int64)
         self.new: list[np.ndarray] = []
         self.decoding, self.step, self.next = decoding, 0, 0
-        self.a = self.b = np.zeros(lanes, np.int32)
+        self.a = self.b = np.zeros(lanes, np.int64)
         self.refresh()
 
     def refresh(self) -> None:
@@ -58,8 +58,8 @@ class _Model:
         self.first, self.second, self.rest = (np.ascontiguousarray(x) for x in (self.bound[:, 1], self.bound[:, 2], self.weight[:, 2]))
 
     def predict(self) -> None:
-        self.h = ((self.a * np.int32(40503) + self.b * np.int32(30011)) >> 5) & np.int32((1 << _HASH_BITS) - 1)
-        self.g1, self.g2 = self.by1[self.b], self.by2[self.h]
+        self.h = (self.a * 40503 + self.b * 30011) >> 5 & ((1 << _HASH_BITS) - 1)
+        self.g1, self.g2 = self.by1.take(self.b), self.by2.take(self.h)
         self.p1, self.p2 = self.g1 >> 2, self.g2 >> 2
         self.context = (self.g2 & 3) * 4 + (self.g1 & 3)
 
@@ -67,9 +67,12 @@ class _Model:
         """choice: 3 * context + which prediction was right."""
         self.hits += np.bincount(choice, minlength=48).reshape(16, 3)
         for table, at, guess, mine in ((self.by2, self.h, self.g2, self.p2), (self.by1, self.b, self.g1, self.p1)):
-            sure = guess & 3
             # a right guess gets surer, a wrong one less sure, or replaced; of lanes that share a place the last one counts
-            table[at] = np.where(mine == ids, guess + (sure < 3), np.where(sure > 0, guess - 1, ids << 2))
+            right, sure = mine == ids, guess & 3
+            new = guess + (right & (sure < 3))
+            wrong = np.flatnonzero(~right)
+            new[wrong] = np.where(sure.take(wrong) > 0, new.take(wrong) - 1, ids.take(wrong) << 2)
+            table[at] = new
         self.new.append(ids)
         self.a, self.b = self.b, ids
         self.step += 1
@@ -102,7 +105,7 @@ def encode(ids: np.ndarray) -> bytes:
     if vocabulary > VOCABULARY:
         raise ValueError(f"ids must be below {VOCABULARY}")
     lanes, steps = _shape(n)
-    grid = np.zeros(lanes * steps, np.int32)
+    grid = np.zeros(lanes * steps, np.int64)
     grid[:n] = ids
     model = _Model(vocabulary, lanes, False)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
@@ -110,22 +113,24 @@ def encode(ids: np.ndarray) -> bytes:
     out, at = np.zeros(lanes * width, np.uint16), np.arange(lanes) * width
     for x in np.ascontiguousarray(grid.reshape(lanes, steps).T):
         model.predict()
-        choice = model.context * 3 + np.where(model.p2 == x, 0, 2 - (model.p1 == x))
-        start, freq = model.starts[choice], model.freqs[choice]
-        rest = np.flatnonzero((model.p2 != x) & (model.p1 != x))
-        w, y = model.rest[model.context[rest]], x[rest]
-        start[rest] += model.start[y] * w
-        freq[rest] = model.freq[y] * w
+        not2, not1 = model.p2 != x, model.p1 != x
+        choice = model.context * 3 + not2 * (1 + not1.view(np.int8))
+        start, freq = model.starts.take(choice), model.freqs.take(choice)
+        rest = np.flatnonzero(not2 & not1)
+        w, y = model.rest.take(model.context.take(rest)), x.take(rest)
+        start[rest] += model.start.take(y) * w
+        freq[rest] = model.freq.take(y) * w
         rng >>= _BITS
         low += start * rng
         rng *= freq
         go = _ready(low, rng)
         while len(go):
-            l = low[go]  # noqa: E741
-            out[at[go]] = l >> _48
-            at[go] += 1
+            l = low.take(go)  # noqa: E741
+            here = at.take(go)
+            out[here] = l >> _48
+            at[go] = here + 1
             l <<= _16
-            r = rng[go] << _16
+            r = rng.take(go) << _16
             more = _ready(l, r)
             low[go], rng[go] = l, r
             go = go[more]
@@ -160,25 +165,24 @@ def decode(block: bytes) -> np.ndarray:
         rng >>= _BITS
         v = (code - low) // rng
         part = v >> _ID
-        second = model.second[model.context]
-        which = (part >= model.first[model.context]).astype(np.int32) + (part >= second)
-        choice = model.context * 3 + which
-        start, freq = model.starts[choice], model.freqs[choice]
-        x = np.where(which == 0, model.p2, model.p1)
-        rest = np.flatnonzero(which == 2)
-        w = model.rest[model.context[rest]]
-        slot = np.minimum((v[rest] - start[rest]) // w, np.uint64((1 << ID_BITS) - 1))
-        y = model.symbol[slot.astype(np.int64)]
+        beyond1, beyond2 = part >= model.first.take(model.context), part >= model.second.take(model.context)
+        choice = model.context * 3 + (beyond1.view(np.int8) + beyond2)
+        start, freq = model.starts.take(choice), model.freqs.take(choice)
+        x = np.where(beyond1, model.p1, model.p2)
+        rest = np.flatnonzero(beyond2)
+        w = model.rest.take(model.context.take(rest))
+        slot = np.minimum((v.take(rest) - start.take(rest)) // w, np.uint64((1 << ID_BITS) - 1))
+        y = model.symbol.take(slot.astype(np.int64))
         x[rest] = y
-        start[rest] += model.start[y] * w
-        freq[rest] = model.freq[y] * w
+        start[rest] += model.start.take(y) * w
+        freq[rest] = model.freq.take(y) * w
         low += start * rng
         rng *= freq
         go = _ready(low, rng)
         while len(go):
-            l, r = low[go] << _16, rng[go] << _16  # noqa: E741
-            code[go] = (code[go] << _16) | data[np.minimum(at[go], top)]
-            at[go] += 1
+            l, r, here = low.take(go) << _16, rng.take(go) << _16, at.take(go)  # noqa: E741
+            code[go] = (code.take(go) << _16) | data.take(np.minimum(here, top))
+            at[go] = here + 1
             more = _ready(l, r)
             low[go], rng[go] = l, r
             go = go[more]

@@ -67,6 +67,12 @@ def test_coder_round_trip(n):
         assert (rangecoder.decode(rangecoder.encode(ids)) == ids).all()
 
 
+def test_coder_reads_tables_without_casts():
+    model = rangecoder._Model(300, 8, True)
+    model.predict()
+    assert {x.dtype for x in (model.by1, model.by2, model.a, model.b, model.h, model.context)} == {np.dtype(np.int64)}
+
+
 def test_coder_uses_context():
     ids = np.tile(np.random.default_rng(1).integers(0, 50_000, 50), 2000)
     assert len(rangecoder.encode(ids)) < len(ids) / 2  # order 0 alone needs over 5 bits each
