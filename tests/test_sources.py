@@ -88,6 +88,22 @@ def test_long_chain(spark, monkeypatch):
     assert len(rounds) <= 15
 
 
+@pytest.mark.parametrize("limit", [0, 20, 1_000_000])
+def test_short_feeds_are_walked_without_rounds(spark, monkeypatch, limit):
+    """Feeds shorter and longer than a task walks; only the longer ones go through rounds."""
+    monkeypatch.setattr(chains, "WALKED", limit)
+    rounds = []
+    monkeypatch.setattr(chains, "remove", lambda spark, path, f=chains.remove: (rounds.append(path), f(spark, path)))
+    page = lambda feed, token, after: (feed, token, json.dumps({"nextPageToken": after} if after is not None else {}))
+    rows = [page(None, None, "b"), page(None, "b", None), page("self", "", "s"), page("self", "s", "s"), page("none", "x", "y"), page("none", "y", "x")]
+    for n in (2, 19, 40):
+        rows += [page(f"f{n}", f"t{k}" if k else None, f"t{k + 1}" if k < n - 1 else ("t1" if n == 19 else None)) for k in range(n)]
+    rows += [page("f40", "lost", "t3")]
+    got = chains.follow_pages(spark.createDataFrame(rows, "feed string, token string, body string")).collect()
+    assert {(r.feed, r.token or "", r.body): (r.page, r.error) for r in got} == walked(rows)
+    assert bool(rounds) == (limit < 40)
+
+
 def test_suffix_rules(spark):
     hosts = [(1, ".A.b.example"), (2, "xb.example"), (3, "b.example"), (4, "other"), (5, None), (6, ""), (7, "#HttpOnly_.c.a.b.example"), (8, "a.b.example"), (8, "a.b.example")]
     rules = [("b.example", "2", 1), ("a.b.example", "1", 1), ("example", "3", 1), ("b.example", "2", 0), (None, "n", 1)]
