@@ -75,13 +75,13 @@ _LISTS = ("ol", "ul")
 _INLINE = ("a", "b", "code", "em", "i", "mark", "small", "span", "strong", "sub", "sup", "u")
 
 
-def extract_blocks(pages: DataFrame, tags: tuple[str, ...] = ("p", *_HEADINGS, *_LISTS, "li", "blockquote", "pre", "img", "div", "section"), bare: bool = True) -> DataFrame:
+def extract_blocks(pages: DataFrame, tags: tuple[str, ...] = ("p", *_HEADINGS, *_LISTS, "li", "blockquote", "pre", "img", "div", "section"), bare: bool = True, dealt: bool = False) -> DataFrame:
     """Typed block rows in document order, outside boilerplate: page_id, pos, type (text, heading, code, ordered_list, unordered_list,
     list_item, blockquote, image), level (of headings), content (text, code, an image's address), items (of lists), language (of code).
     Only closed elements that aren't inside another block count. A div or section is a block where it holds code and no other block, which is
     its code then; an element with a heading in it gives way to the heading, and one with images to them and to its marked-up text. Images
     need an address by http. Texts are trimmed and their white space collapsed, code is kept as it is; blank blocks are dropped. An item ends
-    where an item within it begins. bare: see markup.decoded."""
+    where an item within it begins. bare: see markup.decoded. dealt: pages come from html.by_page, which is done here otherwise."""
     from pyspark.sql import Window
 
     opens, t = F.col("kind") == "open", F.col("token")
@@ -90,7 +90,7 @@ def extract_blocks(pages: DataFrame, tags: tuple[str, ...] = ("p", *_HEADINGS, *
         "n_img": opens & (F.col("tag") == "img") & source.startswith("http"), "n_head": opens & F.col("tag").isin(*_HEADINGS), "n_code": opens & F.col("tag").isin("pre", "code"),
         "n_block": opens & F.col("tag").isin("p", *_LISTS, "li", "blockquote"), "n_li": opens & (F.col("tag") == "li"),
     }
-    rows = html.with_boilerplate(html.with_ends(html.html_tokens(pages), counted, bare)).where("not boilerplate")
+    rows = html.with_boilerplate(html.with_ends(html.html_tokens(pages if dealt else html.by_page(pages)), counted, bare)).where("not boilerplate")
     by_page = Window.partitionBy(PAGE).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(PAGE).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     holds = {k: F.col(f"{k}_end") > F.col(k) for k in counted}

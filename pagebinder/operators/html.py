@@ -11,6 +11,19 @@ from ..functions import markup as m
 PAGE = "page_id"
 
 
+#: Bytes of markup for a partition of pages that are cut to tokens, which take some fifty times that in windows.
+PART = 4 << 20
+
+
+def by_page(pages: DataFrame, markup: str = "html") -> DataFrame:
+    """pages dealt by page to partitions of about PART bytes of markup (counted first), so that tokens needn't be shuffled and what a task holds doesn't
+    grow with the table. Streams stay as they are."""
+    if pages.isStreaming:
+        return pages
+    size = pages.agg(F.sum(F.octet_length(F.col(f"`{markup}`").cast("string")))).first()[0] or 0
+    return pages.repartition(max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART)), PAGE)
+
+
 def html_tokens(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """page_id, pos, kind (open, close, text or other), tag, token; without scripts, styles and comments. A page without any
     token has one row of nulls when columns are kept (on its first row only)."""

@@ -9,7 +9,7 @@ from test_oracles import plain
 
 import __spark_entry__ as entry
 from pagebinder.functions import markup
-from pagebinder.operators import audit, chains, media
+from pagebinder.operators import audit, chains, extract, html, media
 from pagebinder.streaming import jobs as st
 
 
@@ -115,3 +115,18 @@ def test_rounds_of_a_chain_hold_numbers(spark, tmp_path, monkeypatch):
     got = chains.follow_pages(spark.createDataFrame(rows, "feed string, token string, body string, _id int"))
     assert sorted((r._id, r.page, r.error) for r in got.collect()) == [(k, k, None) for k in range(6)]
     assert {t for _, t in spark.read.parquet(f"{tmp_path}/1").dtypes} == {"bigint"}
+
+
+def test_blocks_are_dealt_by_bytes_of_pages(spark, monkeypatch, capsys):
+    """Partitions grow in number with the markup, and tokens aren't shuffled."""
+    monkeypatch.setattr(html, "PART", 100)
+    pages = spark.createDataFrame([(k, f"<body><p>one {k}</p><h1>é</h1></body>" if k else None) for k in range(40)], "page_id long, html string")
+    size = sum(len(f"<body><p>one {k}</p><h1>é</h1></body>".encode()) for k in range(1, 40))
+    assert html.by_page(pages).rdd.getNumPartitions() == -(-size // 100)
+    assert html.by_page(pages.limit(0)).rdd.getNumPartitions() == 4
+    got = extract.extract_blocks(pages)
+    assert sorted((r.page_id, r.type, r.content) for r in got.collect()) == sorted(x for k in range(1, 40) for x in ((k, "text", f"one {k}"), (k, "heading", "é")))
+    capsys.readouterr()
+    got.explain()
+    plan = capsys.readouterr().out.split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
