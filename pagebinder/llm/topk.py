@@ -11,6 +11,9 @@ the queries meets every block of rows, and each slice of the components there is
 3. What a listed vector lacks in the other slices is added exactly, in the task that has both vectors, and entries that reach
    the cutoff are passed on: k+1 for each query and ties. No vector is fetched again.
 
+Blocks of queries are files in the shared folder, of which the driver holds the paths. A task reads them one at a time for its blocks
+of rows, so pairs of blocks go neither through a shuffle nor a broadcast.
+
 Copies: equal vectors are one class, of which the k+1 smallest vec_id can be in a result (one may be the query's own), so a
 vector that many rows share costs no more than one; queries with equal vectors are one, too.
 
@@ -22,6 +25,7 @@ go to the smaller vec_id. Fewer candidates than k: all.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, stored
+from .common import arrow_rows, shared_dir, stored, trim
+from .sharedfs import Ranges, Written
 
 K = 5
 SLICES = 2
 SCALE = 256
 #: Rows of a packed block of queries and of candidates.
 QUERY_BLOCK, BLOCK = 1024, 4096
+#: Blocks of queries whose highest scores a task holds (some 50 KB each).
+HELD = 1024
 #: A cutoff that everything reaches; no vec_id, and another that nothing equals.
 _LOWEST, _NONE, _OTHER = -(2**62), -(2**63), -(2**63) + 1
 
@@ -47,28 +54,46 @@ def scaled(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataF
     return vectors.where(fine & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
 
 
-def _blocks(rows: DataFrame, by: str, count: int, size: int, width: int, extra: list[str]) -> DataFrame:
-    """block, m (vectors v as 64-bit integers, row by row, `width` each), and the columns `extra` (arrays of longs, as long in
-    every row) packed likewise: about `size` rows in a block."""
+def _dealt(rows: DataFrame, by: str, count: int, size: int):
+    """rows grouped by `block`, about `size` of them in each."""
+    n = max(1, -(-count // size))
+    return rows.withColumn("block", F.pmod(F.xxhash64(by), F.lit(n).cast("long"))).groupBy("block")
+
+
+def _packed(table: pa.Table, width: int, extra: list[str]) -> dict[str, np.ndarray]:
+    """m (vectors v as 64-bit integers, `width` each), and the columns `extra` (longs, or arrays of longs, as long in every row)."""
+    v = table.column("v").combine_chunks()
+    m = np.zeros((len(v), width), np.int64)
+    m[np.arange(width) < v.value_lengths().to_numpy()[:, None]] = v.flatten().to_numpy()
+    flat = {c: table.column(c).combine_chunks() for c in extra}
+    return {"m": m} | {c: (x.flatten() if pa.types.is_nested(x.type) else x).to_numpy().astype(np.int64) for c, x in flat.items()}
+
+
+def _written(queries: DataFrame, count: int, width: int) -> list[str]:
+    """Writes the blocks of queries (q, v, own, cut); their paths."""
+    folder = shared_dir(queries.sparkSession, "query-blocks")
 
     def pack(table: pa.Table) -> pa.Table:
-        v = table.column("v").combine_chunks()
-        m = np.zeros((len(v), width), np.int64)
-        m[np.arange(width) < v.value_lengths().to_numpy()[:, None]] = v.flatten().to_numpy()
-        packed = {c: [table.column(c).combine_chunks().flatten().to_numpy().astype(np.int64).tobytes()] for c in extra}
-        return pa.table({"block": [table.column("block")[0].as_py()], "m": [m.tobytes()], **packed})
+        path, data = f"{folder}/{table.column('block')[0].as_py():06d}.npz", io.BytesIO()
+        np.savez(data, **_packed(table, width, ["q", "cut", "own"]))
+        with Written(path) as out:
+            out.write(data.getvalue())
+        return pa.table({"path": [path]})
+
+    return sorted(r.path for r in _dealt(queries, "q", count, QUERY_BLOCK).applyInArrow(pack, "path string").collect())
 
-    n = max(1, -(-count // size))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(by), F.lit(n).cast("long")))
-    return dealt.select("block", "v", *extra).groupBy("block").applyInArrow(pack, ", ".join(["block long", "m binary", *[f"{c} binary" for c in extra]]))
+
+def _block(path: str) -> dict[str, np.ndarray]:
+    with Ranges(path) as read:
+        return dict(np.load(io.BytesIO(read(0, read.size))))
 
 
 class _Nodes:
     """A block of queries and one of rows: partial scores of each slice."""
 
-    def __init__(self, x: dict, width: int, slices: int, k: int):
-        self.q, self.cut, own, ids = (np.frombuffer(x[c], np.int64) for c in ("q", "cut", "own", "ids"))
-        q, c = (np.frombuffer(x[y], np.int64).reshape(-1, width) for y in ("q_m", "m"))
+    def __init__(self, queries: dict, rows: dict, width: int, slices: int, k: int):
+        self.q, self.cut, own, q = (queries[c] for c in ("q", "cut", "own", "m"))
+        ids, c = np.frombuffer(rows["ids"], np.int64), np.frombuffer(rows["m"], np.int64).reshape(-1, width)
         # products of floats are exact up to 2**53 and quicker; integers beyond
         small = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * width < 2**53
         q, c = (y.astype(np.float64 if small else np.int64) for y in (q, c))
@@ -83,8 +108,8 @@ class _Nodes:
         """The sum of all slices."""
         return sum(p[i, j] for p in self.parts).astype(np.int64)
 
-    def highest(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """q, score of the k highest scores of each query among what the slices list."""
+    def highest(self, k: int) -> np.ndarray:
+        """The k highest scores of each query among what the slices list, highest first; _LOWEST where there are no more."""
         listed = []
         for part in self.parts:
             part = part if self.free is None else np.where(self.free, part, _LOWEST)
@@ -97,9 +122,7 @@ class _Nodes:
         ok = np.ones(j.shape, bool) if self.free is None else self.free[i, j]
         ok[:, 1:] &= j[:, 1:] != j[:, :-1]
         score = np.where(ok, self.score(i, j), _LOWEST)
-        score = -np.sort(-score, axis=1)[:, :k]
-        i, at = np.nonzero(score > _LOWEST)
-        return self.q[i], score[i, at]
+        return _most(score, k)
 
     def reaching(self, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """q, vec_id, score of all that reach the query's cutoff."""
@@ -114,6 +137,21 @@ class _Nodes:
         return self.q[i[at]], ids[at, k], score[at]
 
 
+def _most(score: np.ndarray, k: int) -> np.ndarray:
+    """The k highest of each row, highest first."""
+    return -np.sort(-score, axis=1)[:, :k]
+
+
+def _met(batches: Iterator[pa.RecordBatch], paths: list[str], width: int, slices: int, k: int) -> Iterator[tuple[str, _Nodes]]:
+    """Every block of queries, by its path, with every block of rows."""
+    for batch in batches:
+        rows = batch.to_pylist()
+        for path in paths:
+            queries = _block(path)
+            for x in rows:
+                yield path, _Nodes(queries, x, width, slices, k)
+
+
 def top_k(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, slices: int = SLICES, scale: int = SCALE) -> DataFrame:
     """For each row of vectors for which the column is_query (of vec_id) holds its k highest scores against all other rows:
     query_id, rank, vec_id, score."""
@@ -128,37 +166,50 @@ def top_k(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str =
     several = asked.groupBy("vec_id").agg(F.count("*").alias("vectors")).where("vectors > 1").select("vec_id", F.col("vec_id").alias("own"))
     asked = stored(asked.join(several, "vec_id", "left").select(F.col("vec_id").alias("query_id"), "v", F.coalesce("own", F.lit(_NONE)).alias("own")), "queries")
     queries = stored(asked.select("v", "own").distinct().select(F.monotonically_increasing_id().alias("q"), "v", "own"), "query-vectors")
-    named = stored(asked.join(queries, ["v", "own"]).select("q", "query_id"), "query-names")
+    # vectors take up to eight times as much in memory as in files, by which joins are chosen: these aren't broadcast
+    named = stored(asked.join(queries.hint("merge"), ["v", "own"]).select("q", "query_id"), "query-names")
     sizes = classes.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).first()
     n, width, nq = sizes["n"], max(sizes["w"] or 0, 1), queries.count()
     padded = F.array(*[F.coalesce(F.get("ids", F.lit(j)), F.lit(_NONE)) for j in range(k + 1)])
-    rows = stored(_blocks(classes.select("v", padded.alias("ids")), "v", n, BLOCK, width, ["ids"]), "rows")
-    n_blocks = max(1, -(-n // BLOCK))
 
-    def pairs(of: DataFrame) -> DataFrame:
-        """Every block of queries with every block of rows."""
-        of = of.select("v", *[F.array(c).alias(c) for c in ("q", "cut", "own")])
-        blocks = _blocks(of, "q", nq, QUERY_BLOCK, width, ["q", "cut", "own"]).select("q", "cut", "own", F.col("m").alias("q_m"))
-        blocks = blocks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-        return blocks.join(rows, "block").select("q", "cut", "own", "q_m", "ids", "m")
+    def pack(table: pa.Table) -> pa.Table:
+        return pa.table({c: [x.tobytes()] for c, x in _packed(table, width, ["ids"]).items()})
+
+    rows = stored(_dealt(classes.select("v", padded.alias("ids")), "v", n, BLOCK).applyInArrow(pack, "m binary, ids binary"), "rows")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _Nodes(x, width, slices, k).highest(k + 1)], names=["q", "score"])
+        best: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # by block of queries: q, and the highest scores so far
+        for path, nodes in _met(batches, everything, width, slices, k):
+            score = nodes.highest(k + 1)
+            if path in best:
+                score = _most(np.concatenate([best[path][1], score], axis=1), k + 1)
+            elif len(best) == HELD:
+                yield from told(best)
+            best[path] = nodes.q, score
+        yield from told(best)
+        trim()
+
+    def told(best: dict) -> Iterator[pa.RecordBatch]:
+        for q, score in best.values():
+            i, at = np.nonzero(score > _LOWEST)
+            yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(score[i, at])], names=["q", "score"])
+        best.clear()
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _Nodes(x, width, slices, k).reaching(slices)], names=["q", "vec_id", "score"])
+        for _, nodes in _met(batches, reachable, width, slices, k):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in nodes.reaching(slices)], names=["q", "vec_id", "score"])
+        trim()
 
-    with arrow_rows(spark, 8):  # a row is a pair of blocks
-        lists = pairs(queries.withColumn("cut", F.lit(0).cast("long"))).mapInArrow(first, "q long, score long")
+    everything = _written(queries.withColumn("cut", F.lit(0).cast("long")), nq, width)
+    with arrow_rows(spark, 8):  # a row is a block
+        lists = rows.mapInArrow(first, "q long, score long")
         best = Window.partitionBy("q").orderBy(F.desc("score"))
         cut = lists.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k + 1).groupBy("q").agg(F.min("score").alias("cut"), F.count("*").alias("have"))
         # with fewer entries than k + 1 there are no more candidates, and all are wanted
         cut = stored(cut.select("q", F.when(F.col("have") > k, F.col("cut")).otherwise(F.lit(_LOWEST)).alias("cut")), "cutoffs")
-        found = stored(pairs(queries.join(cut, "q")).mapInArrow(second, "q long, vec_id long, score long"), "entries")
+    reachable = _written(queries.join(cut, "q"), nq, width)
+    with arrow_rows(spark, 8):
+        found = stored(rows.mapInArrow(second, "q long, vec_id long, score long"), "entries")
     found = found.join(queries.select("q", "own"), "q").where("vec_id <> own").drop("own")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     top = found.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k + 1)

@@ -51,6 +51,25 @@ def test_top_k_of_repeated_ids(spark, monkeypatch, slices):
         assert sorted(got[q]) == [(s, k, j + 1) for j, (s, k) in enumerate(scores[:5])]
 
 
+def test_top_k_keeps_pairs_of_blocks_out_of_the_driver(spark, monkeypatch):
+    """100 blocks of rows, 4 of queries: no copy of the queries for each block of rows is joined, so none can be broadcast."""
+    rng = random.Random(1)
+    df = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(8)]) for k in range(400)], "vec_id long, embedding array<float>").cache()
+    want = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect()))
+    plans, stored = [], topk.stored
+
+    def kept(rows, name):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return stored(rows, name)
+
+    for name, value in (("stored", kept), ("BLOCK", 4), ("QUERY_BLOCK", 2), ("HELD", 2)):
+        monkeypatch.setattr(topk, name, value, raising=False)
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect())) == want
+    met = [p for p in plans if "MapInArrow" in p]
+    assert len(met) == 2
+    assert not any(re.search("Join|Generate|BroadcastExchange", p) for p in met)
+
+
 def test_top_k_of_few(spark):
     df = spark.createDataFrame([(0, [1.0]), (50, [2.0])], "vec_id long, embedding array<float>")
     got = sorted((r.query_id, r.vec_id) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
